@@ -1,0 +1,21 @@
+"""Column expressions for text identity."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def squeezed(text: Column) -> Column:
+    """Lower-cased words of a text, one blank between them; null stays null."""
+    return F.trim(F.regexp_replace(F.lower(text), "[ \\t\\n\\r]+", " "))
+
+
+def has_words(text: Column) -> Column:
+    """Whether a text has at least one word; false for null."""
+    return F.coalesce(text.rlike("[^ \\t\\n\\r]"), F.lit(False))
+
+
+def content_key(text: Column) -> Column:
+    """A 64-bit key that equal lower-cased word sequences share."""
+    return F.xxhash64(squeezed(text))
