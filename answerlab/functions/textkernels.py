@@ -175,6 +175,24 @@ def minhash(hashes: np.ndarray, offsets: np.ndarray, perms: int, seed: int = 1)
     return out.T
 
 
+#: Bits of a sketch; two texts of similarity s agree in each with chance (1 + s) / 2.
+SKETCH_BITS = 96
+
+
+def bit_sketch(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64 bits, 32 bits): one bit of each of ``SKETCH_BITS`` MinHash values."""
+    odd = np.ascontiguousarray((mix64(signature) & np.uint64(1)).astype(np.uint8))
+    packed = np.packbits(odd, axis=1)
+    first = np.ascontiguousarray(packed[:, :8]).view("<u8").ravel()
+    return first, np.ascontiguousarray(packed[:, 8:]).view("<u4").ravel()
+
+
+def sketch_limit(threshold: float, deviations: float = 3.0) -> int:
+    """Agreeing bits that a pair at the threshold has, but for a chance of ``deviations`` sigmas."""
+    p = (1 + threshold) / 2
+    return int(np.floor(SKETCH_BITS * p - deviations * np.sqrt(SKETCH_BITS * p * (1 - p))))
+
+
 def distinct_sorted(hashes: np.ndarray, offsets: np.ndarray, i: int) -> np.ndarray:
     """The sorted distinct shingle hashes of text ``i``."""
     return np.unique(hashes[offsets[i] : offsets[i + 1]])
