@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlab.llm import neardup
+from answerlab.llm import neardup, overlap
 from answerlab.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,24 @@ Query = Callable[[SparkSession, str], DataFrame]
 VERSION_SIMILARITY = 0.6
 
 
+def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    sides = {"dev": table(spark, d, "split_dev"), "test": table(spark, d, "split_test")}
+    return overlap.split_overlaps(table(spark, d, "split_train"), sides, "complaint_id", "narrative", 0.8), sides
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Ids rise with the first receipt, so of two ids the training record's is the smaller."""
+    pairs, _ = _overlaps(spark, d)
+    return pairs.select(
+        "split", F.least("train_id", "eval_id").alias("train_id"), F.greatest("train_id", "eval_id").alias("eval_id")
+    ).distinct()
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    pairs, sides = _overlaps(spark, d)
+    return overlap.overlap_report(pairs, sides, "complaint_id", "submitted_via")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = neardup.near_duplicate_pairs(table(spark, d, "candidates"), "complaint_id", "narrative", VERSION_SIMILARITY)
     return pairs.select(F.col("id_a").alias("complaint_id_a"), F.col("id_b").alias("complaint_id_b"))
@@ -27,7 +45,7 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p5_found, p5_groups)}
+    return {f.__name__: f for f in (p1_found, p1_report, p5_found, p5_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
