@@ -6,11 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from answerlab.operators import csvrecords
+from answerlab.session import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    parsed = csvrecords.parse_records(table(spark, d, "raw_records"), "record_id", "raw")
+    return csvrecords.rejected_records(parsed, "record_id").distinct()
+
+
+def p4_rows(spark: SparkSession, d: str) -> DataFrame:
+    return csvrecords.valid_records(csvrecords.parse_records(table(spark, d, "raw_records"), "record_id", "raw"))
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for f in (p4_found, p4_rows)}
 
 
 def oracle_sql() -> dict[str, str]:
