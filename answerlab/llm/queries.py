@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlab.llm import neardup, overlap
+from answerlab.llm import neardup, overlap, splitting
 from answerlab.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,16 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(pairs, sides, "complaint_id", "submitted_via")
 
 
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    out = splitting.split_oversized(table(spark, d, "candidates"), "complaint_id", "narrative", limit=512, overlap=64)
+    return out.withColumnRenamed("id", "complaint_id").dropDuplicates(["complaint_id", "piece", "piece_text"])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    out = splitting.split_oversized(table(spark, d, "candidates"), "complaint_id", "narrative", limit=512, overlap=64)
+    return out.select(F.col("id").alias("complaint_id"), "cut").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = neardup.near_duplicate_pairs(table(spark, d, "candidates"), "complaint_id", "narrative", VERSION_SIMILARITY)
     return pairs.select(F.col("id_a").alias("complaint_id_a"), F.col("id_b").alias("complaint_id_b"))
@@ -45,7 +55,7 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_report, p5_found, p5_groups)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p5_found, p5_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
