@@ -27,9 +27,8 @@ from answerlab.operators.similarity import components, shingle_sets, verify_pair
 from answerlab.session import materialize, semi_join_checked, spread
 
 #: One label in a shard: node of the fixed prefix, the bit digits, the text.
-_ROW = np.dtype([("node", "<u8"), ("bits", "<u8"), ("key", "<i8")])
+_ROW = np.dtype([("node", "<u4"), ("more", "<u4"), ("bits", "<u8"), ("key", "<i8")])
 _FLUSH = 16_384
-_SKETCH = 64
 
 
 def recall_at(similarity: float, depths: list[int]) -> float:
@@ -46,30 +45,42 @@ def _pack(rows: np.ndarray, shards: np.ndarray, count: int) -> Iterator[tuple[in
             yield s, rows[cut[s] : cut[s + 1]].tobytes()
 
 
-def _labels(texts: list[str], keys: np.ndarray, trees: int, depth: int, n: int, seed: int) -> np.ndarray:
-    """All labels of some texts, tree after tree."""
-    perms, parts = trees * depth, []
+def _labels(
+    texts: list[str], keys: np.ndarray, trees: int, depth: int, n: int, seed: int, count: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """All labels of some texts and the shard of each.
+
+    The rest of the node's hash is kept to 32 bits: a clash inside a shard only makes a node larger.
+    """
+    perms, parts, shards = trees * depth, [], []
     for s in K.shingle_texts(texts, n):
         k = keys[s.start : s.start + len(s.keys)]
-        sig = K.minhash(s.hashes, s.offsets, perms + _SKETCH, seed)
-        odd = np.ascontiguousarray((K.mix64(sig[:, perms:]) & np.uint64(1)).astype(np.uint8))
-        bits = np.packbits(odd, axis=1).view("<u8").ravel()
+        sig = K.minhash(s.hashes, s.offsets, perms + K.SKETCH_BITS, seed)
+        bits, more = K.bit_sketch(sig[:, perms:])
         for t in range(trees):
             node = np.full(len(k), t + 1, np.uint64)
             for d in range(depth):
                 node = K.mix64(node * np.uint64(0x9E3779B97F4A7C15) + sig[:, t * depth + d])
             row = np.empty(len(k), _ROW)
-            row["node"], row["bits"], row["key"] = node, bits, k
+            row["node"], row["more"], row["bits"], row["key"] = node >> np.uint64(32), more, bits, k
             parts.append(row)
-    return np.concatenate(parts) if parts else np.empty(0, _ROW)
+            shards.append(((node & np.uint64(0xFFFFFFFF)) % np.uint64(count)).astype(np.int32))
+    if not parts:
+        return np.empty(0, _ROW), np.empty(0, np.int32)
+    return np.concatenate(parts), np.concatenate(shards)
+
+
+def _agree(bits: np.ndarray, more: np.ndarray, i, j) -> np.ndarray:
+    """In how many sketch bits rows ``i`` and ``j`` agree."""
+    return K.SKETCH_BITS - np.bitwise_count(bits[i] ^ bits[j]).astype(np.int16) - np.bitwise_count(more[i] ^ more[j])
 
 
-def _near(bits: np.ndarray, key: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near(bits: np.ndarray, more: np.ndarray, key: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one node whose sketches agree in at least ``least`` bits, a block of rows at a time."""
     m = len(key)
     step = max(1, 2_000_000 // m)
     for lo in range(0, m, step):
-        agree = _SKETCH - np.bitwise_count(bits[lo : lo + step, None] ^ bits[None, :])
+        agree = _agree(bits, more, np.arange(lo, min(lo + step, m))[:, None], np.arange(m)[None, :])
         i, j = np.nonzero(agree >= least)
         i = i + lo
         up = i < j
@@ -114,18 +125,15 @@ def candidates(
     """
     count = shards or spread(texts)
     full = math.log1p(-(threshold**depth))
-    # A pair at the threshold agrees in a sketch bit with chance (1 + threshold) / 2; three deviations below that.
-    p = (1 + threshold) / 2
-    least = math.floor(_SKETCH * p - 3 * math.sqrt(_SKETCH * p * (1 - p)))
+    p, least = (1 + threshold) / 2, K.sketch_limit(threshold)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            rows = np.concatenate(held)
-            out = list(_pack(rows, (rows["node"] % np.uint64(count)).astype(np.int64), count))
+            out = list(_pack(np.concatenate([r for r, _ in held]), np.concatenate([s for _, s in held]), count))
             return pa.RecordBatch.from_arrays(
                 [pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["shard", "rows"]
             )
@@ -134,9 +142,8 @@ def candidates(
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             fresh = [i for i, k in enumerate(keys.tolist()) if k not in seen and not seen.add(k)]
             got = batch.column("text").take(pa.array(fresh, pa.int64())).to_pylist()
-            rows = _labels(got, keys[fresh], trees, depth, n, seed)
-            held.append(rows)
-            size += len(rows)
+            held.append(_labels(got, keys[fresh], trees, depth, n, seed, count))
+            size += len(held[-1][0])
             if size >= _FLUSH * trees:
                 yield flush()
                 held, size = [], 0
@@ -154,19 +161,19 @@ def candidates(
         node, key = rows["node"][order], rows["key"][order]
         keep = np.ones(len(order), bool)
         keep[1:] = (node[1:] != node[:-1]) | (key[1:] != key[:-1])
-        node, key, bits = node[keep], key[keep], rows["bits"][order][keep]
+        node, key, bits, more = node[keep], key[keep], rows["bits"][order][keep], rows["more"][order][keep]
         edges = np.flatnonzero(np.diff(node)) + 1
         begin, end = np.concatenate(([0], edges)), np.concatenate((edges, [len(node)]))
         many = np.flatnonzero(end - begin > 1)
         two = many[(end - begin)[many] == 2]
         i = begin[two]
-        ok = _SKETCH - np.bitwise_count(bits[i] ^ bits[i + 1]) >= least
+        ok = _agree(bits, more, i, i + 1) >= least
         yield _pairs(key[i[ok]], key[i[ok] + 1])
         held_a, held_b, size = [], [], 0
         for g in many[(end - begin)[many] > 2]:
             lo, hi = begin[g], end[g]
-            b, k = bits[lo:hi], key[lo:hi]
-            for at, used in _trie(_rotated(b, int(node[lo] % np.uint64(64))), node_limit):
+            b, c, k = bits[lo:hi], more[lo:hi], key[lo:hi]
+            for at, used in _trie(_rotated(b, int(node[lo]) % 64), node_limit):
                 if used:
                     # one more bit digit is agreed on with chance p, as p**used of a full tree's share
                     loss = math.log1p(-(threshold**depth) * p**used) - full
@@ -174,7 +181,7 @@ def candidates(
                         [pa.array(k[at]), pa.nulls(len(at), pa.int64()), pa.array(np.full(len(at), loss))], ["a", "b", "loss"]
                     )
                 if len(at) > 1:
-                    for x, y in _near(b[at], k[at], least):
+                    for x, y in _near(b[at], c[at], k[at], least):
                         held_a.append(x)
                         held_b.append(y)
                         size += len(x)
