@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlab.llm import neardup, overlap, splitting
+from answerlab.llm import neardup, overlap, pii, splitting
 from answerlab.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").alias("complaint_id"), "cut").distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    items = pii.personal_information(table(spark, d, "candidates"), "complaint_id", "narrative", table(spark, d, "name_lexicon"))
+    return items.withColumnRenamed("id", "complaint_id").where("complaint_id is not null")
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    out = pii.redacted(table(spark, d, "candidates"), "complaint_id", "narrative", table(spark, d, "name_lexicon"))
+    return out.withColumnRenamed("id", "complaint_id").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = neardup.near_duplicate_pairs(table(spark, d, "candidates"), "complaint_id", "narrative", VERSION_SIMILARITY)
     return pairs.select(F.col("id_a").alias("complaint_id_a"), F.col("id_b").alias("complaint_id_b"))
@@ -55,7 +65,7 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p5_found, p5_groups)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p3_found, p3_redacted, p5_found, p5_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
