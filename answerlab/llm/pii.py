@@ -385,7 +385,7 @@ def posterior(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]:
     return dict(zip(keys, good.tolist()))
 
 
-def train_classifier(patterns: dict[str, int], target: dict[str, float], l2: float = 1e-2, steps: int = 60) -> np.ndarray:
+def train_classifier(patterns: dict[str, int], target: dict[str, float], l2: float = 1e-4, steps: int = 60) -> np.ndarray:
     """Logistic weights (bias, then votes for and votes against of each labeler) on the posteriors, by Newton steps."""
     keys = sorted(patterns)
     x = np.array([_design(k) for k in keys])

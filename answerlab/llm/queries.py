@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlab.llm import neardup, overlap, pii, splitting
+from answerlab.llm import mixing, neardup, overlap, packing, pii, reading, splitting
 from answerlab.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,8 +64,44 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.withColumnRenamed("id", "complaint_id")
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"), "doc_id", "text", capacity=512)
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p6_containers(spark, d))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.share_report(p7_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "reading_labels")
+    return reading.reading_levels(table(spark, d, "documents"), "doc_id", "text", labels, "doc_id", "level")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of level 5, the highest of the scale."""
+    return _levels(spark, d).where("level = 5").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).withColumnRenamed("id", "doc_id").distinct()
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    return reading.level_profile(_levels(spark, d), table(spark, d, "documents"), "doc_id", "source")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p3_found, p3_redacted, p5_found, p5_groups)}
+    found = (p1_found, p2_found, p3_found, p5_found, p8_found)
+    more = (p1_report, p2_pieces, p3_redacted, p5_groups, p6_containers, p6_report, p7_mix, p7_shares, p8_levels, p8_profile)
+    return {f.__name__: f for f in found + more}
 
 
 def oracle_sql() -> dict[str, str]:
