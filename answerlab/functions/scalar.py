@@ -19,6 +19,11 @@ def portable_hash(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body (or a lambda in it) uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column, unicode_space: bool = True) -> Column:
     """Lower-cased words split at white space (Unicode's, or ASCII's alone)."""
     pattern = r"(?U)\s+" if unicode_space else r"[ \t\n\r\f]+"
@@ -27,10 +32,12 @@ def words(text: Column, unicode_space: bool = True) -> Column:
 
 def shingles(text: Column, n: int = 5, unicode_space: bool = True) -> Column:
     """Distinct runs of ``n`` words; one run of all words if fewer; none of an empty or null text."""
-    ws = words(F.coalesce(text, F.lit("")), unicode_space)
-    size = F.size(ws)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " "))
-    return F.array_distinct(F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(F.array_join(ws, " "))).otherwise(runs))
+    def runs(ws: Column) -> Column:
+        size = F.size(ws)
+        every = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " "))
+        return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(F.array_join(ws, " "))).otherwise(every)
+
+    return F.array_distinct(let(words(F.coalesce(text, F.lit("")), unicode_space), runs))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -47,8 +54,10 @@ def expected_level(probabilities: Column) -> Column:
 
 def softmax(x: Column) -> Column:
     """Softmax of an array, shifted by its greatest value."""
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, w: s + w))
+    def shares(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda s, w: s + w), lambda total: F.transform(e, lambda v: v / total))
+
+    return let(let(x, lambda a: let(F.array_max(a), lambda top: F.transform(a, lambda v: F.exp(v - top)))), shares)
 
 
 def level_from_logits(x: Column) -> Column:
@@ -69,7 +78,7 @@ def chunk_starts(length: Column, hypothesis: int = 0, size: int = SEQUENCE, spec
 def chunks(tokens: Column, hypothesis: int = 0, size: int = SEQUENCE, special: int = SPECIAL, overlap: int = OVERLAP) -> Column:
     """Overlapping windows of a token array that leave room for hypothesis and special tokens."""
     room = size - hypothesis - special
-    return F.transform(chunk_starts(F.size(tokens), hypothesis, size, special, overlap), lambda s: F.slice(tokens, s + 1, room))
+    return let(tokens, lambda t: F.transform(chunk_starts(F.size(t), hypothesis, size, special, overlap), lambda s: F.slice(t, s + 1, room)))
 
 
 def with_special(a: Column, b: Column | None, cls: int, sep: int) -> Column:
