@@ -90,10 +90,6 @@ def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix64(raw + np.uint64(0x51ED27))
 
 
-def _step_constants(n: int) -> np.ndarray:
-    return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
 def combine(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all runs of ``n`` words inside each text.
 
@@ -104,41 +100,38 @@ def combine(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, n
     runs = np.where(count >= n, count - n + 1, (count > 0).astype(count.dtype))
     offsets = np.concatenate(([0], np.cumsum(runs)))
     at = np.repeat(first[:-1] - offsets[:-1], runs) + np.arange(offsets[-1])
-    consts = _step_constants(n)
     if not len(at):
         return np.empty(0, np.uint64), offsets, at
-    last = len(words) - 1
-    total = np.zeros(len(at), dtype=np.uint64)
-    left = np.repeat(first[1:], runs) - at
-    for k in range(n):
-        w = words[np.minimum(at + k, last)] * consts[k]
-        w[left <= k] = np.uint64(0)
-        total += w
-    return mix64(total + np.minimum(left, n).astype(np.uint64)), offsets, at
-
-
-def text_keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each whole text: equal for texts with equal lower-cased words."""
-    count = np.diff(first)
-    if not len(words):
-        return np.zeros(len(count), np.uint64)
-    pos = np.arange(len(words)) - np.repeat(first[:-1], count)
-    weight = mix64(pos.astype(np.uint64) + np.uint64(77)) | np.uint64(1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * weight, dtype=np.uint64)))
-    return mix64(sums[first[1:]] - sums[first[:-1]] + count.astype(np.uint64))
+    end = np.minimum(at + n, np.repeat(first[1:], runs))
+    # differences of one prefix sum: the same few steps whatever n is
+    _TABLES.upto(len(words) + 1)
+    prefix = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * _TABLES.up[: len(words)], out=prefix[1:])
+    return mix64((prefix[end] - prefix[at]) * _TABLES.down[at] + (end - at).astype(np.uint64)), offsets, at
+
+
+def distinct_counts(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Number of distinct runs of each text."""
+    n = np.diff(offsets)
+    if not len(hashes):
+        return n
+    doc = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(hashes, kind="stable")  # equal hashes stay in the order of their texts
+    again = (hashes[order][1:] == hashes[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    return n - np.bincount(doc[order][1:][again], minlength=len(n))
 
 
 class Shingled:
     """Shingles of one run of texts; see :func:`shingle_texts`."""
 
-    __slots__ = ("start", "data", "starts", "ends", "first", "words", "hashes", "offsets", "at", "keys")
+    __slots__ = ("start", "data", "starts", "ends", "first", "words", "hashes", "offsets", "at", "size")
 
     def __init__(self, start: int, texts: list[str], n: int) -> None:
         self.start = start
         self.data, self.starts, self.ends, self.first = word_spans(texts)
         self.words = word_hashes(self.data, self.starts, self.ends)
         self.hashes, self.offsets, self.at = combine(self.words, self.first, n)
-        self.keys = text_keys(self.words, self.first)
+        self.size = len(texts)
 
 
 def shingle_texts(texts: Sequence[str | None], n: int = 5) -> Iterator[Shingled]:

@@ -27,7 +27,7 @@ def shingle_sets(texts: DataFrame, n: int = 5) -> DataFrame:
         for batch in batches:
             out: list[bytes] = []
             for s in K.shingle_texts(batch.column("text").to_pylist(), n):
-                out.extend(K.distinct_sorted(s.hashes, s.offsets, i).tobytes() for i in range(len(s.keys)))
+                out.extend(K.distinct_sorted(s.hashes, s.offsets, i).tobytes() for i in range(s.size))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], ["key", "shingles"])
 
     return texts.select("key", "text").mapInArrow(run, "key long, shingles binary")
