@@ -54,7 +54,7 @@ def _labels(
     """
     perms, parts, shards = trees * depth, [], []
     for s in K.shingle_texts(texts, n):
-        k = keys[s.start : s.start + len(s.keys)]
+        k = keys[s.start : s.start + s.size]
         sig = K.minhash(s.hashes, s.offsets, perms + K.SKETCH_BITS, seed)
         bits, more = K.bit_sketch(sig[:, perms:])
         for t in range(trees):
