@@ -9,18 +9,19 @@ the hash names.  Each shard builds one automaton over its evaluation passages an
 the training runs it was sent, so every training text is scanned once, and the work
 grows with the two sides' sum, not their product.
 
-Matched intervals are merged per (evaluation text, training text) into the covered words of
-the evaluation record; every covered pair is then verified exactly.
-
-Boilerplate: a passage that joins more than ``pair_limit`` pairs of texts is put off.  An evaluation text that
-keeps ``enough`` other passages cannot lose a partner by that but for a chance below 1 %
-at the threshold; one that keeps fewer gets its least common put-off passages back, without
-limit, in a second scan.  Nothing is dropped for being popular.
+Every passage row carries its text's size and bit sketch, so a pair of texts that shares a passage is screened
+where it arises: by the ratio of the sizes, which is exact, and by the sketches.  What passes is
+verified exactly.
+
+Boilerplate: a passage that joins more than ``pair_limit`` pairs of texts is cut into blocks of its evaluation and
+training texts, which several tasks compare.  No passage is put off and no text left out for being popular;
+the pairs of a passage that stands in a fixed share of all texts grow with the square of the
+tables, at a few nanoseconds a pair.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from answerlab.functions import textkernels as K
 from answerlab.llm.neardup import keyed
-from answerlab.operators.similarity import screen_pairs, shingle_sets, verify_pairs
+from answerlab.operators.similarity import shingle_sets, verify_pairs
 from answerlab.session import materialize, semi_join_checked, spread
 
 #: Texts below so many shingles are matched by all their shingles instead of by sampled long passages.
@@ -39,6 +40,10 @@ _SHORT = 24
 #: How much denser training texts are sampled, as theirs may be longer than the evaluation text.
 _SLACK = 1.5
 _SHINGLE = 5
+#: A text beside each of its passages: what the screen needs.
+_TEXT = np.dtype([("key", "<i8"), ("first", "<u8"), ("more", "<u4"), ("size", "<i4")])
+#: Texts a side of a block at least, pairs compared at once, and bytes of blocks a batch.
+_BLOCK, _AT_ONCE, _FLUSH = 2_048, 1 << 19, 1 << 22
 
 
 def _code_points(words: np.ndarray) -> str:
@@ -56,11 +61,14 @@ def _below(hashes: np.ndarray, offsets: np.ndarray, bound: np.ndarray, distinct:
     return np.repeat(np.arange(len(n)), n)[take], take
 
 
-def _passages(texts: list[str], width: int, per_text: int, training: bool) -> Iterator[tuple]:
-    """(text, position, hash, passage) of all passages of some texts, as arrays and a list."""
+def _passages(texts: list[str], keys: np.ndarray, width: int, per_text: int, training: bool) -> Iterator[tuple]:
+    """(text, hash, passage) of all passages of some texts, as arrays and a list."""
     for s in K.shingle_texts(texts, _SHINGLE):
         codes = _code_points(s.words)
         size = K.distinct_counts(s.hashes, s.offsets)
+        rows = np.empty(s.size, _TEXT)
+        rows["key"], rows["size"] = keys[s.start : s.start + s.size], size
+        rows["first"], rows["more"] = K.bit_sketch(K.minhash(s.hashes, s.offsets, K.SKETCH_BITS, seed=991))
         short = np.where(size <= (_SHORT * 1.25 + 1 if training else _SHORT), np.inf, 0.0)
         long = np.where(size > (0 if training else _SHORT), per_text * (_SLACK if training else 1.0), 0.0)
         hashes, offsets, at = K.combine(s.words, s.first, width)
@@ -70,22 +78,11 @@ def _passages(texts: list[str], width: int, per_text: int, training: bool) -> It
             doc, take = _below(h, o, bound, distinct)
             start = a[take]
             end = np.minimum(start + w, s.first[doc + 1])
-            cut = [codes[x:y] for x, y in zip(start.tolist(), end.tolist())]
-            yield doc + s.start, start - s.first[doc], h[take], cut
-
+            yield rows[doc], h[take], [codes[x:y] for x, y in zip(start.tolist(), end.tolist())]
 
-#: A second scan's passages up to which training texts are cut to those passages before they are sent.
-_FEW = 200_000
 
-
-def _route(
-    texts: DataFrame, side: int, shards: int, width: int, per_text: int, wanted: np.ndarray | None = None
-) -> DataFrame:
-    """``(key, text[, only])`` to rows of one shard: parallel arrays of keys, positions, passages.
-
-    ``only`` lists the hashes of the passages to take of a text, ``wanted`` (sorted) those to take of any.
-    """
-    chosen = "only" in texts.columns
+def _route(texts: DataFrame, side: int, shards: int, width: int, per_text: int) -> DataFrame:
+    """``(key, text)`` to rows of one shard: its passages and, packed, the text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -94,152 +91,179 @@ def _route(
             fresh = [i for i, k in enumerate(keys.tolist()) if k not in seen and not seen.add(k)]
             if not fresh:
                 continue
-            rows = pa.array(fresh, pa.int64())
-            key = keys[fresh]
-            texts_ = batch.column("text").take(rows).to_pylist()
-            only = [set(x) for x in batch.column("only").take(rows).to_pylist()] if chosen else None
-            docs, pos, hashes, cuts = [], [], [], []
-            for d, p, h, c in _passages(texts_, width, per_text, side == 1):
-                if only is not None:
-                    keep = [i for i, (x, y) in enumerate(zip(d.tolist(), h.view(np.int64).tolist())) if y in only[x]]
-                    d, p, h, c = d[keep], p[keep], h[keep], [c[i] for i in keep]
-                if wanted is not None:
-                    keep = np.flatnonzero(np.isin(h.view(np.int64), wanted))
-                    d, p, h, c = d[keep], p[keep], h[keep], [c[i] for i in keep]
-                docs.append(d)
-                pos.append(p)
+            texts_ = batch.column("text").take(pa.array(fresh, pa.int64())).to_pylist()
+            rows, hashes, cuts = [], [], []
+            for r, h, c in _passages(texts_, keys[fresh], width, per_text, side == 1):
+                rows.append(r)
                 hashes.append(h)
                 cuts.extend(c)
-            d, p, h = np.concatenate(docs), np.concatenate(pos), np.concatenate(hashes)
-            own = np.zeros(len(key), np.int32)  # distinct passages of each text
-            if not side and len(d):
-                by = np.unique(np.stack((d.astype(np.uint64), h), axis=1), axis=0)[:, 0]
-                own = np.bincount(by.astype(np.int64), minlength=len(key)).astype(np.int32)
-            where = (h % np.uint64(shards)).astype(np.int32)
+            where = (np.concatenate(hashes) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(where, kind="stable")
+            packed = np.concatenate(rows)[order]
             bounds = np.searchsorted(where[order], np.arange(shards + 1))
             used = np.flatnonzero(np.diff(bounds))
             offsets = pa.array(np.append(bounds[used], len(order)), pa.int32())
-            listed = lambda x: pa.ListArray.from_arrays(offsets, x)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(used, pa.int32()),
                     pa.array(np.full(len(used), side), pa.int32()),
-                    listed(pa.array(key[d][order], pa.int64())),
-                    listed(pa.array(p[order], pa.int32())),
-                    listed(pa.array(own[d][order], pa.int32())),
-                    listed(pa.array(h[order].view(np.int64), pa.int64())),
-                    listed(pa.array(cuts, pa.string()).take(pa.array(order))),
+                    pa.array([packed[bounds[i] : bounds[i + 1]].tobytes() for i in used], pa.binary()),
+                    pa.ListArray.from_arrays(offsets, pa.array(cuts, pa.string()).take(pa.array(order))),
                 ],
-                ["shard", "side", "keys", "at", "own", "hashes", "passages"],
+                ["shard", "side", "texts", "passages"],
             )
 
-    schema = "shard int, side int, keys array<long>, at array<int>, own array<int>, hashes array<long>, passages array<string>"
-    cols = ["key", "text", "only"] if chosen else ["key", "text"]
-    return texts.select(*cols).mapInArrow(run, schema)
+    return texts.select("key", "text").mapInArrow(run, "shard int, side int, texts binary, passages array<string>")
+
+
+def _by_passage(rows: list[np.ndarray], passages: list[np.ndarray], count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct texts of each passage by size, and where each passage's begin."""
+    texts, ids = np.concatenate(rows), np.concatenate(passages)
+    order = np.lexsort((texts["key"], texts["size"], ids))
+    texts, ids = texts[order], ids[order]
+    new = np.append(True, (ids[1:] != ids[:-1]) | (texts["key"][1:] != texts["key"][:-1]))
+    return texts[new], np.searchsorted(ids[new], np.arange(count + 1))
+
+
+def _partners(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of texts may be at the threshold, by their sizes and sketches; shapes broadcast."""
+    differ = np.bitwise_count(left["first"] ^ right["first"]) + np.bitwise_count(left["more"] ^ right["more"])
+    near = differ <= K.SKETCH_BITS - K.sketch_limit(threshold)
+    a, b = left["size"], right["size"]
+    return near & (a >= threshold * b - 1e-6) & (b >= threshold * a - 1e-6)
+
+
+def _sized(texts: np.ndarray, part: np.ndarray, threshold: float) -> np.ndarray:
+    """Those of some texts by size that are neither too short nor too long for all of ``part``, by size too."""
+    lo = np.searchsorted(texts["size"], threshold * part["size"][0] - 1e-6, side="left")
+    return texts[lo : np.searchsorted(texts["size"], part["size"][-1] / threshold + 1e-6, side="right")]
+
+
+def _batch(found: list[np.ndarray], blocks: list[tuple]) -> pa.RecordBatch:
+    """Distinct pairs of keys and blocks still to be compared, as rows of one schema."""
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+    none = [None] * len(pairs)
+    task, left, right = zip(*blocks) if blocks else ((), (), ())
+    pad = pa.nulls(len(blocks), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [
+            *(pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, i])), pad]) for i in (0, 1)),
+            pa.array([*none, *task], pa.int32()),
+            pa.array([*none, *left], pa.binary()),
+            pa.array([*none, *right], pa.binary()),
+        ],
+        ["e", "t", "task", "left", "right"],
+    )
 
 
-def _scan(shards: int, pair_limit: int | None):
-    """The work of one shard: build the automaton, scan, match, put off what is too common."""
+def _scan(shards: int, pair_limit: int, threshold: float):
+    """The work of one shard: build the automaton, scan, screen, cut what is common into blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages: dict[str, int] = {}
-        owners: list[set[tuple[int, int, int]]] = []
-        hashes: list[int] = []
-        training: list[tuple[list[int], list[str]]] = []
+        owners: tuple[list, list] = ([], [])
+        hits: tuple[list, list] = ([], [])
+        training: list[tuple[np.ndarray, list[str]]] = []
+        task = 0
         for batch in batches:
             for row in batch.to_pylist():
+                task, texts = row["shard"], np.frombuffer(row["texts"], _TEXT)
                 if row["side"]:
-                    training.append((row["keys"], row["passages"]))
+                    training.append((texts, row["passages"]))
                     continue
-                for key, at, own, h, text in zip(row["keys"], row["at"], row["own"], row["hashes"], row["passages"]):
-                    i = passages.setdefault(text, len(owners))
-                    if i == len(owners):
-                        owners.append(set())
-                        hashes.append(h)
-                    owners[i].add((key, at, own))
-        if not owners:
+                owners[0].append(texts)
+                owners[1].append(np.array([passages.setdefault(x, len(passages)) for x in row["passages"]], np.int64))
+        if not passages:
             return
         automaton = ahocorasick.Automaton()
         for text, i in passages.items():
             automaton.add_word(text, i)
         automaton.make_automaton()
+        count = len(passages)
         passages.clear()
-        hit: dict[int, set[int]] = defaultdict(set)
-        for keys, texts in training:
-            for key, text in zip(keys, texts):
-                for _, i in automaton.iter(text):
-                    hit[i].add(key)
-        out: list[tuple] = []
-        for i, own in enumerate(owners):
-            found = hit.get(i, ())
-            pairs = len(own) * len(found)
-            if pair_limit is not None and pairs > pair_limit:
-                out.extend((key, None, n, pairs, hashes[i]) for key, _, n in own)
-            elif found:
-                out.extend((key, t, at, None, None) for key, at, _ in own for t in found)
-            if len(out) > 50_000:
-                yield _rows(out)
-                out = []
-        if out:
-            yield _rows(out)
+        for texts, cuts in training:
+            found = [(j, i) for j, text in enumerate(cuts) for _, i in automaton.iter(text)]
+            if found:
+                which, ids = np.array(found, np.int64).T
+                hits[0].append(texts[which])
+                hits[1].append(ids)
+        training.clear()
+        if not hits[0]:
+            return
+        left, a = _by_passage(*owners, count)
+        right, b = _by_passage(*hits, count)
+        wide = np.diff(b)
+        pairs = np.diff(a) * wide
+        few = np.flatnonzero((pairs > 0) & (pairs <= pair_limit))
+        for part in np.split(few, np.flatnonzero(np.diff(np.cumsum(pairs[few]) // _AT_ONCE)) + 1):
+            n = pairs[part]
+            of = np.repeat(part, n)
+            k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            x, y = left[a[of] + k // wide[of]], right[b[of] + k % wide[of]]
+            keep = _partners(x, y, threshold)
+            yield _batch([np.stack((x["key"][keep], y["key"][keep]), axis=1)], [])
+        blocks, size = [], 0
+        for i in np.flatnonzero(pairs > pair_limit):
+            x, y = left[a[i] : a[i + 1]], right[b[i] : b[i + 1]]
+            # so large that a text is sent to no more than about the root of the tasks' number
+            step = max(_BLOCK, math.ceil(max(len(x), len(y)) / math.sqrt(shards)))
+            for u in range(0, len(x), step):
+                part = x[u : u + step]
+                near = _sized(y, part, threshold)
+                for v in range(0, len(near), step):
+                    task = (task + 1) % shards
+                    blocks.append((task, part.tobytes(), near[v : v + step].tobytes()))
+                    size += len(blocks[-1][1]) + len(blocks[-1][2])
+                    if size > _FLUSH:
+                        yield _batch([], blocks)
+                        blocks, size = [], 0
+        if blocks:
+            yield _batch([], blocks)
 
     return run
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-    cols = list(zip(*out))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["e", "t", "at", "pairs", "hash"])
+def _compare(threshold: float):
+    """Blocks of evaluation and training texts to the pairs ``(e, t)`` that pass the screen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, size = [], 0
+            for x, y in zip(batch.column("left"), batch.column("right")):
+                x, y = np.frombuffer(x.as_py(), _TEXT), np.frombuffer(y.as_py(), _TEXT)
+                for u in range(0, len(x), 128):
+                    part = x[u : u + 128]
+                    near = _sized(y, part, threshold)
+                    for v in range(0, len(near), _AT_ONCE // 128):
+                        other = near[v : v + _AT_ONCE // 128]
+                        i, j = np.nonzero(_partners(part[:, None], other[None, :], threshold))
+                        found.append(np.stack((part["key"][i], other["key"][j]), axis=1))
+                        size += len(i)
+                        if size > _AT_ONCE:
+                            yield _batch(found, []).select(["e", "t"])
+                            found, size = [], 0
+            yield _batch(found, []).select(["e", "t"])
 
+    return run
 
-def covered_pairs(
+
+def candidate_pairs(
     evaluation: DataFrame,
     training: DataFrame,
+    threshold: float,
     width: int = 16,
     per_text: int = 16,
     pair_limit: int = 256,
-    enough: int = 6,
     shards: int | None = None,
 ) -> DataFrame:
-    """Candidate pairs ``(e, t, covered)`` of keys: words of evaluation text e that t's matches cover."""
+    """Distinct pairs ``(e, t)`` of keys that share a passage and pass the screen."""
     count = shards or spread(training, least=48)
-    schema = "e long, t long, at int, pairs long, hash long"
-
-    def scan(side: DataFrame, limit: int | None, wanted: np.ndarray | None = None) -> DataFrame:
-        lines = _route(training, 1, count, width, per_text, wanted)
-        both = _route(side, 0, count, width, per_text).unionByName(lines)
-        return both.repartitionById(count, "shard").mapInArrow(_scan(count, limit), schema)
-
-    first = materialize(scan(evaluation, pair_limit))
-    # rows without t: a put-off passage of e, with (in at) the number of distinct passages e has
-    off = first.where("t is null").groupBy("e").agg(
-        F.max("at").alias("n"), F.sort_array(F.collect_set(F.struct("pairs", "hash"))).alias("off")
-    )
-    weak = materialize(
-        off.withColumn("kept", F.col("n") - F.size("off"))
-        .where(F.col("kept") < enough)
-        .select(F.col("e").alias("key"), F.expr(f"transform(slice(off, 1, greatest(1, {enough} - kept)), x -> x.hash)").alias("only"))
-    )
-    found = first.where("t is not null").select("e", "t", "at")
-    if not weak.isEmpty():
-        had = semi_join_checked(evaluation, weak, "key").groupBy("key").agg(F.first("text").alias("text"))
-        again = had.join(weak, "key")
-        hashes = weak.select(F.explode("only").alias("h")).distinct()
-        few = hashes.limit(_FEW + 1).toPandas()["h"].to_numpy()
-        wanted = np.sort(few) if len(few) <= _FEW else None
-        found = found.unionByName(scan(again, None, wanted).where("t is not null").select("e", "t", "at"))
-    intervals = found.groupBy("e", "t").agg(F.sort_array(F.collect_set("at")).alias("starts"))
-    return intervals.select("e", "t", _merged(F.col("starts"), width).alias("covered"))
-
-
-def _merged(starts, width: int):
-    """Words covered by the union of runs of ``width`` words at sorted starts."""
-    zero = F.struct(F.lit(0).alias("total"), F.lit(-(10**9)).alias("end"))
-    step = lambda acc, x: F.struct(
-        (acc["total"] + F.least(F.lit(width), x + F.lit(width) - acc["end"])).alias("total"), (x + F.lit(width)).alias("end")
-    )
-    return F.aggregate(starts, zero, step, lambda acc: acc["total"])
+    both = _route(evaluation, 0, count, width, per_text).unionByName(_route(training, 1, count, width, per_text))
+    schema = "e long, t long, task int, left binary, right binary"
+    first = materialize(both.repartitionById(count, "shard").mapInArrow(_scan(count, pair_limit, threshold), schema))
+    blocks = first.where("task is not null").select("task", "left", "right").repartitionById(count, "task")
+    common = blocks.select("left", "right").mapInArrow(_compare(threshold), "e long, t long")
+    return first.where("task is null").select("e", "t").union(common).distinct()
 
 
 def split_overlaps(
@@ -261,16 +285,15 @@ def split_overlaps(
     for s in sides[1:]:
         evals = evals.unionByName(s)
     train = keyed(training, id_col, text_col)
-    pairs = materialize(covered_pairs(evals.select("key", "text"), train.select("key", "text"), **scan))
+    pairs = materialize(candidate_pairs(evals.select("key", "text"), train.select("key", "text"), threshold, **scan))
     needed = materialize(pairs.select(F.col("e").alias("key")).union(pairs.select("t")).distinct())
     rows = evals.unionByName(train.withColumn("split", F.lit(None).cast("string")))
     rows = materialize(semi_join_checked(rows, needed, "key"))
     texts = rows.groupBy("key").agg(F.first("text").alias("text"))
     same = pairs.where("e = t").select("e", "t", F.lit(1.0).alias("similarity"))
     different = pairs.where("e != t").select(F.col("e").alias("a"), F.col("t").alias("b"))
-    close = materialize(screen_pairs(different, texts, threshold))
-    kept = materialize(close.select(F.col("a").alias("key")).union(close.select("b")).distinct())
-    near = verify_pairs(close, shingle_sets(semi_join_checked(texts, kept, "key")), threshold)
+    kept = materialize(different.select(F.col("a").alias("key")).union(different.select("b")).distinct())
+    near = verify_pairs(different, shingle_sets(semi_join_checked(texts, kept, "key")), threshold)
     links = same.unionByName(near.select(F.col("a").alias("e"), F.col("b").alias("t"), "similarity"))
     left = rows.where("split is not null").select("split", F.col("id").alias("eval_id"), F.col("key").alias("e")).distinct()
     right = rows.where("split is null").select(F.col("id").alias("train_id"), F.col("key").alias("t")).distinct()

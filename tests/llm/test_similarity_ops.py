@@ -108,6 +108,33 @@ def test_overlaps_equal_brute_force(spark):
     assert report and all(s is None or s == s.strip().lower() for _, s in report)
 
 
+def family(seed, edits, tail, n=50, words=300):
+    """Training and evaluation versions of one letter, each with edits and an ending of its own."""
+    rng = random.Random(seed)
+    letter = [f"l{i}" for i in range(words)]
+    out = []
+    for i in range(2 * n):
+        text = list(letter)
+        for k in rng.sample(range(words), edits):
+            text[k] = f"e{i}x{k}"
+        out.append((f"{i:04d}", " ".join(text + [f"t{i}x{k}" for k in range(tail if i >= n else 0)])))
+    return out[:n], out[n:]
+
+
+def check_family(spark, train, test):
+    schema = "complaint_id string, narrative string"
+    found = overlap.split_overlaps(spark.createDataFrame(train, schema), {"test": spark.createDataFrame(test, schema)}, "complaint_id", "narrative")
+    got = {(r["train_id"], r["eval_id"]) for r in found.collect()}
+    want = {(a, b) for a, x in train for b, y in test if sim(x, y) >= 0.8}
+    assert got <= want and len(want) > 1000
+    assert len(got) >= 0.995 * len(want), (len(got), len(want))
+
+
+def test_passages_broken_by_own_edits_do_not_cost_partners(spark):
+    """Every shared passage joins more than 256 pairs, and many texts have six passages that none shares."""
+    check_family(spark, *family(11, edits=3, tail=0))
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "complaint_id string, narrative string")
     one = spark.createDataFrame([("1", "a b c d e f")], "complaint_id string, narrative string")
