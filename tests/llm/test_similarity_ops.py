@@ -135,6 +135,11 @@ def test_passages_broken_by_own_edits_do_not_cost_partners(spark):
     check_family(spark, *family(11, edits=3, tail=0))
 
 
+def test_texts_with_few_unshared_passages_keep_partners(spark):
+    """All common passages count: also those beyond the few that fill a text up to six."""
+    check_family(spark, *family(12, edits=2, tail=20))
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "complaint_id string, narrative string")
     one = spark.createDataFrame([("1", "a b c d e f")], "complaint_id string, narrative string")
