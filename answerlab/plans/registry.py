@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlab.config import LABEL_COUNTS, SPLIT_DATES, TABULAR_FIELDS
+from answerlab.config import BOOTSTRAPS, LABEL_COUNTS, SPLIT_DATES, SPLIT_ROWS, TABULAR_FIELDS
 from answerlab.functions import scalar
 from answerlab.operators import answer_cache, csvrecords, features, metrics, models, prepare
 from answerlab.plans.report import grid_bootstrap, result_rows
-from answerlab.session import table
+from answerlab.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -508,13 +508,12 @@ def accuracy(spark: SparkSession, d: str) -> DataFrame:
 # ---- models
 
 
-def _built(spark: SparkSession, d: str) -> DataFrame:
-    """Drawn splits of the plan's sizes with tabular codes and two vectors of word counts as answers."""
-    n = {"train": 400, "dev": 400, "test": 600}
+def _built(spark: SparkSession, d: str, sizes: dict[str, int] = SPLIT_ROWS) -> DataFrame:
+    """Drawn splits, of the plan's sizes unless told otherwise, with tabular codes and two vectors of word counts as answers."""
     vocabulary = features.fit_vocabulary(table(spark, d, "split_train"))
     labels = table(spark, d, "test_labels")
     out = None
-    for s, most in n.items():
+    for s, most in sizes.items():
         rows = table(spark, d, f"split_{s}")
         rows = rows if s != "test" else rows.join(labels, "complaint_id")
         rows = prepare.portable_sample(rows.where("y is not null and narrative is not null"), most, 0, "complaint_id").withColumn("split", F.lit(s))
@@ -531,13 +530,13 @@ def _built(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def arm_grid(spark: SparkSession, d: str) -> DataFrame:
     """Test scores of the arms whose features these tables have; label draws and samples are the plan's sampling operators."""
-    return models.run_grid(_built(spark, d), models.ARMS, (100,), ("tab", "local", "hosted"))
+    return models.run_grid(_built(spark, d), models.ARMS, LABEL_COUNTS, ("tab", "local", "hosted"))
 
 
 @query()
 def arm_results(spark: SparkSession, d: str) -> DataFrame:
-    scores = arm_grid(spark, d)
-    rows = result_rows(scores, grid_bootstrap(scores, 50))
+    scores = materialize(arm_grid(spark, d))  # read three times
+    rows = result_rows(scores, grid_bootstrap(scores, BOOTSTRAPS))
     return spark.createDataFrame(rows, "arm_id int, arm string, n_labels int, labels_drawn int, seeds int, pr_auc double, pr_auc_lo double, pr_auc_hi double, roc_auc double, lift double")
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import json
 import math
 import sys
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 
 from answerlab.functions import scalar
 from answerlab.operators import answerers as A
-from answerlab.operators import features, metrics, models
+from answerlab.config import BOOTSTRAPS, LABEL_COUNTS, SPLIT_ROWS
+from answerlab.operators import features, metrics, models, prepare
 from answerlab.operators.answer_cache import AnswerCache, Backup
 from answerlab.operators.questions import Question, QuestionSet, load_questions
-from answerlab.plans import guard
+from answerlab.plans import guard, registry
 from answerlab.plans.report import interval, run_report, say
 
 
@@ -184,3 +186,31 @@ def test_report_end_to_end(spark, tmp_path):
     assert base["pr_auc"] == pytest.approx(0.25) and base["roc_auc"] == pytest.approx(0.5)
     assert json.loads((tmp_path / "headline.json").read_text())["hosted_vs_local"]["verdict"]
     assert (tmp_path / "results.csv").read_text().startswith("arm_id,arm,")
+
+
+def test_grid_is_registered_at_the_plans_sizes(spark, tmp_path, monkeypatch):
+    """Rows drawn, label counts and boots of ``arm_grid`` and ``arm_results``."""
+    fields = ("company", "product", "sub_product", "issue", "sub_issue", "state", "tags", "submitted_via")
+    rows = [(f"{i}", f"fee called {i}", i % 2, datetime.date(2022, 1, 1), *("a" for _ in fields)) for i in range(30)]
+    table = spark.createDataFrame(rows, "complaint_id string, narrative string, y int, date_received date, " + ", ".join(f"{f} string" for f in fields))
+    for s in ("train", "dev"):
+        table.write.parquet(f"{tmp_path}/split_{s}.parquet")
+    table.drop("y").write.parquet(f"{tmp_path}/split_test.parquet")
+    table.select("complaint_id", "y").write.parquet(f"{tmp_path}/test_labels.parquet")
+    drawn, counts, boots = [], [], []
+    sample = prepare.portable_sample
+    monkeypatch.setattr(prepare, "portable_sample", lambda df, n, *a: drawn.append(n) or sample(df, n, *a))
+    small = registry._built(spark, str(tmp_path), {"train": 20, "dev": 10, "test": 5})
+    assert {r["split"]: r["count"] for r in small.groupBy("split").count().collect()} == drawn_sizes(drawn)
+    drawn.clear()
+    scored = spark.createDataFrame([(0, 300, 300, 0, "1", 1, 0.5)], "arm_id int, n_labels int, labels_drawn int, seed int, complaint_id string, y int, score double")
+    monkeypatch.setattr(models, "run_grid", lambda built, arms, labels, parts: counts.append(labels) or scored)
+    monkeypatch.setattr(registry, "grid_bootstrap", lambda scores, n=BOOTSTRAPS: boots.append(n))
+    monkeypatch.setattr(registry, "result_rows", lambda *a: [])
+    registry.arm_results(spark, str(tmp_path))
+    assert drawn_sizes(drawn) == SPLIT_ROWS
+    assert counts == [LABEL_COUNTS] and boots == [BOOTSTRAPS]
+
+
+def drawn_sizes(drawn):
+    return dict(zip(("train", "dev", "test"), drawn))
