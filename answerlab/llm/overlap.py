@@ -1,27 +1,27 @@
-"""Same or near-same records across splits: sharded Aho-Corasick automata over evaluation passages.
-
-Texts are normalised to lower-cased words, and each word to one code point, so that an automaton
-spends one node on a word and a text is scanned word by word.  Passages are runs of
-``width`` words at content-defined places: a run is taken where its hash is below ``per_text``
-over the number of runs in its text.  As the place depends on the words alone, a training text
-holds the same runs as an evaluation text that shares them, and both are sent to the shard that
-the hash names.  Each shard builds one automaton over its evaluation passages and scans
-the training runs it was sent, so every training text is scanned once, and the work
-grows with the two sides' sum, not their product.
-
-Every passage row carries its text's size and bit sketch, so a pair of texts that shares a passage is screened
-where it arises: by the ratio of the sizes, which is exact, and by the sketches.  What passes is
+"""Same or near-same records across splits: Aho-Corasick automata over sharded evaluation passages scan whole training texts.
+
+Passages.  An evaluation text of ``n`` runs of five words is tiled by passages of 16 and more words, some words
+off its ends.  Two texts of similarity ``s`` differ in at most ``(1 - s) n`` runs, and each place where
+they differ (insertion, deletion, replacement, moved block) costs ``4 (1 + s)`` of them, a loss at an end more than
+that before it reaches a passage.  So at most ``kill = (1 - s) n / (4 (1 + s))`` passages are broken, fewer than there are:
+every partner holds at least ``m - kill`` of the ``m`` passages word for word.  A text too short to lose a passage
+has its middle as the only one.  Texts that repeat runs of their own have the bound only for the copies' edits; all their
+passages count.
+
+Sharding.  Training texts are kept whole, in chunks of bounded size.  A passage goes to the chunks that hold its anchor, the
+least-hashed five words of its first sixteen, which any text that holds the passage emits too.  Each chunk builds one automaton over the
+passages it was sent and streams all its texts through it.  A chunk's anchors are distinct, and so are passages, so neither
+boilerplate nor copies multiply what is sent.
+
+Coverage.  A passage's matched interval of the evaluation text is kept where any training text holds it; merged intervals are the coverage
+of the record.  A record with more than ``kill`` passages unmatched has no partner and leaves here.  Of the others,
+the ``kill + 1`` passages with the fewest matches must hold one that a partner shares (the prefix
+filter), so popular passages join only texts that hold little else.  Candidates are filtered by size, which is exact, and
 verified exactly.
-
-Boilerplate: a passage that joins more than ``pair_limit`` pairs of texts is cut into blocks of its evaluation and
-training texts, which several tasks compare.  No passage is put off and no text left out for being popular;
-the pairs of a passage that stands in a fixed share of all texts grow with the square of the
-tables, at a few nanoseconds a pair.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,300 +30,350 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerlab.functions import textkernels as K
-from answerlab.llm.neardup import keyed
-from answerlab.operators.similarity import shingle_sets, verify_pairs
-from answerlab.session import materialize, semi_join_checked, spread
+from answerlab.llm import textkernels as K
+from answerlab.llm.similarity import shingle_sets, verify_pairs
+from answerlab.session import materialize, semi_join_checked, small_enough, spread
 
-#: Texts below so many shingles are matched by all their shingles instead of by sampled long passages.
-_SHORT = 24
-#: How much denser training texts are sampled, as theirs may be longer than the evaluation text.
-_SLACK = 1.5
 _SHINGLE = 5
-#: A text beside each of its passages: what the screen needs.
-_TEXT = np.dtype([("key", "<i8"), ("first", "<u8"), ("more", "<u4"), ("size", "<i4")])
-#: Texts a side of a block at least, pairs compared at once, and bytes of blocks a batch.
-_BLOCK, _AT_ONCE, _FLUSH = 2_048, 1 << 19, 1 << 22
-
-
-def _code_points(words: np.ndarray) -> str:
-    """One code point a word, from its hash; a clash can only add a candidate."""
-    code = (words % np.uint64(0x10F000 - 0x800)).astype(np.uint32) + np.uint32(1)
-    code[code >= 0xD800] += np.uint32(0x800)
-    return code.tobytes().decode("utf-32-le")
-
-
-def _below(hashes: np.ndarray, offsets: np.ndarray, bound: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, run) of the runs whose hash is below ``bound`` over the distinct runs of their text."""
-    n = np.diff(offsets)
-    share = np.repeat(np.minimum(1.0, bound / np.maximum(distinct, 1)), n)
-    take = np.flatnonzero((hashes >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share)
-    return np.repeat(np.arange(len(n)), n)[take], take
-
-
-def _passages(texts: list[str], keys: np.ndarray, width: int, per_text: int, training: bool) -> Iterator[tuple]:
-    """(text, hash, passage) of all passages of some texts, as arrays and a list."""
-    for s in K.shingle_texts(texts, _SHINGLE):
-        codes = _code_points(s.words)
-        size = K.distinct_counts(s.hashes, s.offsets)
-        rows = np.empty(s.size, _TEXT)
-        rows["key"], rows["size"] = keys[s.start : s.start + s.size], size
-        rows["first"], rows["more"] = K.bit_sketch(K.minhash(s.hashes, s.offsets, K.SKETCH_BITS, seed=991))
-        short = np.where(size <= (_SHORT * 1.25 + 1 if training else _SHORT), np.inf, 0.0)
-        long = np.where(size > (0 if training else _SHORT), per_text * (_SLACK if training else 1.0), 0.0)
-        hashes, offsets, at = K.combine(s.words, s.first, width)
-        # a text that repeats itself is measured by its distinct runs
-        runs = K.distinct_counts(hashes, offsets) if (size < np.diff(s.offsets)).any() else np.diff(offsets)
-        for w, h, o, a, bound, distinct in ((_SHINGLE, s.hashes, s.offsets, s.at, short, size), (width, hashes, offsets, at, long, runs)):
-            doc, take = _below(h, o, bound, distinct)
-            start = a[take]
-            end = np.minimum(start + w, s.first[doc + 1])
-            yield rows[doc], h[take], [codes[x:y] for x, y in zip(start.tolist(), end.tolist())]
-
-
-def _route(texts: DataFrame, side: int, shards: int, width: int, per_text: int) -> DataFrame:
-    """``(key, text)`` to rows of one shard: its passages and, packed, the text of each."""
+#: Runs of five words whose least hash is a passage's anchor, and so the words a tiled passage has at least.
+_WINDOW, _WIDTH = 12, 16
+_MARGIN = 8
+#: Between two texts of a chunk; no word has this code.
+_GAP = 1
+#: A chunk is closed at this many texts or words: what one task holds at once.
+CHUNK_TEXTS, CHUNK_WORDS = 8_192, 4_000_000
+
+
+class Tiling:
+    """The passages of evaluation texts for one threshold."""
+
+    def __init__(self, threshold: float) -> None:
+        per_break = (_SHINGLE - 1) * (1 + threshold)
+        if (1 - threshold) * 2.25 * _WIDTH > per_break + 1e-9:
+            raise ValueError(f"passages of {_WIDTH} words lose no partner only from a similarity of {1 - per_break / 2.25 / _WIDTH / 2:.2f} on")
+        self.threshold, self.per_break = threshold, per_break
+        #: Distinct runs up to which a text is short, and those of its longest partner.
+        self.short = _WINDOW + 5
+        self.short_partner = int(self.short / threshold + 1e-9)
+
+    def passages(self, s: K.Shingled) -> tuple[np.ndarray, ...]:
+        """(text, first word, end word, anchor, breakable passages of the text) of every passage of some texts."""
+        words = np.diff(s.first)
+        runs = np.diff(s.offsets)
+        distinct = K.distinct_counts(s.hashes, s.offsets)
+        lost = (1 - self.threshold) * runs
+        kill = np.floor(lost / self.per_break + 1e-9).astype(np.int64)
+        again = distinct < runs
+        # short texts that repeat themselves: distinct runs, one more than a partner may lack
+        repeating = np.flatnonzero(again & (distinct <= self.short))
+        text, lo, hi, can = [], [], [], []
+        for i in repeating.tolist():
+            _, at = np.unique(s.hashes[s.offsets[i] : s.offsets[i + 1]], return_index=True)
+            at = at[: int((1 - self.threshold) * len(at) + 1e-9) + 1]
+            text += [i] * len(at)
+            lo += (s.first[i] + at).tolist()
+            hi += (s.first[i] + at + _SHINGLE).tolist()
+            can += [len(at)] * len(at)
+        one = np.flatnonzero((words > 0) & (kill == 0) & ~(again & (distinct <= self.short)))
+        trim = np.floor(lost[one] + 1e-9).astype(np.int64)
+        many = np.flatnonzero((kill > 0) & ~(again & (distinct <= self.short)))
+        margin = np.clip((words[many] - _WIDTH * (kill[many] + 1)) // 2, 0, _MARGIN)
+        inner = words[many] - 2 * margin
+        count = np.maximum(1, inner // _WIDTH)
+        k = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        begin, inner_, count_ = (np.repeat(x, count) for x in (s.first[many] + margin, inner, count))
+        text = np.concatenate([np.array(text, np.int64), one, np.repeat(many, count)])
+        lo = np.concatenate([np.array(lo, np.int64), s.first[one] + trim, begin + k * inner_ // count_])
+        hi = np.concatenate([np.array(hi, np.int64), s.first[one + 1] - trim, begin + (k + 1) * inner_ // count_])
+        can = np.concatenate([np.array(can, np.int64), np.zeros(len(one), np.int64), np.repeat(np.where(again, words, kill)[many], count)])
+        # run ``i`` of a text starts at its word ``i``
+        run = lo - s.first[text] + s.offsets[text]
+        size = np.minimum(np.maximum(hi - lo - _SHINGLE + 1, 1), _WINDOW)
+        anchor = np.minimum.reduceat(s.hashes[K.ranges(run, size)], np.cumsum(size) - size) if len(run) else np.empty(0, np.uint64)
+        return text, lo, hi, anchor, can
+
+    def anchors(self, s: K.Shingled) -> np.ndarray:
+        """Distinct anchors of all passages that some training texts may hold of a partner."""
+        least = K.sliding_min(s.hashes, _WINDOW)
+        runs = np.diff(s.offsets)
+        inside = np.repeat(runs >= _WINDOW, runs)[: len(least)]
+        inside &= np.arange(len(least)) + _WINDOW <= np.repeat(s.offsets[1:], runs)[: len(least)]
+        # a passage of fewer runs is a short text's: its partners are short too and emit every run
+        short = np.repeat(K.distinct_counts(s.hashes, s.offsets) <= self.short_partner, runs)
+        return np.unique(np.concatenate([least[inside], s.hashes[short]]))
+
+
+def _codes(words: np.ndarray) -> np.ndarray:
+    """A 16-bit code of each word, from its hash; a clash can only add a candidate."""
+    return ((words >> np.uint64(13)) % np.uint64(0xD7F0) + np.uint64(_GAP + 1)).astype(np.uint16)
+
+
+def _binary(codes: np.ndarray, size: np.ndarray) -> pa.Array:
+    """One binary value a passage of ``size`` codes."""
+    offsets = np.concatenate(([0], np.cumsum(size * 2))).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(codes.tobytes())])
+
+
+_EVAL = "key long, size int, total int, kill int, passage long, anchor long, codes binary, lo int, hi int"
+
+
+def _evaluation(rows: DataFrame, tiling: Tiling) -> DataFrame:
+    """``(id, text, split)`` to membership rows ``(id, split, key)`` and passage rows.
+
+    In a task a text's passages come once, and a passage's words once.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    names = [x.split()[0] for x in _EVAL.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        known = np.empty(0, np.int64)
         for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            fresh = [i for i, k in enumerate(keys.tolist()) if k not in seen and not seen.add(k)]
-            if not fresh:
-                continue
-            texts_ = batch.column("text").take(pa.array(fresh, pa.int64())).to_pylist()
-            rows, hashes, cuts = [], [], []
-            for r, h, c in _passages(texts_, keys[fresh], width, per_text, side == 1):
-                rows.append(r)
-                hashes.append(h)
-                cuts.extend(c)
-            where = (np.concatenate(hashes) % np.uint64(shards)).astype(np.int32)
-            order = np.argsort(where, kind="stable")
-            packed = np.concatenate(rows)[order]
-            bounds = np.searchsorted(where[order], np.arange(shards + 1))
-            used = np.flatnonzero(np.diff(bounds))
-            offsets = pa.array(np.append(bounds[used], len(order)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
+            for s in K.shingle_texts(batch.column("text").to_pylist(), _SHINGLE):
+                live = np.flatnonzero(np.diff(s.first) > 0)
+                keys = K.content_keys(s.words, s.first)
+                fresh = np.array([bool(k not in seen and not seen.add(k)) for k in keys.tolist()])
+                text, lo, hi, anchor, kill = tiling.passages(s)
+                use = fresh[text]
+                text, lo, hi, anchor, kill = (x[use] for x in (text, lo, hi, anchor, kill))
+                passage = K.span_hashes(s.words, lo, hi).view(np.int64)
+                _, first = np.unique(passage, return_index=True)
+                first = np.sort(first[~np.isin(passage[first], known)])
+                known = np.concatenate([known, passage[first]])
+                codes = _binary(_codes(s.words)[K.ranges(lo[first], (hi - lo)[first])], (hi - lo)[first])
+                where = np.full(len(passage), -1)
+                where[first] = np.arange(len(first))
+                codes = codes.take(pa.array(where, pa.int64(), mask=where < 0))
+                total = np.bincount(text, hi - lo, minlength=s.size).astype(np.int64)
+                size = K.distinct_counts(s.hashes, s.offsets)
+                per = [keys[text], size[text], total[text], kill, passage, anchor.view(np.int64), codes, lo - s.first[text], hi - s.first[text]]
+                part = [batch.column(c).take(pa.array(live + s.start)) for c in ("id", "split")]
+                cols = [pa.concat_arrays([p, pa.nulls(len(text), p.type)]) for p in part]
+                for name, col, spec in zip(names, per, _EVAL.split(", ")):
+                    t = types[spec.split()[1]]
+                    head = pa.array(keys[live], t) if name == "key" else pa.nulls(len(live), t)
+                    cols.append(pa.concat_arrays([head, col if name == "codes" else pa.array(col, t)]))
+                yield pa.RecordBatch.from_arrays(cols, ["id", "split", *names])
+
+    return rows.select("id", "split", "text").mapInArrow(run, f"id {kind}, split string, {_EVAL}")
+
+
+def _training(rows: DataFrame, tiling: Tiling) -> DataFrame:
+    """``(id, text)`` to chunks of whole texts: their keys, sizes, words as codes, anchors, and the ids of the rows."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        ids: list[pa.Array] = []
+        id_keys: list[np.ndarray] = []
+        parts: list[tuple] = []
+        seen: set[int] = set()
+        texts = words = 0
+
+        def chunk() -> pa.RecordBatch:
+            one = lambda x, t: pa.array([x], pa.list_(t))
+            keys, size, length, codes = (np.concatenate(x) for x in list(zip(*parts))[:4])
+            anchors = np.unique(np.concatenate([p[4] for p in parts])).view(np.int64)
+            every = pa.concat_arrays(ids)
+            return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(used, pa.int32()),
-                    pa.array(np.full(len(used), side), pa.int32()),
-                    pa.array([packed[bounds[i] : bounds[i + 1]].tobytes() for i in used], pa.binary()),
-                    pa.ListArray.from_arrays(offsets, pa.array(cuts, pa.string()).take(pa.array(order))),
+                    pa.array([number], pa.int64()), one(keys, pa.int64()), one(size, pa.int32()), one(length, pa.int32()),
+                    pa.array([codes.tobytes()], pa.binary()), one(anchors, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every), one(np.concatenate(id_keys), pa.int64()),
                 ],
-                ["shard", "side", "texts", "passages"],
-            )
-
-    return texts.select("key", "text").mapInArrow(run, "shard int, side int, texts binary, passages array<string>")
-
-
-def _by_passage(rows: list[np.ndarray], passages: list[np.ndarray], count: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct texts of each passage by size, and where each passage's begin."""
-    texts, ids = np.concatenate(rows), np.concatenate(passages)
-    order = np.lexsort((texts["key"], texts["size"], ids))
-    texts, ids = texts[order], ids[order]
-    new = np.append(True, (ids[1:] != ids[:-1]) | (texts["key"][1:] != texts["key"][:-1]))
-    return texts[new], np.searchsorted(ids[new], np.arange(count + 1))
-
-
-def _partners(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of texts may be at the threshold, by their sizes and sketches; shapes broadcast."""
-    differ = np.bitwise_count(left["first"] ^ right["first"]) + np.bitwise_count(left["more"] ^ right["more"])
-    near = differ <= K.SKETCH_BITS - K.sketch_limit(threshold)
-    a, b = left["size"], right["size"]
-    return near & (a >= threshold * b - 1e-6) & (b >= threshold * a - 1e-6)
-
-
-def _sized(texts: np.ndarray, part: np.ndarray, threshold: float) -> np.ndarray:
-    """Those of some texts by size that are neither too short nor too long for all of ``part``, by size too."""
-    lo = np.searchsorted(texts["size"], threshold * part["size"][0] - 1e-6, side="left")
-    return texts[lo : np.searchsorted(texts["size"], part["size"][-1] / threshold + 1e-6, side="right")]
-
-
-def _batch(found: list[np.ndarray], blocks: list[tuple]) -> pa.RecordBatch:
-    """Distinct pairs of keys and blocks still to be compared, as rows of one schema."""
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-    none = [None] * len(pairs)
-    task, left, right = zip(*blocks) if blocks else ((), (), ())
-    pad = pa.nulls(len(blocks), pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [
-            *(pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, i])), pad]) for i in (0, 1)),
-            pa.array([*none, *task], pa.int32()),
-            pa.array([*none, *left], pa.binary()),
-            pa.array([*none, *right], pa.binary()),
-        ],
-        ["e", "t", "task", "left", "right"],
-    )
+                ["chunk", "keys", "sizes", "lengths", "codes", "anchors", "ids", "id_keys"],
+            )
 
+        for batch in batches:
+            for s in K.shingle_texts(batch.column("text").to_pylist(), _SHINGLE):
+                keys, count = K.content_keys(s.words, s.first), np.diff(s.first)
+                live = np.flatnonzero(count > 0)
+                ids.append(batch.column("id").take(pa.array(live + s.start)))
+                id_keys.append(keys[live])
+                fresh = np.array([i for i in live.tolist() if keys[i] not in seen and not seen.add(keys[i])], np.int64)
+                codes = _codes(s.words)[K.ranges(s.first[fresh], count[fresh])]
+                parts.append((keys[fresh], K.distinct_counts(s.hashes, s.offsets)[fresh], count[fresh], codes, tiling.anchors(s)))
+                texts, words = texts + len(live), words + len(codes)
+                if texts >= CHUNK_TEXTS or words >= CHUNK_WORDS:
+                    yield chunk()
+                    number, texts, words = number + 1, 0, 0
+                    ids, id_keys, parts, seen = [], [], [], set()
+        if parts:
+            yield chunk()
+
+    schema = f"chunk long, keys array<long>, sizes array<int>, lengths array<int>, codes binary, anchors array<long>, ids array<{kind}>, id_keys array<long>"
+    return rows.select("id", "text").mapInArrow(run, schema)
+
+
+_HITS = pa.schema([("passage", pa.int64()), ("t", pa.int64()), ("t_size", pa.int32()), ("chunk", pa.int64())])
+
+
+def _scan(chunks: pa.Table, passages: pa.Table) -> pa.Table:
+    """Build one chunk's automaton and stream its texts through it: ``(passage, t, t_size, chunk)`` of every match."""
+    if not chunks.num_rows or not passages.num_rows:
+        return _HITS.empty_table()
+    ids, first = np.unique(passages.column("passage").to_numpy(), return_index=True)
+    automaton = ahocorasick.Automaton()
+    for i, words in enumerate(passages.column("codes").take(pa.array(first)).to_pylist()):
+        automaton.add_word(words.decode("utf-16-le"), i)
+    automaton.make_automaton()
+    row = {c: chunks.column(c)[0] for c in ("chunk", "keys", "sizes", "lengths", "codes")}
+    keys, sizes, lengths = (row[c].values.to_numpy() for c in ("keys", "sizes", "lengths"))
+    codes = np.frombuffer(row["codes"].as_py(), np.uint16)
+    ends = np.cumsum(lengths)
+    stream = np.insert(codes, ends[:-1], _GAP)
+    ends = ends + np.arange(len(ends))
+    found = np.fromiter((x for pair in automaton.iter(stream.tobytes().decode("utf-16-le")) for x in pair), np.int64).reshape(-1, 2)
+    text = np.searchsorted(ends, found[:, 0], side="right")
+    both = np.unique(found[:, 1] * len(keys) + text)
+    passage, text = both // len(keys), both % len(keys)
+    cols = [pa.array(ids[passage]), pa.array(keys[text]), pa.array(sizes[text], pa.int32()), pa.array(np.full(len(text), row["chunk"].as_py()))]
+    return pa.Table.from_arrays(cols, schema=_HITS)
+
+
+def _covered(marks):
+    """Words of the merged intervals of matched passages."""
+    hit = F.array_sort(F.filter(marks, lambda p: p["hits"] > 0))
+    zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("end"))
+    grow = lambda a, p: F.struct((a["words"] + F.greatest(p["hi"] - F.greatest(p["lo"], a["end"]), F.lit(0))).alias("words"), F.greatest(a["end"], p["hi"]).alias("end"))
+    return F.aggregate(hit, zero, grow)["words"]
+
+
+#: Salts of a passage that very many training texts hold, and the matches from which it gets them.
+_SALTS, _HOT = 16, 4_096
+
+
+class Overlaps:
+    """The scan of training texts for evaluation records, and its results.
+
+    ``records``: one row per distinct evaluation text, ``(key, size, coverage, report)``.  ``links``: ``(e, t, similarity)`` between distinct
+    texts.  ``evaluation``: ``(split, id, key)``; ``training``: ``(id, key)``; both hold every row that counts.
+    """
 
-def _scan(shards: int, pair_limit: int, threshold: float):
-    """The work of one shard: build the automaton, scan, screen, cut what is common into blocks."""
+    def __init__(self, training: DataFrame, evaluations: dict[str, DataFrame], id_col: str, text_col: str, threshold: float = 0.8) -> None:
+        tiling = Tiling(threshold)
+
+        def rows(df: DataFrame, split: str | None) -> DataFrame:
+            out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(split).cast("string").alias("split"))
+            return out.where("id is not null and text is not null")
+
+        parts = [rows(df, name) for name, df in evaluations.items()]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        train = rows(training, None)
+        shards = spread(train, least=48)
+        left = materialize(_evaluation(every, tiling))
+        chunks = materialize(_training(train, tiling))
+        self.evaluation = left.where("id is not null").select("split", "id", "key").distinct()
+        pair = F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("id_keys").alias("key"))).alias("x")
+        self.training = chunks.select(pair).select("x.id", "x.key").distinct()
+        wanted = (
+            left.where("codes is not null").select("anchor", "passage", "codes")
+            .join(chunks.select(F.col("chunk").alias("for_chunk"), F.explode("anchors").alias("anchor")), "anchor")
+            .select("for_chunk", "passage", "codes")
+        )
+        whole = chunks.select("chunk", "keys", "sizes", "lengths", "codes")
+        scanned = whole.repartition(shards, "chunk").groupBy("chunk").cogroup(wanted.repartition(shards, "for_chunk").groupBy("for_chunk"))
+        hits = materialize(scanned.applyInArrow(_scan, "passage long, t long, t_size int, chunk long"))
+        self.hits = hits
+        counts = materialize(hits.groupBy("passage").agg(F.count(F.lit(1)).alias("hits")))
+        owners = left.where("passage is not null").select("key", "size", "total", "kill", "passage", "lo", "hi")
+        side = F.broadcast(counts) if small_enough(counts) else counts
+        marks = owners.join(side, "passage", "left").groupBy("key").agg(
+            F.max("size").alias("size"), F.max("total").alias("total"), F.max("kill").alias("kill"),
+            F.collect_set(F.struct("lo", "hi", "passage", F.coalesce("hits", F.lit(0)).alias("hits"))).alias("marks"),
+        )  # one text's passages
+        rare = F.slice(F.array_sort(F.transform("marks", lambda p: F.struct(p["hits"].alias("hits"), p["passage"].alias("passage")))), 1, F.col("kill") + 1)
+        self.records = materialize(
+            marks.select("key", "size", (_covered(F.col("marks")) / F.col("total")).alias("coverage"), F.filter(rare, lambda p: p["hits"] > 0).alias("report"))
+        )
+        self.links = materialize(self._links(every, train, threshold))
+
+    def _links(self, every: DataFrame, train: DataFrame, threshold: float) -> DataFrame:
+        report = self.records.where(F.size("report") > 0).select("key", "size", F.explode("report").alias("p"))
+        report = report.select(F.col("key").alias("e"), "size", "p.passage", "p.hits")
+        # a hot passage's matches are dealt over salts by chunk, its owners are sent to each
+        hot = materialize(report.where(F.col("hits") > _HOT).select("passage").distinct())
+        salts = F.when(F.col("hits") > _HOT, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
+        report = report.select("e", "size", "passage", F.explode(salts).alias("salt"))
+        marked = self.hits.join(F.broadcast(hot.withColumn("hot", F.lit(True))) if small_enough(hot) else hot.withColumn("hot", F.lit(True)), "passage", "left")
+        marked = marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("t"), F.lit(_SALTS))).otherwise(0).cast("int"))
+        near = (F.col("size") >= F.col("t_size") * threshold - 1e-6) & (F.col("t_size") >= F.col("size") * threshold - 1e-6)
+        pairs = materialize(report.join(marked, ["passage", "salt"]).where(near).select("e", "t").distinct())
+        same = pairs.where("e = t").select("e", "t", F.lit(1.0).alias("similarity"))
+        different = pairs.where("e != t").select(F.col("e").alias("a"), F.col("t").alias("b"))
+        keys = materialize(different.select(F.col("a").alias("key")).union(different.select("b")).distinct())
+        # one row of each text that is compared
+        owners = self.evaluation.select("id", "key").union(self.training)
+        ids = materialize(semi_join_checked(owners, keys, "key").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct())
+        texts = semi_join_checked(every.select("id", "text").union(train.select("id", "text")), ids, "id")
+        sets = semi_join_checked(shingle_sets(texts), keys, "key").dropDuplicates(["key"])
+        found = verify_pairs(different, sets, threshold)
+        return same.unionByName(found.select(F.col("a").alias("e"), F.col("b").alias("t"), "similarity"))
+
+    def pairs(self) -> DataFrame:
+        """``(split, train_id, eval_id, similarity)``, one row per pair of ids and split."""
+        left_keys, right_keys = (materialize(self.links.select(F.col(c).alias("key")).distinct()) for c in "et")
+        left = semi_join_checked(self.evaluation, left_keys, "key").select("split", F.col("id").alias("eval_id"), F.col("key").alias("e"))
+        right = semi_join_checked(self.training, right_keys, "key").select(F.col("id").alias("train_id"), F.col("key").alias("t"))
+        both = self.links.join(left, "e").join(right, "t")
+        return both.groupBy("split", "train_id", "eval_id").agg(F.max("similarity").alias("similarity"))
+
+    def per_text(self) -> DataFrame:
+        """``(key, coverage, texts, records)`` per distinct evaluation text: coverage, similar training texts, and training records that hold them."""
+        copies = self.training.groupBy(F.col("key").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+        linked = self.links.join(copies, "t").groupBy(F.col("e").alias("key")).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("records"))
+        return self.records.select("key", "coverage").join(linked, "key", "left").select(
+            "key", "coverage", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("texts", "records"))
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages: dict[str, int] = {}
-        owners: tuple[list, list] = ([], [])
-        hits: tuple[list, list] = ([], [])
-        training: list[tuple[np.ndarray, list[str]]] = []
-        task = 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                task, texts = row["shard"], np.frombuffer(row["texts"], _TEXT)
-                if row["side"]:
-                    training.append((texts, row["passages"]))
-                    continue
-                owners[0].append(texts)
-                owners[1].append(np.array([passages.setdefault(x, len(passages)) for x in row["passages"]], np.int64))
-        if not passages:
-            return
-        automaton = ahocorasick.Automaton()
-        for text, i in passages.items():
-            automaton.add_word(text, i)
-        automaton.make_automaton()
-        count = len(passages)
-        passages.clear()
-        for texts, cuts in training:
-            found = [(j, i) for j, text in enumerate(cuts) for _, i in automaton.iter(text)]
-            if found:
-                which, ids = np.array(found, np.int64).T
-                hits[0].append(texts[which])
-                hits[1].append(ids)
-        training.clear()
-        if not hits[0]:
-            return
-        left, a = _by_passage(*owners, count)
-        right, b = _by_passage(*hits, count)
-        wide = np.diff(b)
-        pairs = np.diff(a) * wide
-        few = np.flatnonzero((pairs > 0) & (pairs <= pair_limit))
-        for part in np.split(few, np.flatnonzero(np.diff(np.cumsum(pairs[few]) // _AT_ONCE)) + 1):
-            n = pairs[part]
-            of = np.repeat(part, n)
-            k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            x, y = left[a[of] + k // wide[of]], right[b[of] + k % wide[of]]
-            keep = _partners(x, y, threshold)
-            yield _batch([np.stack((x["key"][keep], y["key"][keep]), axis=1)], [])
-        blocks, size = [], 0
-        for i in np.flatnonzero(pairs > pair_limit):
-            x, y = left[a[i] : a[i + 1]], right[b[i] : b[i + 1]]
-            # so large that a text is sent to no more than about the root of the tasks' number
-            step = max(_BLOCK, math.ceil(max(len(x), len(y)) / math.sqrt(shards)))
-            for u in range(0, len(x), step):
-                part = x[u : u + step]
-                near = _sized(y, part, threshold)
-                for v in range(0, len(near), step):
-                    task = (task + 1) % shards
-                    blocks.append((task, part.tobytes(), near[v : v + step].tobytes()))
-                    size += len(blocks[-1][1]) + len(blocks[-1][2])
-                    if size > _FLUSH:
-                        yield _batch([], blocks)
-                        blocks, size = [], 0
-        if blocks:
-            yield _batch([], blocks)
-
-    return run
-
-
-def _compare(threshold: float):
-    """Blocks of evaluation and training texts to the pairs ``(e, t)`` that pass the screen."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, size = [], 0
-            for x, y in zip(batch.column("left"), batch.column("right")):
-                x, y = np.frombuffer(x.as_py(), _TEXT), np.frombuffer(y.as_py(), _TEXT)
-                for u in range(0, len(x), 128):
-                    part = x[u : u + 128]
-                    near = _sized(y, part, threshold)
-                    for v in range(0, len(near), _AT_ONCE // 128):
-                        other = near[v : v + _AT_ONCE // 128]
-                        i, j = np.nonzero(_partners(part[:, None], other[None, :], threshold))
-                        found.append(np.stack((part["key"][i], other["key"][j]), axis=1))
-                        size += len(i)
-                        if size > _AT_ONCE:
-                            yield _batch(found, []).select(["e", "t"])
-                            found, size = [], 0
-            yield _batch(found, []).select(["e", "t"])
-
-    return run
-
-
-def candidate_pairs(
-    evaluation: DataFrame,
-    training: DataFrame,
-    threshold: float,
-    width: int = 16,
-    per_text: int = 16,
-    pair_limit: int = 256,
-    shards: int | None = None,
-) -> DataFrame:
-    """Distinct pairs ``(e, t)`` of keys that share a passage and pass the screen."""
-    count = shards or spread(training, least=48)
-    both = _route(evaluation, 0, count, width, per_text).unionByName(_route(training, 1, count, width, per_text))
-    schema = "e long, t long, task int, left binary, right binary"
-    first = materialize(both.repartitionById(count, "shard").mapInArrow(_scan(count, pair_limit, threshold), schema))
-    blocks = first.where("task is not null").select("task", "left", "right").repartitionById(count, "task")
-    common = blocks.select("left", "right").mapInArrow(_compare(threshold), "e long, t long")
-    return first.where("task is null").select("e", "t").union(common).distinct()
-
-
-def split_overlaps(
-    training: DataFrame,
-    evaluations: dict[str, DataFrame],
-    id_col: str,
-    text_col: str,
-    threshold: float = 0.8,
-    **scan,
-) -> DataFrame:
+def split_overlaps(training: DataFrame, evaluations: dict[str, DataFrame], id_col: str, text_col: str, threshold: float = 0.8) -> DataFrame:
     """Pairs of a training record and an evaluation record with similarity >= ``threshold``.
 
     Returns ``(split, train_id, eval_id, similarity)``, one row per pair of ids and split.
     Records whose id is null or whose text is null or blank never count; repeated rows count once; an
     empty side gives no rows; other columns are ignored.
     """
-    sides = [keyed(df, id_col, text_col).withColumn("split", F.lit(name)) for name, df in evaluations.items()]
-    evals = sides[0]
-    for s in sides[1:]:
-        evals = evals.unionByName(s)
-    train = keyed(training, id_col, text_col)
-    pairs = materialize(candidate_pairs(evals.select("key", "text"), train.select("key", "text"), threshold, **scan))
-    needed = materialize(pairs.select(F.col("e").alias("key")).union(pairs.select("t")).distinct())
-    rows = evals.unionByName(train.withColumn("split", F.lit(None).cast("string")))
-    rows = materialize(semi_join_checked(rows, needed, "key"))
-    texts = rows.groupBy("key").agg(F.first("text").alias("text"))
-    same = pairs.where("e = t").select("e", "t", F.lit(1.0).alias("similarity"))
-    different = pairs.where("e != t").select(F.col("e").alias("a"), F.col("t").alias("b"))
-    kept = materialize(different.select(F.col("a").alias("key")).union(different.select("b")).distinct())
-    near = verify_pairs(different, shingle_sets(semi_join_checked(texts, kept, "key")), threshold)
-    links = same.unionByName(near.select(F.col("a").alias("e"), F.col("b").alias("t"), "similarity"))
-    left = rows.where("split is not null").select("split", F.col("id").alias("eval_id"), F.col("key").alias("e")).distinct()
-    right = rows.where("split is null").select(F.col("id").alias("train_id"), F.col("key").alias("t")).distinct()
-    return (
-        links.join(left, "e").join(right, "t").groupBy("split", "train_id", "eval_id").agg(F.max("similarity").alias("similarity"))
-    )
+    return Overlaps(training, evaluations, id_col, text_col, threshold).pairs()
 
 
-def overlap_report(pairs: DataFrame, evaluations: dict[str, DataFrame], id_col: str, source_col: str) -> DataFrame:
-    """Overlaps per split and source: ``(split, source, eval_records, overlapping_records, pairs)``.
-
-    The source is trimmed and lower-cased; a null source is its own group.
-    """
+def _sources(evaluations: dict[str, DataFrame], id_col: str, source_col: str) -> DataFrame:
     parts = [
-        df.where(F.col(id_col).isNotNull()).select(
-            F.lit(name).alias("split"), F.col(id_col).alias("eval_id"), F.lower(F.trim(F.col(source_col))).alias("source")
-        )
+        df.where(F.col(id_col).isNotNull()).select(F.lit(name).alias("split"), F.col(id_col).alias("id"), F.lower(F.trim(F.col(source_col))).alias("source"))
         for name, df in evaluations.items()
     ]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    rows = rows.groupBy("split", "eval_id").agg(F.min("source").alias("source"))
-    per_record = pairs.groupBy("split", "eval_id").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        rows.join(per_record, ["split", "eval_id"], "left")
-        .groupBy("split", "source")
-        .agg(
-            F.count(F.lit(1)).alias("eval_records"),
-            F.count("n").alias("overlapping_records"),
-            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("pairs"),
-        )
+    return rows.groupBy("split", "id").agg(F.min("source").alias("source"))
+
+
+def coverage_records(found: Overlaps, evaluations: dict[str, DataFrame], id_col: str, source_col: str) -> DataFrame:
+    """``(split, source, id, coverage, texts, records)`` per evaluation record; from class membership, no pair is expanded.
+
+    ``coverage`` is the share of the words of the record's passages that training texts hold; null for a record without words.  A
+    record that stands with several texts gets the greatest coverage and the sums of its texts' links.
+    """
+    per = found.evaluation.join(found.per_text(), "key").groupBy("split", "id").agg(
+        F.max("coverage").alias("coverage"), F.sum("texts").alias("texts"), F.sum("records").alias("records")
+    )
+    out = _sources(evaluations, id_col, source_col).join(per, ["split", "id"], "left")
+    return out.select("split", "source", "id", "coverage", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("texts", "records")))
+
+
+def overlap_report(records: DataFrame) -> DataFrame:
+    """:func:`coverage_records` per split and source: ``(split, source, eval_records, overlapping_records, pairs, mean_coverage)``.
+
+    The source is trimmed and lower-cased; a null source is its own group.
+    """
+    return records.groupBy("split", "source").agg(
+        F.count(F.lit(1)).alias("eval_records"),
+        F.sum((F.col("records") > 0).cast("int")).cast("bigint").alias("overlapping_records"),
+        F.sum("records").alias("pairs"),
+        F.avg("coverage").alias("mean_coverage"),
     )

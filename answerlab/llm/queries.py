@@ -16,22 +16,25 @@ Query = Callable[[SparkSession, str], DataFrame]
 VERSION_SIMILARITY = 0.6
 
 
-def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+def _overlaps(spark: SparkSession, d: str) -> tuple[overlap.Overlaps, dict[str, DataFrame]]:
     sides = {"dev": table(spark, d, "split_dev"), "test": table(spark, d, "split_test")}
-    return overlap.split_overlaps(table(spark, d, "split_train"), sides, "complaint_id", "narrative", 0.8), sides
+    return overlap.Overlaps(table(spark, d, "split_train"), sides, "complaint_id", "narrative", 0.8), sides
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Ids rise with the first receipt, so of two ids the training record's is the smaller."""
-    pairs, _ = _overlaps(spark, d)
-    return pairs.select(
-        "split", F.least("train_id", "eval_id").alias("train_id"), F.greatest("train_id", "eval_id").alias("eval_id")
-    ).distinct()
+    found, _ = _overlaps(spark, d)
+    return found.pairs().select("split", F.least("train_id", "eval_id").alias("train_id"), F.greatest("train_id", "eval_id").alias("eval_id")).distinct()
+
+
+def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
+    found, sides = _overlaps(spark, d)
+    return overlap.coverage_records(found, sides, "complaint_id", "submitted_via").withColumnRenamed("id", "complaint_id")
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    pairs, sides = _overlaps(spark, d)
-    return overlap.overlap_report(pairs, sides, "complaint_id", "submitted_via")
+    found, sides = _overlaps(spark, d)
+    return overlap.overlap_report(overlap.coverage_records(found, sides, "complaint_id", "submitted_via"))
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -100,9 +103,37 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (p1_found, p2_found, p3_found, p5_found, p8_found)
-    more = (p1_report, p2_pieces, p3_redacted, p5_groups, p6_containers, p6_report, p7_mix, p7_shares, p8_levels, p8_profile)
+    more = (p1_report, p1_coverage, p2_pieces, p3_redacted, p5_groups, p6_containers, p6_report, p7_mix, p7_shares, p8_levels, p8_profile)
     return {f.__name__: f for f in found + more}
 
 
+_WORDS = "list_filter(regexp_split_to_array(lower({}), '[ \\t\\n\\r]+'), lambda w: w <> '')"
+
+
+def _similar_sql(rows: str, left: str, right: str, threshold: float) -> str:
+    """CTEs ``r(side, id, k)`` of all rows and ``hit(ka, kb)`` of similar distinct texts of two sides; ``rows`` gives side, id and text."""
+    return f"""WITH w AS (SELECT side, id, {_WORDS.format("text")} AS ws FROM ({rows}) WHERE text IS NOT NULL AND id IS NOT NULL),
+    r AS (SELECT DISTINCT side, id, array_to_string(ws, ' ') AS k FROM w WHERE len(ws) > 0),
+    d AS (SELECT *, row_number() OVER () AS t FROM (SELECT DISTINCT side IN ({left}) AS a, side IN ({right}) AS b, array_to_string(ws, ' ') AS k, ws FROM w WHERE len(ws) > 0)),
+    s AS (SELECT a, b, t, CASE WHEN len(ws) < 5 THEN [k] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS sh FROM d),
+    e AS (SELECT a, b, t, len(sh) AS n, unnest(sh) AS h FROM s),
+    p AS (SELECT x.t AS tx, y.t AS ty FROM e x JOIN e y ON x.h = y.h AND x.a AND y.b AND x.n >= {threshold} * y.n AND y.n >= {threshold} * x.n {"AND x.t <= y.t" if left == right else ""}
+      GROUP BY x.t, y.t HAVING count(*) >= {threshold} * (any_value(x.n) + any_value(y.n) - count(*))),
+    hit AS (SELECT x.k AS ka, y.k AS kb FROM p JOIN d x ON x.t = tx JOIN d y ON y.t = ty)"""
+
+
+_SPLIT_ROWS = " UNION ALL ".join(f"SELECT '{s}' AS side, complaint_id AS id, narrative AS text FROM split_{s}" for s in ("train", "dev", "test"))
+_P1 = _similar_sql(_SPLIT_ROWS, "'train'", "'dev', 'test'", 0.8)
+_P1_PAIRS = "FROM hit JOIN r a ON a.k = ka AND a.side = 'train' JOIN r b ON b.k = kb AND b.side <> 'train'"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"{_P1} SELECT DISTINCT b.side AS split, least(a.id, b.id) AS train_id, greatest(a.id, b.id) AS eval_id {_P1_PAIRS}",
+        "p2_found": rf"""WITH n AS (SELECT complaint_id, narrative AS t, len({_WORDS.format("narrative")}) AS words FROM candidates WHERE narrative IS NOT NULL),
+            c AS (SELECT complaint_id, words, list_transform(regexp_split_to_array(regexp_replace(t, '([.!?]["''”’»)\]}}]*)([ \t]|$)', '\1' || chr(10), 'g'), '[\n\r]'), lambda x: len({_WORDS.format("x")})) AS runs
+              FROM n WHERE words > 512)
+            SELECT DISTINCT complaint_id, CASE WHEN list_max(runs) > 512 THEN 'forced' ELSE 'natural' END AS cut FROM c""",
+        "p5_found": _similar_sql("SELECT 'c' AS side, complaint_id AS id, narrative AS text FROM candidates", "'c'", "'c'", VERSION_SIMILARITY)
+        + " SELECT DISTINCT least(a.id, b.id) AS complaint_id_a, greatest(a.id, b.id) AS complaint_id_b FROM hit JOIN r a ON a.k = ka JOIN r b ON b.k = kb WHERE a.id <> b.id",
+    }
