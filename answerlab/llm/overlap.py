@@ -5,13 +5,13 @@ off its ends.  Two texts of similarity ``s`` differ in at most ``(1 - s) n`` run
 they differ (insertion, deletion, replacement, moved block) costs ``4 (1 + s)`` of them, a loss at an end more than
 that before it reaches a passage.  So at most ``kill = (1 - s) n / (4 (1 + s))`` passages are broken, fewer than there are:
 every partner holds at least ``m - kill`` of the ``m`` passages word for word.  A text too short to lose a passage
-has its middle as the only one.  Texts that repeat runs of their own have the bound only for the copies' edits; all their
-passages count.
+has its middle as the only one.  In a text that repeats runs of its own the bound holds for the passages of first occurrences; where these are
+too few, all its passages count.
 
 Sharding.  Training texts are kept whole, in chunks of bounded size.  A passage goes to the chunks that hold its anchor, the
-least-hashed five words of its first sixteen, which any text that holds the passage emits too.  Each chunk builds one automaton over the
-passages it was sent and streams all its texts through it.  A chunk's anchors are distinct, and so are passages, so neither
-boilerplate nor copies multiply what is sent.
+rarest eight words of its first sixteen (by a sketch of fixed size that counts the eight-word runs of all training texts),
+which any text that holds the passage emits too.  Each chunk builds one automaton over the passages it was sent and streams all its
+texts through it.  A chunk's anchors are distinct, and so are passages, so neither boilerplate nor copies multiply what is sent.
 
 Coverage.  A passage's matched interval of the evaluation text is kept where any training text holds it; merged intervals are the coverage
 of the record.  A record with more than ``kill`` passages unmatched has no partner and leaves here.  Of the others,
@@ -35,9 +35,12 @@ from answerlab.llm.similarity import shingle_sets, verify_pairs
 from answerlab.session import materialize, semi_join_checked, small_enough, spread
 
 _SHINGLE = 5
-#: Runs of five words whose least hash is a passage's anchor, and so the words a tiled passage has at least.
-_WINDOW, _WIDTH = 12, 16
+#: Words of a tiled passage at least, and of its anchor; five-word runs that it has.
+_WIDTH, _ANCHOR = 16, 8
+_WINDOW = _WIDTH - _SHINGLE + 1
 _MARGIN = 8
+#: Counters of the sketch that tells common runs of words from rare ones.
+_COUNTERS = 1 << 16
 #: Between two texts of a chunk; no word has this code.
 _GAP = 1
 #: A chunk is closed at this many texts or words: what one task holds at once.
@@ -56,27 +59,30 @@ class Tiling:
         self.short = _WINDOW + 5
         self.short_partner = int(self.short / threshold + 1e-9)
 
-    def passages(self, s: K.Shingled) -> tuple[np.ndarray, ...]:
-        """(text, first word, end word, anchor, breakable passages of the text) of every passage of some texts."""
+    def passages(self, s: K.Shingled, words_: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, first word, end word, anchor, breakable passages of the text, firm) of every passage of some texts.
+
+        ``words_`` are the words' codes, ``weights`` rank the runs an anchor may be.  Of the firm passages of a text no more than the breakable ones can be broken.
+        """
         words = np.diff(s.first)
         runs = np.diff(s.offsets)
-        distinct = K.distinct_counts(s.hashes, s.offsets)
-        lost = (1 - self.threshold) * runs
+        later = K.repeats(s.hashes, s.offsets)
+        distinct = runs - np.add.reduceat(np.append(later, False), s.offsets[:-1])[: len(runs)] * (runs > 0)
+        lost = (1 - self.threshold) * distinct
         kill = np.floor(lost / self.per_break + 1e-9).astype(np.int64)
         again = distinct < runs
         # short texts that repeat themselves: distinct runs, one more than a partner may lack
-        repeating = np.flatnonzero(again & (distinct <= self.short))
+        odd = again & (distinct <= self.short)
         text, lo, hi, can = [], [], [], []
-        for i in repeating.tolist():
-            _, at = np.unique(s.hashes[s.offsets[i] : s.offsets[i + 1]], return_index=True)
-            at = at[: int((1 - self.threshold) * len(at) + 1e-9) + 1]
+        for i in np.flatnonzero(odd).tolist():
+            at = np.flatnonzero(~later[s.offsets[i] : s.offsets[i + 1]])[: int(lost[i] + 1e-9) + 1]
             text += [i] * len(at)
             lo += (s.first[i] + at).tolist()
             hi += (s.first[i] + at + _SHINGLE).tolist()
             can += [len(at)] * len(at)
-        one = np.flatnonzero((words > 0) & (kill == 0) & ~(again & (distinct <= self.short)))
+        one = np.flatnonzero((words > 0) & (kill == 0) & ~again)
         trim = np.floor(lost[one] + 1e-9).astype(np.int64)
-        many = np.flatnonzero((kill > 0) & ~(again & (distinct <= self.short)))
+        many = np.flatnonzero(((kill > 0) | again) & ~odd)
         margin = np.clip((words[many] - _WIDTH * (kill[many] + 1)) // 2, 0, _MARGIN)
         inner = words[many] - 2 * margin
         count = np.maximum(1, inner // _WIDTH)
@@ -85,22 +91,83 @@ class Tiling:
         text = np.concatenate([np.array(text, np.int64), one, np.repeat(many, count)])
         lo = np.concatenate([np.array(lo, np.int64), s.first[one] + trim, begin + k * inner_ // count_])
         hi = np.concatenate([np.array(hi, np.int64), s.first[one + 1] - trim, begin + (k + 1) * inner_ // count_])
-        can = np.concatenate([np.array(can, np.int64), np.zeros(len(one), np.int64), np.repeat(np.where(again, words, kill)[many], count)])
+        can = np.concatenate([np.array(can, np.int64), np.zeros(len(one), np.int64), np.repeat(kill[many], count)])
         # run ``i`` of a text starts at its word ``i``
         run = lo - s.first[text] + s.offsets[text]
-        size = np.minimum(np.maximum(hi - lo - _SHINGLE + 1, 1), _WINDOW)
-        anchor = np.minimum.reduceat(s.hashes[K.ranges(run, size)], np.cumsum(size) - size) if len(run) else np.empty(0, np.uint64)
-        return text, lo, hi, anchor, can
-
-    def anchors(self, s: K.Shingled) -> np.ndarray:
+        size = np.maximum(hi - lo - _SHINGLE + 1, 1)
+        # a lost run breaks one of the passages that hold only first occurrences, so those are firm
+        seen = np.concatenate(([0], np.cumsum(later)))
+        firm = (seen[np.minimum(run + size, len(later))] == seen[run]) | odd[text]
+        enough = np.bincount(text, firm, len(words)) > np.bincount(text, can / np.maximum(np.bincount(text, minlength=len(words))[text], 1), len(words))
+        weak = ~enough[text] & ~odd[text]
+        firm, can = firm | weak, np.where(weak, words[text], can)
+        # the anchor: any run of a short passage, the rarest eight words of the first sixteen of others
+        anchor = np.empty(len(text), np.uint64)
+        for short, width in ((True, _SHINGLE), (False, _ANCHOR)):
+            part = np.flatnonzero((hi - lo < _WIDTH) == short)
+            if len(part):
+                grams, offsets = K.combine(words_.astype(np.uint64), s.first, width)[:2]
+                order = _ranked(grams, weights, short)
+                size = np.maximum(np.minimum(hi[part] - lo[part], _WIDTH) - width + 1, 1)
+                begin = lo[part] - s.first[text[part]] + offsets[text[part]]
+                anchor[part] = np.minimum.reduceat(order[K.ranges(begin, size)], np.cumsum(size) - size)
+        return text, lo, hi, anchor, can, firm
+
+    def anchors(self, codes: np.ndarray, first: np.ndarray, distinct: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Distinct anchors of all passages that some training texts may hold of a partner."""
-        least = K.sliding_min(s.hashes, _WINDOW)
-        runs = np.diff(s.offsets)
-        inside = np.repeat(runs >= _WINDOW, runs)[: len(least)]
-        inside &= np.arange(len(least)) + _WINDOW <= np.repeat(s.offsets[1:], runs)[: len(least)]
-        # a passage of fewer runs is a short text's: its partners are short too and emit every run
-        short = np.repeat(K.distinct_counts(s.hashes, s.offsets) <= self.short_partner, runs)
-        return np.unique(np.concatenate([least[inside], s.hashes[short]]))
+        grams, offsets, _ = K.combine(codes.astype(np.uint64), first, _ANCHOR)
+        runs, span = np.diff(offsets), _WIDTH - _ANCHOR + 1
+        least = K.sliding_min(_ranked(grams, weights, False), span)
+        inside = np.arange(len(least)) + span <= np.repeat(offsets[1:], runs)[: len(least)]
+        # a shorter passage is a short text's: its partners are short too and emit every run
+        few = np.flatnonzero(distinct <= self.short_partner)
+        size = np.diff(first)[few]
+        grams, _, _ = K.combine(codes[K.ranges(first[few], size)].astype(np.uint64), np.concatenate(([0], np.cumsum(size))), _SHINGLE)
+        return np.unique(np.concatenate([least[inside], _ranked(grams, weights, True)]))
+
+
+def _ranked(grams: np.ndarray, weights: np.ndarray, short: bool) -> np.ndarray:
+    """The runs' ranks: the logarithm of their count before their hash; short texts' runs rank by hash, apart from the others."""
+    weight = np.uint64(63) if short else weights[(grams & np.uint64(_COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
+    return (weight << np.uint64(58)) | (grams >> np.uint64(6))
+
+
+def run_weights(chunks: DataFrame) -> np.ndarray:
+    """Logarithms of the counts of all runs of eight words of the chunks, by counter; what reaches the driver has a fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_COUNTERS, np.int64)
+        for batch in batches:
+            for lengths, codes in zip(batch.column("lengths"), batch.column("codes")):
+                first = np.concatenate(([0], np.cumsum(lengths.values.to_numpy())))
+                grams = K.combine(np.frombuffer(codes.as_py(), np.uint16).astype(np.uint64), first, _ANCHOR)[0]
+                total += np.bincount((grams & np.uint64(_COUNTERS - 1)).astype(np.int64), minlength=_COUNTERS)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_COUNTERS, np.int64)
+        for batch in batches:
+            for x in batch.column("counts"):
+                total += np.frombuffer(x.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+    parts = chunks.select("lengths", "codes").mapInArrow(count, "counts binary")
+    rows = parts.repartition(1).mapInArrow(add, "counts binary").collect()  # one row a task, added up as it streams in
+    total = sum((np.frombuffer(r["counts"], np.int64) for r in rows), np.zeros(_COUNTERS, np.int64))
+    return np.ceil(np.log2(total + 1)).astype(np.uint8)
+
+
+def _anchors(chunks: DataFrame, tiling: Tiling, weights: np.ndarray) -> DataFrame:
+    """``(for_chunk, anchor)``: the distinct anchors of each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, sizes, lengths, codes in zip(*(batch.column(c) for c in ("chunk", "sizes", "lengths", "codes"))):
+                first = np.concatenate(([0], np.cumsum(lengths.values.to_numpy())))
+                got = tiling.anchors(np.frombuffer(codes.as_py(), np.uint16), first, sizes.values.to_numpy(), weights).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), chunk.as_py())), pa.array(got)], ["for_chunk", "anchor"])
+
+    return chunks.select("chunk", "sizes", "lengths", "codes").mapInArrow(run, "for_chunk long, anchor long")
 
 
 def _codes(words: np.ndarray) -> np.ndarray:
@@ -114,40 +181,38 @@ def _binary(codes: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(codes.tobytes())])
 
 
-_EVAL = "key long, size int, total int, kill int, passage long, anchor long, codes binary, lo int, hi int"
+_EVAL = "key long, size int, total int, kill int, firm boolean, passage long, anchor long, codes binary, lo int, hi int"
 
 
-def _evaluation(rows: DataFrame, tiling: Tiling) -> DataFrame:
+def _evaluation(rows: DataFrame, tiling: Tiling, weights: np.ndarray) -> DataFrame:
     """``(id, text, split)`` to membership rows ``(id, split, key)`` and passage rows.
 
     In a task a text's passages come once, and a passage's words once.
     """
     kind = rows.schema["id"].dataType.simpleString()
     names = [x.split()[0] for x in _EVAL.split(", ")]
-    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        known = np.empty(0, np.int64)
+        known: set[int] = set()
         for batch in batches:
             for s in K.shingle_texts(batch.column("text").to_pylist(), _SHINGLE):
                 live = np.flatnonzero(np.diff(s.first) > 0)
                 keys = K.content_keys(s.words, s.first)
                 fresh = np.array([bool(k not in seen and not seen.add(k)) for k in keys.tolist()])
-                text, lo, hi, anchor, kill = tiling.passages(s)
-                use = fresh[text]
-                text, lo, hi, anchor, kill = (x[use] for x in (text, lo, hi, anchor, kill))
+                words = _codes(s.words)
+                found = tiling.passages(s, words, weights)
+                text, lo, hi, anchor, kill, firm = (x[fresh[found[0]]] for x in found)
                 passage = K.span_hashes(s.words, lo, hi).view(np.int64)
-                _, first = np.unique(passage, return_index=True)
-                first = np.sort(first[~np.isin(passage[first], known)])
-                known = np.concatenate([known, passage[first]])
-                codes = _binary(_codes(s.words)[K.ranges(lo[first], (hi - lo)[first])], (hi - lo)[first])
+                first = np.array([i for i, p in enumerate(passage.tolist()) if p not in known and not known.add(p)], np.int64)
+                codes = _binary(words[K.ranges(lo[first], (hi - lo)[first])], (hi - lo)[first])
                 where = np.full(len(passage), -1)
                 where[first] = np.arange(len(first))
                 codes = codes.take(pa.array(where, pa.int64(), mask=where < 0))
                 total = np.bincount(text, hi - lo, minlength=s.size).astype(np.int64)
                 size = K.distinct_counts(s.hashes, s.offsets)
-                per = [keys[text], size[text], total[text], kill, passage, anchor.view(np.int64), codes, lo - s.first[text], hi - s.first[text]]
+                per = [keys[text], size[text], total[text], kill, firm, passage, anchor.view(np.int64), codes, lo - s.first[text], hi - s.first[text]]
                 part = [batch.column(c).take(pa.array(live + s.start)) for c in ("id", "split")]
                 cols = [pa.concat_arrays([p, pa.nulls(len(text), p.type)]) for p in part]
                 for name, col, spec in zip(names, per, _EVAL.split(", ")):
@@ -159,8 +224,8 @@ def _evaluation(rows: DataFrame, tiling: Tiling) -> DataFrame:
     return rows.select("id", "split", "text").mapInArrow(run, f"id {kind}, split string, {_EVAL}")
 
 
-def _training(rows: DataFrame, tiling: Tiling) -> DataFrame:
-    """``(id, text)`` to chunks of whole texts: their keys, sizes, words as codes, anchors, and the ids of the rows."""
+def _training(rows: DataFrame) -> DataFrame:
+    """``(id, text)`` to chunks of whole texts: their keys, sizes and words as codes, and the ids of the rows."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,16 +240,15 @@ def _training(rows: DataFrame, tiling: Tiling) -> DataFrame:
 
         def chunk() -> pa.RecordBatch:
             one = lambda x, t: pa.array([x], pa.list_(t))
-            keys, size, length, codes = (np.concatenate(x) for x in list(zip(*parts))[:4])
-            anchors = np.unique(np.concatenate([p[4] for p in parts])).view(np.int64)
+            keys, size, length, codes = (np.concatenate(x) for x in zip(*parts))
             every = pa.concat_arrays(ids)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()), one(keys, pa.int64()), one(size, pa.int32()), one(length, pa.int32()),
-                    pa.array([codes.tobytes()], pa.binary()), one(anchors, pa.int64()),
+                    pa.array([codes.tobytes()], pa.binary()),
                     pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every), one(np.concatenate(id_keys), pa.int64()),
                 ],
-                ["chunk", "keys", "sizes", "lengths", "codes", "anchors", "ids", "id_keys"],
+                ["chunk", "keys", "sizes", "lengths", "codes", "ids", "id_keys"],
             )
 
         for batch in batches:
@@ -195,7 +259,7 @@ def _training(rows: DataFrame, tiling: Tiling) -> DataFrame:
                 id_keys.append(keys[live])
                 fresh = np.array([i for i in live.tolist() if keys[i] not in seen and not seen.add(keys[i])], np.int64)
                 codes = _codes(s.words)[K.ranges(s.first[fresh], count[fresh])]
-                parts.append((keys[fresh], K.distinct_counts(s.hashes, s.offsets)[fresh], count[fresh], codes, tiling.anchors(s)))
+                parts.append((keys[fresh], K.distinct_counts(s.hashes, s.offsets)[fresh], count[fresh], codes))
                 texts, words = texts + len(live), words + len(codes)
                 if texts >= CHUNK_TEXTS or words >= CHUNK_WORDS:
                     yield chunk()
@@ -204,10 +268,26 @@ def _training(rows: DataFrame, tiling: Tiling) -> DataFrame:
         if parts:
             yield chunk()
 
-    schema = f"chunk long, keys array<long>, sizes array<int>, lengths array<int>, codes binary, anchors array<long>, ids array<{kind}>, id_keys array<long>"
+    schema = f"chunk long, keys array<long>, sizes array<int>, lengths array<int>, codes binary, ids array<{kind}>, id_keys array<long>"
     return rows.select("id", "text").mapInArrow(run, schema)
 
 
+def _possible(passages: pa.Array, grams: np.ndarray) -> np.ndarray:
+    """The passages whose first, middle and last eight words are among the chunk's runs (shorter passages are let through).
+
+    A filter before the automaton is built: it spares nodes, the automaton alone decides.
+    """
+    size = np.diff(np.frombuffer(passages.buffers()[1], np.int32)[passages.offset : passages.offset + len(passages) + 1]) // 2
+    codes = np.frombuffer(b"".join(passages.to_pylist()), np.uint16)
+    mine, offsets, _ = K.combine(codes.astype(np.uint64), np.concatenate(([0], np.cumsum(size))), _ANCHOR)
+    known = np.unique(grams)
+    out = np.ones(len(size), bool)
+    for at in (offsets[:-1], (offsets[:-1] + offsets[1:] - 1) // 2, offsets[1:] - 1):
+        spot = np.minimum(np.searchsorted(known, mine[at]), len(known) - 1)
+        out &= (known[spot] == mine[at]) | (size < _ANCHOR)
+    return np.flatnonzero(out)
+
+
 _HITS = pa.schema([("passage", pa.int64()), ("t", pa.int64()), ("t_size", pa.int32()), ("chunk", pa.int64())])
 
 
@@ -215,15 +295,20 @@ def _scan(chunks: pa.Table, passages: pa.Table) -> pa.Table:
     """Build one chunk's automaton and stream its texts through it: ``(passage, t, t_size, chunk)`` of every match."""
     if not chunks.num_rows or not passages.num_rows:
         return _HITS.empty_table()
-    ids, first = np.unique(passages.column("passage").to_numpy(), return_index=True)
-    automaton = ahocorasick.Automaton()
-    for i, words in enumerate(passages.column("codes").take(pa.array(first)).to_pylist()):
-        automaton.add_word(words.decode("utf-16-le"), i)
-    automaton.make_automaton()
     row = {c: chunks.column(c)[0] for c in ("chunk", "keys", "sizes", "lengths", "codes")}
     keys, sizes, lengths = (row[c].values.to_numpy() for c in ("keys", "sizes", "lengths"))
     codes = np.frombuffer(row["codes"].as_py(), np.uint16)
     ends = np.cumsum(lengths)
+    ids, first = np.unique(passages.column("passage").to_numpy(), return_index=True)
+    words = passages.column("codes").take(pa.array(first)).combine_chunks()
+    live = _possible(words, K.combine(codes.astype(np.uint64), np.concatenate(([0], ends)), _ANCHOR)[0])
+    ids, words = ids[live], words.take(pa.array(live))
+    if not len(ids):
+        return _HITS.empty_table()
+    automaton = ahocorasick.Automaton()
+    for i, passage in enumerate(words.to_pylist()):
+        automaton.add_word(passage.decode("utf-16-le"), i)
+    automaton.make_automaton()
     stream = np.insert(codes, ends[:-1], _GAP)
     ends = ends + np.arange(len(ends))
     found = np.fromiter((x for pair in automaton.iter(stream.tobytes().decode("utf-16-le")) for x in pair), np.int64).reshape(-1, 2)
@@ -266,14 +351,15 @@ class Overlaps:
             every = every.unionByName(p)
         train = rows(training, None)
         shards = spread(train, least=48)
-        left = materialize(_evaluation(every, tiling))
-        chunks = materialize(_training(train, tiling))
+        chunks = materialize(_training(train))
+        weights = run_weights(chunks)
+        left = materialize(_evaluation(every, tiling, weights))
         self.evaluation = left.where("id is not null").select("split", "id", "key").distinct()
         pair = F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("id_keys").alias("key"))).alias("x")
         self.training = chunks.select(pair).select("x.id", "x.key").distinct()
         wanted = (
             left.where("codes is not null").select("anchor", "passage", "codes")
-            .join(chunks.select(F.col("chunk").alias("for_chunk"), F.explode("anchors").alias("anchor")), "anchor")
+            .join(_anchors(chunks, tiling, weights), "anchor")
             .select("for_chunk", "passage", "codes")
         )
         whole = chunks.select("chunk", "keys", "sizes", "lengths", "codes")
@@ -281,13 +367,13 @@ class Overlaps:
         hits = materialize(scanned.applyInArrow(_scan, "passage long, t long, t_size int, chunk long"))
         self.hits = hits
         counts = materialize(hits.groupBy("passage").agg(F.count(F.lit(1)).alias("hits")))
-        owners = left.where("passage is not null").select("key", "size", "total", "kill", "passage", "lo", "hi")
+        owners = left.where("passage is not null").select("key", "size", "total", "kill", "firm", "passage", "lo", "hi")
         side = F.broadcast(counts) if small_enough(counts) else counts
         marks = owners.join(side, "passage", "left").groupBy("key").agg(
             F.max("size").alias("size"), F.max("total").alias("total"), F.max("kill").alias("kill"),
-            F.collect_set(F.struct("lo", "hi", "passage", F.coalesce("hits", F.lit(0)).alias("hits"))).alias("marks"),
+            F.collect_set(F.struct("lo", "hi", "passage", "firm", F.coalesce("hits", F.lit(0)).alias("hits"))).alias("marks"),
         )  # one text's passages
-        rare = F.slice(F.array_sort(F.transform("marks", lambda p: F.struct(p["hits"].alias("hits"), p["passage"].alias("passage")))), 1, F.col("kill") + 1)
+        rare = F.slice(F.array_sort(F.transform(F.filter("marks", lambda p: p["firm"]), lambda p: F.struct(p["hits"].alias("hits"), p["passage"].alias("passage")))), 1, F.col("kill") + 1)
         self.records = materialize(
             marks.select("key", "size", (_covered(F.col("marks")) / F.col("total")).alias("coverage"), F.filter(rare, lambda p: p["hits"] > 0).alias("report"))
         )

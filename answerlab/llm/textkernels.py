@@ -144,6 +144,16 @@ def distinct_counts(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return n - np.bincount(doc[order][1:][again], minlength=len(n))
 
 
+def repeats(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each run stands earlier in its text already."""
+    out = np.zeros(len(hashes), bool)
+    if len(hashes):
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        order = np.argsort(hashes, kind="stable")
+        out[order[1:]] = (hashes[order][1:] == hashes[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    return out
+
+
 class Shingled:
     """Shingles of one run of texts; see :func:`shingle_texts`."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from answerlab.llm import neardup, overlap
@@ -164,21 +165,22 @@ def test_automaton_finds_passages_where_equal_cuts_would_not():
 
     from answerlab.llm import textkernels as K
 
-    tiling = overlap.Tiling(0.8)
+    tiling, flat = overlap.Tiling(0.8), np.zeros(overlap._COUNTERS, np.uint8)
     words = [f"w{i}" for i in range(120)]
     (e,) = K.shingle_texts([" ".join(words)])
     (t,) = K.shingle_texts([" ".join(["x", "y", "z", *words[5:70], "u", *words[70:], "v"])])
-    text, lo, hi, anchor, kill = tiling.passages(e)
-    assert len(lo) > kill[0] and set(anchor[:2]) & set(tiling.anchors(t))
-    cuts = lambda s: {tuple(s.words[a:b]) for a, b in zip(*tiling.passages(s)[1:3])}
+    found = lambda s: tiling.passages(s, overlap._codes(s.words), flat)
+    text, lo, hi, anchor, kill, firm = found(e)
+    assert firm.all() and len(lo) > kill[0] and set(anchor[:2]) & set(tiling.anchors(overlap._codes(t.words), t.first, np.array([120]), flat))
+    cuts = lambda s: {tuple(s.words[a:b]) for a, b in zip(*found(s)[1:3])}
     assert not cuts(e) & cuts(t)  # equality of the two texts' passages would find nothing
     size = hi - lo
     codes = overlap._binary(overlap._codes(e.words)[K.ranges(lo, size)], size)
     passages = pa.table({"passage": K.span_hashes(e.words, lo, hi).view("int64"), "codes": codes})
     one = lambda x, kind: pa.array([x], pa.list_(kind))
     chunk = pa.table({"chunk": [7], "keys": one([1], pa.int64()), "sizes": one([9], pa.int32()), "lengths": one([len(t.words)], pa.int32()), "codes": [overlap._codes(t.words).tobytes()]})
-    found = overlap._scan(chunk, passages)
-    assert len(lo) - kill[0] <= found.num_rows < len(lo)
+    matched = overlap._scan(chunk, passages).num_rows
+    assert len(lo) - kill[0] <= matched < len(lo)
 
 
 def family(seed, edits, tail, n=50, words=300):
