@@ -1,14 +1,16 @@
 """Near-duplicate records with small edits: MinHash LSH forest with exact verification.
 
-Every distinct text gets ``trees`` labels.  A label is a string of signature digits: ``depth``
-full MinHash values (the root-to-node path every match must share), then single-bit MinHash
-digits.  Labels of one tree are sorted; equal prefixes are the nodes of its trie.  In each tree a
-text is compared inside the shallowest node that holds at most ``node_limit`` texts, i.e. its
-matched prefix is shortened from the full label down to ``depth`` values while the node stays
-that small.  What deeper nodes cost in recall is summed per text; texts whose estimated recall at
-the threshold falls below ``target_recall`` go through further rounds with fresh permutations and
-an eight times larger limit, and at last without a limit, so no text or partner is dropped for
-being popular.  Candidates are screened by their bit sketches and then verified exactly.
+Every distinct text gets a label of ``DEPTH`` MinHash values in each of ``TREES`` trees; the digits of different trees
+are different permutations, so trees are independent.  Labels of a tree are sorted, and runs of equal prefixes are the nodes of its
+trie.  In each tree a text is compared inside the shallowest node that holds at most ``node_limit`` texts: its matched
+prefix is shortened from the full label as long as the node stays that small, at most to ``FLOOR`` values.  The recall of a
+text's partners at the threshold, ``1 - prod(1 - s ** depth)`` over its trees, follows from the prefix lengths used;
+texts below the target go through further trees with fresh permutations, until all reach it.  Candidates are
+screened by 96-bit sketches, whose loss is part of the estimate, and verified exactly.
+
+Hot nodes.  A sketch of fixed size counts the nodes of all labels beforehand.  A node that holds too large a share of a tree
+is not gathered: its texts are sent on by their full labels, and a full label that is shared by more than
+``BLOCK`` texts is cut into blocks, each pair of which is a task of its own.  Nothing is dropped for being popular.
 """
 
 from __future__ import annotations
@@ -21,14 +23,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerlab.functions import textkernels as K
-from answerlab.functions.normalise import content_key, has_words
-from answerlab.operators.similarity import components, shingle_sets, verify_pairs
+from answerlab.llm import textkernels as K
+from answerlab.llm.similarity import components, sets_for, verify_pairs
 from answerlab.session import materialize, semi_join_checked, spread
 
-#: One label in a shard: node of the fixed prefix, the bit digits, the text.
-_ROW = np.dtype([("node", "<u4"), ("more", "<u4"), ("bits", "<u8"), ("key", "<i8")])
-_FLUSH = 16_384
+TREES, FLOOR, DEPTH = 20, 3, 5
+#: Texts whose labels share this share of a tree at the shortest prefix are sent on by their full labels.
+HOT_SHARE = 1 / 256
+#: Texts of one full label that a task compares at once; more are cut into blocks.
+BLOCK = 8_192
+_COUNTERS = 1 << 16
+#: Sigmas by which a pair at the threshold may miss the screen, and the chance that it does.
+DEVIATIONS, SCREEN_LOSS = 3.5, 0.0005
+_TEXT = np.dtype([("key", "<i8"), ("first", "<u8"), ("more", "<u4"), ("digits", "<u4", (TREES * DEPTH,))])
+#: One label in a shard: its node, its next two digits, how it is compared, the sketch, the text.
+_ROW = np.dtype([("node", "<u4"), ("d4", "<u2"), ("d5", "<u2"), ("mode", "<u4"), ("more", "<u4"), ("first", "<u8"), ("key", "<i8")])
+_TRIE, _FULL, _LEFT, _RIGHT = range(4)
+_PAIRS = 1 << 21
 
 
 def recall_at(similarity: float, depths: list[int]) -> float:
@@ -36,120 +47,168 @@ def recall_at(similarity: float, depths: list[int]) -> float:
     return 1 - math.prod(1 - similarity**d for d in depths)
 
 
-def _pack(rows: np.ndarray, shards: np.ndarray, count: int) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(shards, kind="stable")
-    rows, shards = rows[order], shards[order]
-    cut = np.searchsorted(shards, np.arange(count + 1))
-    for s in range(count):
-        if cut[s] < cut[s + 1]:
-            yield s, rows[cut[s] : cut[s + 1]].tobytes()
+def _nodes(digits: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of one tree's shortest prefixes and full labels."""
+    node = np.full(len(digits), tree + 1, np.uint64)
+    short = node
+    for d in range(DEPTH):
+        node = K.mix64(node * np.uint64(0x9E3779B97F4A7C15) + digits[:, tree * DEPTH + d])
+        if d + 1 == FLOOR:
+            short = node
+    return short, node
 
 
-def _labels(
-    texts: list[str], keys: np.ndarray, trees: int, depth: int, n: int, seed: int, count: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """All labels of some texts and the shard of each.
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(48)).astype(np.int64)
 
-    The rest of the node's hash is kept to 32 bits: a clash inside a shard only makes a node larger.
-    """
-    perms, parts, shards = trees * depth, [], []
-    for s in K.shingle_texts(texts, n):
-        k = keys[s.start : s.start + s.size]
-        sig = K.minhash(s.hashes, s.offsets, perms + K.SKETCH_BITS, seed)
-        bits, more = K.bit_sketch(sig[:, perms:])
-        for t in range(trees):
-            node = np.full(len(k), t + 1, np.uint64)
-            for d in range(depth):
-                node = K.mix64(node * np.uint64(0x9E3779B97F4A7C15) + sig[:, t * depth + d])
-            row = np.empty(len(k), _ROW)
-            row["node"], row["more"], row["bits"], row["key"] = node >> np.uint64(32), more, bits, k
-            parts.append(row)
-            shards.append(((node & np.uint64(0xFFFFFFFF)) % np.uint64(count)).astype(np.int32))
-    if not parts:
-        return np.empty(0, _ROW), np.empty(0, np.int32)
-    return np.concatenate(parts), np.concatenate(shards)
-
-
-def _agree(bits: np.ndarray, more: np.ndarray, i, j) -> np.ndarray:
-    """In how many sketch bits rows ``i`` and ``j`` agree."""
-    return K.SKETCH_BITS - np.bitwise_count(bits[i] ^ bits[j]).astype(np.int16) - np.bitwise_count(more[i] ^ more[j])
-
-
-def _near(bits: np.ndarray, more: np.ndarray, key: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one node whose sketches agree in at least ``least`` bits, a block of rows at a time."""
-    m = len(key)
-    step = max(1, 2_000_000 // m)
-    for lo in range(0, m, step):
-        agree = _agree(bits, more, np.arange(lo, min(lo + step, m))[:, None], np.arange(m)[None, :])
-        i, j = np.nonzero(agree >= least)
-        i = i + lo
-        up = i < j
-        yield key[i[up]], key[j[up]]
-
-
-def _rotated(bits: np.ndarray, tree_hash: int) -> np.ndarray:
-    r = np.uint64(tree_hash % 64)
-    return bits if not r else (bits << r) | (bits >> (np.uint64(64) - r))
-
-
-def _trie(node_bits: np.ndarray, limit: int | None) -> Iterator[tuple[np.ndarray, int]]:
-    """Nodes of one trie below its fixed prefix: (members, bit digits used), disjoint, covering all.
-
-    Shallowest nodes of at most ``limit`` members; a full label shared by more is one node.
-    """
-    todo = [(np.arange(len(node_bits)), 0)]
-    while todo:
-        at, used = todo.pop()
-        if limit is None or len(at) <= limit or used >= 16:
-            yield at, used
-            continue
-        one = (node_bits[at] >> np.uint64(63 - used)) & np.uint64(1) == 1
-        todo += [(x, used + 1) for x in (at[one], at[~one]) if len(x)]
-
-
-def candidates(
-    texts: DataFrame,
-    threshold: float,
-    trees: int = 32,
-    depth: int = 4,
-    n: int = 5,
-    node_limit: int | None = 256,
-    seed: int = 1,
-    shards: int | None = None,
-) -> DataFrame:
-    """One round of the forest over ``(key, text)``: rows ``(a, b, loss)``.
-
-    Rows with ``b`` are candidate pairs a < b (a pair may come once per tree and shard).  Rows
-    without ``b`` say that text ``a`` was compared in a deeper node; ``loss`` is what that adds to
-    the logarithm of its chance to be missed.
+
+def labelled(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """``(id, text)`` to ``(ids, id_keys, labels)``: batches of rows with their content keys, and the labels of the texts among them.
+
+    In a task a text's label comes once.
     """
-    count = shards or spread(texts)
-    full = math.log1p(-(threshold**depth))
-    p, least = (1 + threshold) / 2, K.sketch_limit(threshold)
+    kind = rows.schema["id"].dataType.simpleString()
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            out = list(_pack(np.concatenate([r for r, _ in held]), np.concatenate([s for _, s in held]), count))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["shard", "rows"]
-            )
+        for batch in batches:
+            at, keys, labels = [], [], []
+            for s in K.shingle_texts(batch.column("text").to_pylist(), n):
+                k, live = K.content_keys(s.words, s.first), np.flatnonzero(np.diff(s.first) > 0)
+                at.append(live + s.start)
+                keys.append(k[live])
+                fresh = np.array([i for i in live.tolist() if k[i] not in seen and not seen.add(k[i])], np.int64)
+                size = np.diff(s.offsets)[fresh]
+                sig = K.minhash(s.hashes[K.ranges(s.offsets[fresh], size)], np.concatenate(([0], np.cumsum(size))), TREES * DEPTH, seed)
+                text = np.empty(len(fresh), _TEXT)
+                text["key"], text["digits"] = k[fresh], sig
+                text["first"], text["more"] = K.bit_sketch(sig[:, : K.SKETCH_BITS])
+                labels.append(text.tobytes())
+            if at:
+                where, keys_ = np.concatenate(at), np.concatenate(keys)
+                ids = batch.column("id").take(pa.array(where))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                        pa.array([keys_], pa.list_(pa.int64())),
+                        pa.array([b"".join(labels)], pa.binary()),
+                    ],
+                    ["ids", "id_keys", "labels"],
+                )
+
+    return rows.select("id", "text").mapInArrow(run, f"ids array<{kind}>, id_keys array<long>, labels binary")
+
+
+def node_counts(labels: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(texts by counter of the shortest prefixes, of the full labels, texts) over all labels; of fixed size on the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * _COUNTERS + 1, np.int64)
+        for batch in batches:
+            for blob in batch.column("labels"):
+                text = np.frombuffer(blob.as_py(), _TEXT)
+                total[-1] += len(text)
+                for tree in range(TREES):
+                    short, full = _nodes(text["digits"], tree)
+                    total[:_COUNTERS] += np.bincount(_counter(short), minlength=_COUNTERS)
+                    total[_COUNTERS:-1] += np.bincount(_counter(full), minlength=_COUNTERS)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * _COUNTERS + 1, np.int64)
+        for batch in batches:
+            for x in batch.column("counts"):
+                total += np.frombuffer(x.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+    parts = labels.select("labels").mapInArrow(count, "counts binary")
+    rows = parts.repartition(1).mapInArrow(add, "counts binary").collect()  # one row a task, added up as it streams in
+    total = sum((np.frombuffer(r["counts"], np.int64) for r in rows), np.zeros(2 * _COUNTERS + 1, np.int64))
+    return total[:_COUNTERS], total[_COUNTERS:-1], int(total[-1])
+
+
+def _routed(text: np.ndarray, tree: int, short_n: np.ndarray, full_n: np.ndarray, hot: float, block: int, count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, shards) of one tree's labels."""
+    short, full = _nodes(text["digits"], tree)
+    row = np.empty(len(text), _ROW)
+    for c in ("more", "first", "key"):
+        row[c] = text[c]
+    row["d4"] = (K.mix64(text["digits"][:, tree * DEPTH + FLOOR]) & np.uint64(0xFFFF)).astype(np.uint16)
+    row["d5"] = (full & np.uint64(0xFFFF)).astype(np.uint16)
+    deep = short_n[_counter(short)] > hot
+    node = np.where(deep, full, short)
+    row["mode"] = np.where(deep, _FULL, _TRIE)
+    row["node"] = (node >> np.uint64(16)).astype(np.uint32)
+    shard = (K.mix64(node) % np.uint64(count)).astype(np.int32)
+    parts = np.where(deep, -(-full_n[_counter(full)] // block), 1)
+    once = parts <= 1
+    yield row[once], shard[once]
+    for m in np.unique(parts[~once]).tolist():  # blocks: every pair of parts is a node of its own
+        some = np.flatnonzero(parts == m)
+        mine = (K.mix64(row["key"][some].view(np.uint64)) % np.uint64(m)).astype(np.int64)
+        for other in range(m):
+            i, j = np.minimum(mine, other), np.maximum(mine, other)
+            copy = row[some].copy()
+            own = K.mix64(full[some] + (i * m + j + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            copy["node"] = (own >> np.uint64(16)).astype(np.uint32)
+            copy["mode"] = np.where(i == j, _FULL, np.where(mine == i, _LEFT, _RIGHT))
+            yield copy, (own % np.uint64(count)).astype(np.int32)
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in sorted columns, and the end."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    new[:1] = True
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def _spread_over(bounds: np.ndarray) -> np.ndarray:
+    return np.repeat(np.diff(bounds), np.diff(bounds))
+
+
+def _screened(rows: np.ndarray, ahead: np.ndarray, least: int, gap: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Pairs of keys of each row with the ``ahead`` rows after it (``gap`` rows further on) whose sketches agree."""
+    first, more, key = rows["first"], rows["more"], rows["key"]
+    edge = np.concatenate(([0], np.cumsum(ahead)))
+    lo = 0
+    while lo < len(ahead):
+        hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + _PAIRS, side="right")) - 1)
+        n = ahead[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(edge[lo:hi] - edge[lo], n)
+        if gap is not None:
+            j += np.repeat(gap[lo:hi], n)
+        differ = np.bitwise_count(first[i] ^ first[j]) + np.bitwise_count(more[i] ^ more[j])
+        ok = (differ <= K.SKETCH_BITS - least) & (key[i] != key[j])
+        a, b = key[i[ok]], key[j[ok]]
+        yield np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1)
+        lo = hi
+
+
+def candidates(labels: DataFrame, threshold: float, node_limit: int, shards: int, block: int = BLOCK, hot_share: float = HOT_SHARE) -> DataFrame:
+    """One forest over :func:`labelled` rows: ``(a, b, depth)``.
+
+    Rows with ``b`` are screened candidate pairs a < b (a pair may come once per tree and shard).  Rows
+    without ``b`` say that text ``a`` was compared in a node of ``depth`` values, more than the shortest prefix.
+    """
+    short_n, full_n, texts = node_counts(labels)
+    hot = max(node_limit, texts * hot_share)
+    least = K.sketch_limit(threshold, DEVIATIONS)
 
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            fresh = [i for i, k in enumerate(keys.tolist()) if k not in seen and not seen.add(k)]
-            got = batch.column("text").take(pa.array(fresh, pa.int64())).to_pylist()
-            held.append(_labels(got, keys[fresh], trees, depth, n, seed, count))
-            size += len(held[-1][0])
-            if size >= _FLUSH * trees:
-                yield flush()
-                held, size = [], 0
-                seen.clear()  # copies of a text further on are merged in the shard
-        if size:
-            yield flush()
+            for blob in batch.column("labels"):
+                text = np.frombuffer(blob.as_py(), _TEXT)
+                got = [x for tree in range(TREES) for x in _routed(text, tree, short_n, full_n, hot, block, shards)]
+                rows, where = np.concatenate([r for r, _ in got]), np.concatenate([s for _, s in got])
+                order = np.argsort(where, kind="stable")
+                rows, cut = rows[order], np.searchsorted(where[order], np.arange(shards + 1))
+                used = np.flatnonzero(np.diff(cut))
+                offsets = pa.py_buffer((np.append(cut[used], cut[-1]) * _ROW.itemsize).astype(np.int64))
+                blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(used), [None, offsets, pa.py_buffer(rows.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), blobs.cast(pa.binary())], ["shard", "rows"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x for batch in batches for x in batch.column("rows").to_pylist()]
@@ -157,103 +216,102 @@ def candidates(
             return
         rows = np.frombuffer(b"".join(blobs), _ROW)
         del blobs
-        order = np.lexsort((rows["key"], rows["node"]))
-        node, key = rows["node"][order], rows["key"][order]
-        keep = np.ones(len(order), bool)
-        keep[1:] = (node[1:] != node[:-1]) | (key[1:] != key[:-1])
-        node, key, bits, more = node[keep], key[keep], rows["bits"][order][keep], rows["more"][order][keep]
-        edges = np.flatnonzero(np.diff(node)) + 1
-        begin, end = np.concatenate(([0], edges)), np.concatenate((edges, [len(node)]))
-        many = np.flatnonzero(end - begin > 1)
-        two = many[(end - begin)[many] == 2]
-        i = begin[two]
-        ok = _agree(bits, more, i, i + 1) >= least
-        yield _pairs(key[i[ok]], key[i[ok] + 1])
-        held_a, held_b, size = [], [], 0
-        for g in many[(end - begin)[many] > 2]:
-            lo, hi = begin[g], end[g]
-            b, c, k = bits[lo:hi], more[lo:hi], key[lo:hi]
-            for at, used in _trie(_rotated(b, int(node[lo]) % 64), node_limit):
-                if used:
-                    # one more bit digit is agreed on with chance p, as p**used of a full tree's share
-                    loss = math.log1p(-(threshold**depth) * p**used) - full
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(k[at]), pa.nulls(len(at), pa.int64()), pa.array(np.full(len(at), loss))], ["a", "b", "loss"]
-                    )
-                if len(at) > 1:
-                    for x, y in _near(b[at], c[at], k[at], least):
-                        held_a.append(x)
-                        held_b.append(y)
-                        size += len(x)
-                        if size > 100_000:
-                            yield _pairs(np.concatenate(held_a), np.concatenate(held_b))
-                            held_a, held_b, size = [], [], 0
-        if size:
-            yield _pairs(np.concatenate(held_a), np.concatenate(held_b))
-
-    labels = texts.select("key", "text").mapInArrow(label, "shard int, rows binary")
-    return labels.repartitionById(count, "shard").mapInArrow(match, "a long, b long, loss double")
-
-
-def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    a, b = np.minimum(x, y), np.maximum(x, y)
-    if len(a):
-        pair = np.unique(np.stack((a, b), axis=1), axis=0)
-        a, b = pair[:, 0], pair[:, 1]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.float64())], ["a", "b", "loss"]
-    )
-
-
-def similar_texts(
-    texts: DataFrame,
-    threshold: float = 0.8,
-    target_recall: float = 0.98,
-    trees: int = 32,
-    depth: int = 4,
-    n: int = 5,
-    node_limit: int = 256,
-    max_rounds: int = 3,
-) -> DataFrame:
-    """Pairs ``(a, b, similarity)`` of keys of ``(key, text)`` with similarity >= ``threshold``.
-
-    ``texts`` may hold a key many times (copies); null or blank texts must be filtered out before.
+        # copies of a text that several tasks labelled come together and are merged
+        rows = rows[np.lexsort((rows["key"], rows["d5"], rows["d4"], rows["mode"], rows["node"]))]
+        same = np.zeros(len(rows), bool)
+        same[1:] = True
+        for c in ("node", "mode", "d4", "d5", "key"):
+            same[1:] &= rows[c][1:] == rows[c][:-1]
+        rows = rows[~same]
+        trie, full = rows[rows["mode"] == _TRIE], rows[rows["mode"] == _FULL]
+        # the sorted labels: nodes of three, four and five values
+        bounds = [_runs(*(trie[c] for c in cs)) for cs in (("node",), ("node", "d4"), ("node", "d4", "d5"))]
+        size = [_spread_over(b) for b in bounds]
+        depth = np.where(size[0] <= node_limit, FLOOR, np.where(size[1] <= node_limit, FLOOR + 1, DEPTH))
+        ends = [np.repeat(b[1:], np.diff(b)) for b in bounds]
+        end = np.where(depth == FLOOR, ends[0], np.where(depth == FLOOR + 1, ends[1], ends[2]))
+        found = _screened(trie, end - np.arange(len(trie)) - 1, least)
+        yield from (_batch(p) for p in found)
+        whole = _runs(full["node"])
+        yield from (_batch(p) for p in _screened(full, np.repeat(whole[1:], np.diff(whole)) - np.arange(len(full)) - 1, least))
+        # blocks: the left rows of a node, then the right ones
+        both = rows[rows["mode"] >= _LEFT]
+        left = both["mode"] == _LEFT
+        node = _runs(both["node"])
+        n_left = np.add.reduceat(left, node[:-1]) if len(both) else np.empty(0, np.int64)
+        stop = np.repeat(node[:-1] + n_left, np.diff(node))
+        ahead = np.where(left, np.repeat(np.diff(node) - n_left, np.diff(node)), 0)
+        yield from (_batch(p) for p in _screened(both, ahead, least, np.maximum(stop - np.arange(len(both)) - 1, 0)))
+        # a text of a node cut into blocks is counted by its diagonal block alone
+        lost = np.concatenate([trie["key"][depth > FLOOR], full["key"]])
+        at = np.concatenate([depth[depth > FLOOR], np.full(len(full), DEPTH)])
+        yield pa.RecordBatch.from_arrays([pa.array(lost), pa.nulls(len(lost), pa.int64()), pa.array(at, pa.int32())], ["a", "b", "depth"])
+
+    sent = labels.select("labels").mapInArrow(route, "shard int, rows binary")
+    return sent.repartitionById(shards, "shard").mapInArrow(match, "a long, b long, depth int")
+
+
+def _batch(pairs: np.ndarray) -> pa.RecordBatch:
+    if len(pairs):
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))]
+    a, b = (np.ascontiguousarray(pairs[:, i]) for i in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int32())], ["a", "b", "depth"])
+
+
+class Forest:
+    """The forest over ``(id, text)`` rows and what it found.
+
+    ``members``: ``(id, key)`` of every row that counts; ``pairs``: ``(a, b, similarity)`` between distinct texts;
+    ``rounds``: per round of trees, ``(round, depth, labels)`` as rows of (round, depth, number of labels compared at that prefix length).
     """
-    found, todo, round_no = None, texts, 0
-    miss = trees * math.log1p(-(threshold**depth))
-    while True:
-        last = round_no == max_rounds - 1
-        limit = None if last else node_limit * 8**round_no
-        out = materialize(candidates(todo, threshold, trees, depth, n, limit, seed=round_no + 1, shards=spread(texts)))
-        pairs = out.where("b is not null").select("a", "b")
-        found = pairs if found is None else found.unionByName(pairs)
-        if last:
-            break
-        weak = (
-            out.where("b is null")
-            .groupBy("a")
-            .agg((F.sum("loss") + F.lit(miss)).alias("log_miss"))
-            .where(F.col("log_miss") > math.log(1 - target_recall))
-            .select(F.col("a").alias("key"))
-        )
-        weak = materialize(weak)
-        if weak.isEmpty():
-            break
-        # their partners were in the same deep nodes, so every text that lost anything takes part
-        lost = materialize(out.where("b is null").select(F.col("a").alias("key")).distinct())
-        todo = semi_join_checked(texts, lost, "key")
-        round_no += 1
-    found = materialize(found.distinct())
-    needed = materialize(found.select(F.col("a").alias("key")).union(found.select("b")).distinct())
-    once = semi_join_checked(texts, needed, "key").groupBy("key").agg(F.first("text").alias("text"))
-    return verify_pairs(found, shingle_sets(once, n), threshold)
-
-
-def keyed(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, key, text)`` of the rows whose id is not null and whose text has a word."""
-    return table.select(
-        F.col(id_col).alias("id"), content_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")
-    ).where(F.col("id").isNotNull() & has_words(F.col("text")))
+
+    def __init__(
+        self, table: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, target_recall: float = 0.99, n: int = 5, node_limit: int = 256,
+        max_rounds: int = 16, block: int = BLOCK, hot_share: float = HOT_SHARE,
+    ) -> None:
+        rows = table.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+        labels = materialize(labelled(rows, n, 1))
+        pair = F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("id_keys").alias("key"))).alias("x")
+        self.members = labels.select(pair).select("x.id", "x.key").distinct()
+        shards, base = spread(rows), TREES * math.log1p(-(threshold**FLOOR))
+        goal = math.log(max(1e-9, 1 - target_recall - SCREEN_LOSS))
+        if base > goal:
+            raise ValueError(f"{TREES} trees of {FLOOR} values reach a recall of {1 - math.exp(base):.3f}, not {target_recall}")
+        gain = F.when(F.col("depth") == FLOOR + 1, math.log1p(-(threshold ** (FLOOR + 1)))).otherwise(math.log1p(-(threshold**DEPTH)))
+        found, missing, self.rounds = None, None, []
+        for r in range(1, max_rounds + 1):
+            out = materialize(candidates(labels, threshold, node_limit, shards, block, hot_share))
+            pairs = out.where("b is not null").select("a", "b")
+            found = pairs if found is None else found.unionByName(pairs)
+            deep = out.where("b is null")
+            # what a text's longer prefixes leave to be missed, over all rounds so far
+            now = deep.groupBy(F.col("a").alias("key")).agg((F.sum(gain) - F.count(F.lit(1)) * math.log1p(-(threshold**FLOOR)) + base).alias("log_miss"))
+            # a text that lost nothing in a later round has all its trees at the shortest prefix
+            missing = now if missing is None else missing.join(now.withColumnRenamed("log_miss", "_more"), "key", "left").select(
+                "key", (F.col("log_miss") + F.coalesce("_more", F.lit(base))).alias("log_miss")
+            )
+            missing = materialize(missing)
+            self.rounds.append((r, deep))
+            if missing.where(F.col("log_miss") > goal).isEmpty():
+                break
+            # their partners were in the same deep nodes, so every text that lost anything takes part
+            lost = materialize(missing.select("key"))
+            ids = materialize(semi_join_checked(self.members, lost, "key").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct())
+            labels = materialize(labelled(semi_join_checked(rows, ids, "id"), n, r + 1))
+        else:
+            raise RuntimeError(f"the target recall is not reached in {max_rounds} rounds of trees")
+        found = materialize(found.distinct())
+        needed = materialize(found.select(F.col("a").alias("key")).union(found.select("b")).distinct())
+        self.pairs = materialize(verify_pairs(found, sets_for(rows, self.members, needed), threshold))
+
+    def prefix_lengths(self) -> DataFrame:
+        """``(round, depth, labels)``: how many labels were compared at each prefix length beyond the shortest."""
+        parts = [deep.groupBy("depth").agg(F.count(F.lit(1)).alias("labels")).select(F.lit(r).alias("round"), "depth", "labels") for r, deep in self.rounds]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
 
 def near_duplicate_pairs(table: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, **forest) -> DataFrame:
@@ -263,13 +321,11 @@ def near_duplicate_pairs(table: DataFrame, id_col: str, text_col: str, threshold
     the form without that.  Rows with a null id, or a null or blank text, never count; repeated rows
     count once; an empty table gives no rows; other columns are ignored.
     """
-    rows = keyed(table, id_col, text_col)
-    similar = materialize(similar_texts(rows.select("key", "text"), threshold, **forest).select("a", "b"))
-    needed = similar.select(F.col("a").alias("key")).union(similar.select("b"))
-    members = rows.select("id", "key").distinct()
-    copied = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    needed = materialize(needed.union(copied).distinct())
-    members = materialize(semi_join_checked(members, needed, "key"))
+    got = Forest(table, id_col, text_col, threshold, **forest)
+    similar = got.pairs.select("a", "b")
+    copied = got.members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    needed = materialize(similar.select(F.col("a").alias("key")).union(similar.select("b")).union(copied).distinct())
+    members = materialize(semi_join_checked(got.members, needed, "key"))
     links = similar.union(copied.select(F.col("key").alias("a"), F.col("key").alias("b")))
     left = members.select(F.col("key").alias("a"), F.col("id").alias("x"))
     right = members.select(F.col("key").alias("b"), F.col("id").alias("y"))
@@ -289,18 +345,12 @@ def near_duplicate_groups(table: DataFrame, id_col: str, text_col: str, threshol
     the row's text is similar to.  Copies share a class without being expanded into pairs.  Rows
     with a null id or a null or blank text are left out.
     """
-    rows = keyed(table, id_col, text_col)
-    members = materialize(rows.select("id", "key").distinct())
-    similar = materialize(similar_texts(rows.select("key", "text"), threshold, **forest).select("a", "b"))
-    degree = (
-        similar.select(F.col("a").alias("key"))
-        .union(similar.select("b"))
-        .groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n_links"))
-    )
+    got = Forest(table, id_col, text_col, threshold, **forest)
+    similar = got.pairs.select("a", "b")
+    degree = similar.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     classes = components(similar).select(F.col("node").alias("key"), F.col("class_id").alias("root"))
     tagged = (
-        members.join(degree, "key", "left")
+        got.members.join(degree, "key", "left")
         .join(classes, "key", "left")
         .select(
             "id",

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerlab.llm import textkernels as K
-from answerlab.llm.similarity import shingle_sets, verify_pairs
+from answerlab.llm.similarity import sets_for, verify_pairs
 from answerlab.session import materialize, semi_join_checked, small_enough, spread
 
 _SHINGLE = 5
@@ -123,7 +123,7 @@ class Tiling:
         few = np.flatnonzero(distinct <= self.short_partner)
         size = np.diff(first)[few]
         grams, _, _ = K.combine(codes[K.ranges(first[few], size)].astype(np.uint64), np.concatenate(([0], np.cumsum(size))), _SHINGLE)
-        return np.unique(np.concatenate([least[inside], _ranked(grams, weights, True)]))
+        return K.distinct(np.concatenate([least[inside], _ranked(grams, weights, True)]))
 
 
 def _ranked(grams: np.ndarray, weights: np.ndarray, short: bool) -> np.ndarray:
@@ -280,7 +280,7 @@ def _possible(passages: pa.Array, grams: np.ndarray) -> np.ndarray:
     size = np.diff(np.frombuffer(passages.buffers()[1], np.int32)[passages.offset : passages.offset + len(passages) + 1]) // 2
     codes = np.frombuffer(b"".join(passages.to_pylist()), np.uint16)
     mine, offsets, _ = K.combine(codes.astype(np.uint64), np.concatenate(([0], np.cumsum(size))), _ANCHOR)
-    known = np.unique(grams)
+    known = np.sort(grams)
     out = np.ones(len(size), bool)
     for at in (offsets[:-1], (offsets[:-1] + offsets[1:] - 1) // 2, offsets[1:] - 1):
         spot = np.minimum(np.searchsorted(known, mine[at]), len(known) - 1)
@@ -313,7 +313,7 @@ def _scan(chunks: pa.Table, passages: pa.Table) -> pa.Table:
     ends = ends + np.arange(len(ends))
     found = np.fromiter((x for pair in automaton.iter(stream.tobytes().decode("utf-16-le")) for x in pair), np.int64).reshape(-1, 2)
     text = np.searchsorted(ends, found[:, 0], side="right")
-    both = np.unique(found[:, 1] * len(keys) + text)
+    both = K.distinct(found[:, 1] * len(keys) + text)
     passage, text = both // len(keys), both % len(keys)
     cols = [pa.array(ids[passage]), pa.array(keys[text]), pa.array(sizes[text], pa.int32()), pa.array(np.full(len(text), row["chunk"].as_py()))]
     return pa.Table.from_arrays(cols, schema=_HITS)
@@ -393,11 +393,8 @@ class Overlaps:
         same = pairs.where("e = t").select("e", "t", F.lit(1.0).alias("similarity"))
         different = pairs.where("e != t").select(F.col("e").alias("a"), F.col("t").alias("b"))
         keys = materialize(different.select(F.col("a").alias("key")).union(different.select("b")).distinct())
-        # one row of each text that is compared
-        owners = self.evaluation.select("id", "key").union(self.training)
-        ids = materialize(semi_join_checked(owners, keys, "key").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct())
-        texts = semi_join_checked(every.select("id", "text").union(train.select("id", "text")), ids, "id")
-        sets = semi_join_checked(shingle_sets(texts), keys, "key").dropDuplicates(["key"])
+        texts = every.select("id", "text").union(train.select("id", "text"))
+        sets = sets_for(texts, self.evaluation.select("id", "key").union(self.training), keys)
         found = verify_pairs(different, sets, threshold)
         return same.unionByName(found.select(F.col("a").alias("e"), F.col("b").alias("t"), "similarity"))
 

@@ -67,6 +67,11 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.withColumnRenamed("id", "complaint_id")
 
 
+def p5_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """How far the forest shortened its prefixes: labels compared beyond the shortest length, per round of trees."""
+    return neardup.Forest(table(spark, d, "candidates"), "complaint_id", "narrative", VERSION_SIMILARITY).prefix_lengths()
+
+
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), "doc_id", "text", capacity=512)
 
@@ -103,7 +108,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (p1_found, p2_found, p3_found, p5_found, p8_found)
-    more = (p1_report, p1_coverage, p2_pieces, p3_redacted, p5_groups, p6_containers, p6_report, p7_mix, p7_shares, p8_levels, p8_profile)
+    more = (p1_report, p1_coverage, p2_pieces, p3_redacted, p5_groups, p5_prefixes, p6_containers, p6_report, p7_mix, p7_shares, p8_levels, p8_profile)
     return {f.__name__: f for f in found + more}
 
 

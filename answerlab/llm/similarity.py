@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerlab.llm import textkernels as K
-from answerlab.session import materialize
+from answerlab.session import materialize, semi_join_checked
 
 
 def shingle_sets(rows: DataFrame, n: int = 5) -> DataFrame:
@@ -40,6 +40,16 @@ def shingle_sets(rows: DataFrame, n: int = 5) -> DataFrame:
     return rows.select("text").mapInArrow(run, "key long, shingles binary")
 
 
+def sets_for(rows: DataFrame, owners: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(key, shingles)`` of the texts of ``keys``: one row of ``rows (id, text)`` for each, by ``owners (id, key)``.
+
+    ``keys`` should be materialised.  Only the rows needed reach Python.
+    """
+    ids = materialize(semi_join_checked(owners, keys, "key").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct())
+    texts = semi_join_checked(rows.select("id", "text"), ids, "id")
+    return semi_join_checked(shingle_sets(texts), keys, "key").dropDuplicates(["key"])
+
+
 def verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``(a, b)`` of keys whose similarity is at least ``threshold``, as ``(a, b, similarity)``.
 

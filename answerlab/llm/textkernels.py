@@ -128,6 +128,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out if not rest else np.minimum(out[:-rest], out[rest:]) if len(out) > rest else out[:0]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct numbers; a plain sort, which numpy does faster than its ``unique``."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers ``lo, lo + 1, …`` of each range, one after the other."""
     return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -213,7 +219,7 @@ def bit_sketch(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.ascontiguousarray(packed[:, 8:]).view("<u4").ravel()
 
 
-def sketch_limit(threshold: float, deviations: float = 3.0) -> int:
+def sketch_limit(threshold: float, deviations: float) -> int:
     """Agreeing bits that a pair at the threshold has, but for a chance of ``deviations`` sigmas."""
     p = (1 + threshold) / 2
     return int(np.floor(SKETCH_BITS * p - deviations * np.sqrt(SKETCH_BITS * p * (1 - p))))
@@ -221,7 +227,7 @@ def sketch_limit(threshold: float, deviations: float = 3.0) -> int:
 
 def distinct_sorted(hashes: np.ndarray, offsets: np.ndarray, i: int) -> np.ndarray:
     """The sorted distinct shingle hashes of text ``i``."""
-    return np.unique(hashes[offsets[i] : offsets[i + 1]])
+    return distinct(hashes[offsets[i] : offsets[i + 1]])
 
 
 def jaccard_sorted(a: np.ndarray, b: np.ndarray) -> float:

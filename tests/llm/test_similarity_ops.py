@@ -75,21 +75,49 @@ def test_groups(table):
 
 
 def test_popular_groups_keep_their_pairs(spark):
-    """A third of all rows are versions of one letter, and nodes may hold four texts."""
+    """A third of all rows are versions of one letter; nodes may hold four texts, hot ones are cut into blocks of five."""
     rng = random.Random(5)
     letter = [f"l{i}" for i in range(60)]
     rows = []
-    for i in range(60):
+    for i in range(90):
         text = list(letter)
         if i % 3 == 0:
             text[rng.randrange(60)] = f"e{i}"
         else:
             text = [f"r{rng.randrange(9999)}" for _ in range(40)]
-        rows.append((i, " ".join(text)))
-    df = spark.createDataFrame(rows, "key long, text string")
-    got = neardup.similar_texts(df, 0.6, node_limit=4).count()
+        rows.append((f"{i:03d}", " ".join(text)))
+    df = spark.createDataFrame(rows, "complaint_id string, narrative string")
     want = sum(sim(a, b) >= 0.6 for k, (_, a) in enumerate(rows) for _, b in rows[k + 1 :])
-    assert got == want > 100
+    for more in ({"hot_share": 1.0}, {"hot_share": 0.01, "block": 5}):
+        got = neardup.Forest(df, "complaint_id", "narrative", 0.6, node_limit=4, **more)
+        assert {r["depth"] for r in got.prefix_lengths().collect()} & {4, 5} and len(got.rounds) > 1
+        assert got.pairs.count() == want > 400
+
+
+def test_recall_of_every_band_against_its_estimate(spark):
+    """Families of versions at all similarities, in nodes beyond the limit: the estimate holds in every band."""
+    rng = random.Random(31)
+    boiler = [f"b{i}" for i in range(40)]
+    rows, want = [], {}
+    for f in range(60):
+        base = [f"w{f}x{i}" for i in range(110)]
+        group = []
+        for v in range(7):
+            edit = list(base)
+            for k in rng.sample(range(110), rng.randint(0, 5)):
+                edit[k] = f"e{f}x{v}x{k}"
+            group.append((f"{f:02d}{v}", " ".join(edit + boiler)))
+        rows += group
+        want |= {(a, b): s for k, (a, x) in enumerate(group) for b, y in group[k + 1 :] if (s := sim(x, y)) >= 0.6}
+    df = spark.createDataFrame(rows, "complaint_id string, narrative string")
+    forest = neardup.Forest(df, "complaint_id", "narrative", 0.6, node_limit=12)
+    assert forest.prefix_lengths().count() > 0
+    key = {r["id"]: r["key"] for r in forest.members.collect()}
+    got = {tuple(sorted(r[:2])) for r in forest.pairs.collect()}
+    for lo in (0.6, 0.7, 0.8, 0.9):
+        band = [p for p, s in want.items() if lo <= s < lo + 0.1]
+        hit = sum(tuple(sorted((key[a], key[b]))) in got for a, b in band)
+        assert len(band) > 30 and hit >= 0.985 * len(band), (lo, hit, len(band))
 
 
 SCHEMA = "complaint_id string, narrative string"
@@ -222,5 +250,5 @@ def test_empty_tables(spark):
 
 
 def test_recall_estimate():
-    assert neardup.recall_at(0.6, [4] * 32) > 0.98
-    assert neardup.recall_at(0.6, [8] * 32) < neardup.recall_at(0.6, [4] * 32)
+    assert neardup.recall_at(0.6, [neardup.FLOOR] * neardup.TREES) > 0.99
+    assert neardup.recall_at(0.6, [5] * 20) < neardup.recall_at(0.6, [4] * 20)
