@@ -6,7 +6,8 @@ trie.  In each tree a text is compared inside the shallowest node that holds at
 prefix is shortened from the full label as long as the node stays that small, at most to ``FLOOR`` values.  The recall of a
 text's partners at the threshold, ``1 - prod(1 - s ** depth)`` over its trees, follows from the prefix lengths used;
 texts below the target go through further trees with fresh permutations, until all reach it.  Candidates are
-screened by 96-bit sketches, whose loss is part of the estimate, and verified exactly.
+screened by 96-bit sketches where they arise and by all values of their labels afterwards; the loss is part of the
+estimate.  What is left is verified exactly.
 
 Hot nodes.  A sketch of fixed size counts the nodes of all labels beforehand.  A node that holds too large a share of a tree
 is not gathered: its texts are sent on by their full labels, and a full label that is shared by more than
@@ -37,7 +38,7 @@ _COUNTERS = 1 << 16
 DEVIATIONS, SCREEN_LOSS = 3.5, 0.0005
 _TEXT = np.dtype([("key", "<i8"), ("first", "<u8"), ("more", "<u4"), ("digits", "<u4", (TREES * DEPTH,))])
 #: One label in a shard: its node, its next two digits, how it is compared, the sketch, the text.
-_ROW = np.dtype([("node", "<u4"), ("d4", "<u2"), ("d5", "<u2"), ("mode", "<u4"), ("more", "<u4"), ("first", "<u8"), ("key", "<i8")])
+_ROW = np.dtype([("node", "<u4"), ("d4", "<u2"), ("d5", "<u2"), ("mode", "u1"), ("more", "<u4"), ("first", "<u8"), ("key", "<i8")])
 _TRIE, _FULL, _LEFT, _RIGHT = range(4)
 _PAIRS = 1 << 21
 
@@ -259,6 +260,35 @@ def _batch(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int32())], ["a", "b", "depth"])
 
 
+def _screened_again(pairs: DataFrame, labels: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(a, b)`` whose labels agree in as many values as those of pairs at the threshold do; a byte a value is compared."""
+    width = TREES * DEPTH
+    least = math.floor(width * threshold - DEVIATIONS * math.sqrt(width * threshold * (1 - threshold)))
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("labels"):
+                text = np.frombuffer(blob.as_py(), _TEXT)
+                low = (K.mix64(text["digits"].ravel()) & np.uint64(0xFF)).astype(np.uint8)
+                values = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(text), [None, pa.py_buffer(low.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(text["key"])), values.cast(pa.binary())], ["key", "marks"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, width) for c in ("x", "y"))
+            keep = pa.array(np.flatnonzero((x == y).sum(1) >= least))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
+
+    known = semi_join_checked(labels.select("labels").mapInArrow(marks, "key long, marks binary"), keys, "key").dropDuplicates(["key"])
+    left = known.select(F.col("key").alias("a"), F.col("marks").alias("x"))
+    right = known.select(F.col("key").alias("b"), F.col("marks").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def _keys_of(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+
+
 class Forest:
     """The forest over ``(id, text)`` rows and what it found.
 
@@ -271,7 +301,7 @@ class Forest:
         max_rounds: int = 16, block: int = BLOCK, hot_share: float = HOT_SHARE,
     ) -> None:
         rows = table.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-        labels = materialize(labelled(rows, n, 1))
+        labels = every = materialize(labelled(rows, n, 1))
         pair = F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("id_keys").alias("key"))).alias("x")
         self.members = labels.select(pair).select("x.id", "x.key").distinct()
         shards, base = spread(rows), TREES * math.log1p(-(threshold**FLOOR))
@@ -302,8 +332,8 @@ class Forest:
         else:
             raise RuntimeError(f"the target recall is not reached in {max_rounds} rounds of trees")
         found = materialize(found.distinct())
-        needed = materialize(found.select(F.col("a").alias("key")).union(found.select("b")).distinct())
-        self.pairs = materialize(verify_pairs(found, sets_for(rows, self.members, needed), threshold))
+        found = materialize(_screened_again(found, every, _keys_of(found), threshold))
+        self.pairs = materialize(verify_pairs(found, sets_for(rows, self.members, _keys_of(found)), threshold))
 
     def prefix_lengths(self) -> DataFrame:
         """``(round, depth, labels)``: how many labels were compared at each prefix length beyond the shortest."""
