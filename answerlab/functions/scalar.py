@@ -9,9 +9,9 @@ from answerlab.config import OVERLAP, SEQUENCE, SPECIAL
 
 
 def parse_date(text: Column, two_digit_years: bool = True) -> Column:
-    """A date written YYYY-MM-DD, MM/DD/YYYY or MM/DD/YY; null if none fits."""
+    """A date written YYYY-MM-DD, MM/DD/YYYY or MM/DD/YY, blanks around allowed; null if none fits."""
     forms = ["yyyy-MM-dd", "M/d/yyyy"] + (["M/d/yy"] if two_digit_years else [])
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in forms)).cast("date")
+    return F.coalesce(*(F.try_to_timestamp(F.trim(text), F.lit(f)) for f in forms)).cast("date")
 
 
 def portable_hash(text: Column) -> Column:

@@ -1,9 +1,10 @@
 """Rows that fail to parse: bulk columnar parsing with bisection of failing blocks.
 
-Blocks of records take a fast path: one vectorised well-formedness match, one columnar CSV parse,
-vectorised checks of the validated columns.  A block that passes is loaded as it stands.  A block that fails is
-halved until the failing records stand alone, and only those are diagnosed, field by field, for the
-first reason that holds.
+Blocks of records take a fast path: one vectorised match of well-formed records of the right width, one columnar CSV parse of
+these, vectorised checks of the validated columns.  A block that passes is loaded as it stands.  A block that fails is
+halved until the failing records stand alone; what the checks found is kept as a running count, so a half is tested by two
+lookups instead of another parse.  The records that stand alone are diagnosed, field by field, for the first reason that holds; the
+rest of the block is loaded from the one parse.  If the columnar parser itself refuses a block, its halves are parsed again.
 """
 
 from __future__ import annotations
@@ -21,15 +22,15 @@ from pyspark.sql import DataFrame
 from answerlab.config import RAW_COLUMNS
 
 _FIELD = r'(?:"[^"]*(?:""[^"]*)*"|[^",\r\n]*)'
-#: The whole record: fields, commas, at most one line end.  Used by RE2 on blocks.
-_RECORD = rf"\A{_FIELD}(?:,{_FIELD})*(?:\r\n|\n|\r)?\z"
+#: The whole record of one more fields than ``{}``, at most one line end.  Used by RE2 on blocks.
+_RECORD = r"\A{0}(?:,{0}){{{1}}}(?:\r\n|\n|\r)?\z"
 _BAD_TEXT = "[\\x{FFFD}\\x{7F}\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}]"
 _BAD_TEXT_PY = re.compile("[�\x7f\x00-\x08\x0b\x0c\x0e-\x1f]")
 _ID = re.compile(r"[0-9]{8}")
 _DATES = (re.compile(r"([0-9]{4})-([0-9]{2})-([0-9]{2})"), re.compile(r"([0-9]{2})/([0-9]{2})/([0-9]{4}|[0-9]{2})"))
 #: Lengths of the months, without leap days.
 _MONTHS = np.array([31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])
-_BLOCK = 256
+_BLOCK = 4_096
 REASONS = ("quoting", "column_count", "complaint_id", "date_received", "narrative")
 
 
@@ -108,8 +109,8 @@ def diagnose(raw: str | None, columns: tuple[str, ...] = RAW_COLUMNS) -> tuple[s
     return None, fields
 
 
-def _dates_ok(values: pa.Array) -> bool:
-    """Whether every value is a real date, column-wise."""
+def _real_dates(values: pa.Array) -> np.ndarray:
+    """Which values are real dates, column-wise."""
     t = pc.utf8_trim(values, " ")
     parts = []
     for pattern in (
@@ -118,24 +119,17 @@ def _dates_ok(values: pa.Array) -> bool:
     ):
         got = pc.extract_regex(t, pattern)
         parts.append({k: pc.cast(pc.struct_field(got, k), pa.int32()) for k in "ymd"} | {"short": pc.struct_field(got, "y")})
-    y, m, d = (pc.coalesce(parts[0][k], parts[1][k]) for k in "ymd")
-    if y.null_count:
-        return False
+    y, m, d = (pc.fill_null(pc.coalesce(parts[0][k], parts[1][k]), 0).to_numpy(zero_copy_only=False) for k in "ymd")
     short = pc.fill_null(pc.less(pc.utf8_length(parts[1]["short"]), 4), False).to_numpy(zero_copy_only=False)
-    y, m, d = (x.to_numpy(zero_copy_only=False) for x in (y, m, d))
     y = np.where(short, y + np.where(y < 69, 2000, 1900), y)
-    if (y < 1).any() or (m < 1).any() or (m > 12).any():
-        return False
+    month = (m >= 1) & (m <= 12)
     leap = (m == 2) & ((y % 4 == 0) & (y % 100 != 0) | (y % 400 == 0))
-    return bool(((d >= 1) & (d <= _MONTHS[m - 1] + leap)).all())
+    return (y >= 1) & month & (d >= 1) & (d <= _MONTHS[np.where(month, m, 1) - 1] + leap)
 
 
-def _bulk(raws: pa.Array, columns: tuple[str, ...]) -> pa.Table | None:
-    """The block's columns, or None if any record fails anything."""
-    if raws.null_count or not pc.all(pc.match_substring_regex(raws, _RECORD)).as_py():
-        return None
-    body = pc.replace_substring_regex(raws, r"(?:\r\n|\n|\r)\z", "")
-    data = ("\n".join(body.to_pylist()) + "\n").encode()
+def _table(body: list[str], columns: tuple[str, ...]) -> pa.Table | None:
+    """One columnar parse of some records without their line ends; None if the parser refuses."""
+    data = ("\n".join(body) + "\n").encode()
     try:
         out = pacsv.read_csv(
             io.BytesIO(data),
@@ -145,40 +139,65 @@ def _bulk(raws: pa.Array, columns: tuple[str, ...]) -> pa.Table | None:
         ).combine_chunks()
     except pa.ArrowInvalid:
         return None
-    if out.num_rows != len(raws):
-        return None
-    one = lambda name: out.column(name).combine_chunks()
-    ids = pc.match_substring_regex(pc.utf8_trim(one("Complaint ID"), " "), r"\A[0-9]{8}\z")
-    if not pc.all(ids).as_py() or pc.any(pc.match_substring_regex(one("Consumer complaint narrative"), _BAD_TEXT)).as_py():
-        return None
-    return out if _dates_ok(one("Date received")) else None
+    return out if out.num_rows == len(body) else None
 
 
-def _load(key: pa.Array, raws: pa.Array, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    names = ["key", "reason", *columns]
-    todo = [(0, len(raws))]
-    bad: list[tuple[int, str]] = []
+def _bulk(raws: pa.Array, columns: tuple[str, ...]) -> tuple[np.ndarray, list[tuple[np.ndarray, pa.Table]]]:
+    """(which records fail, the parsed records as (record numbers, columns)) of a block."""
+    well = pc.fill_null(pc.match_substring_regex(raws, _RECORD.format(_FIELD, len(columns) - 1)), False).to_numpy(zero_copy_only=False)
+    fails = ~well
+    body = pc.replace_substring_regex(raws.take(pa.array(np.flatnonzero(well))), r"(?:\r\n|\n|\r)\z", "").to_pylist()
+    todo, done = [(np.flatnonzero(well), body)] if body else [], []
+    while todo:
+        at, body = todo.pop()
+        got = _table(body, columns)
+        if got is None:
+            if len(at) == 1:
+                fails[at] = True
+            else:
+                mid = len(at) // 2
+                todo += [(at[mid:], body[mid:]), (at[:mid], body[:mid])]
+            continue
+        one = lambda name: got.column(name).combine_chunks()  # noqa: E731, B023
+        ok = pc.match_substring_regex(pc.utf8_trim(one("Complaint ID"), " "), r"\A[0-9]{8}\z").to_numpy(zero_copy_only=False)
+        ok = ok & ~pc.match_substring_regex(one("Consumer complaint narrative"), _BAD_TEXT).to_numpy(zero_copy_only=False)
+        ok = ok & _real_dates(one("Date received"))
+        fails[at[~ok]] = True
+        done.append((at, got if ok.all() else got.filter(pa.array(ok))))
+        done[-1] = (at[ok], done[-1][1])
+    return fails, done
+
+
+def failing(fails: np.ndarray) -> list[int]:
+    """The failing records of a block, isolated by halving it; a half is tested by the running count of failures."""
+    seen = np.concatenate(([0], np.cumsum(fails))).tolist()
+    todo, out = [(0, len(fails))], []
     while todo:
         lo, hi = todo.pop()
-        block = _bulk(raws.slice(lo, hi - lo), columns)
-        if block is not None:
-            arrays = [a for c in columns for a in [block.column(c).combine_chunks()]]
-            yield pa.RecordBatch.from_arrays([key.slice(lo, hi - lo), pa.nulls(hi - lo, pa.string()), *arrays], names)
-        elif hi - lo > 1:
+        if seen[hi] == seen[lo]:
+            continue  # this part of the block passes as a whole
+        if hi - lo == 1:
+            out.append(lo)
+        else:
             mid = (lo + hi) // 2
             todo += [(mid, hi), (lo, mid)]
-        else:
-            reason, fields = diagnose(raws[lo].as_py(), columns)
-            if reason is None:
-                yield pa.RecordBatch.from_arrays(
-                    [key.slice(lo, 1), pa.nulls(1, pa.string()), *(pa.array([x], pa.string()) for x in fields)], names
-                )
-            else:
-                bad.append((lo, reason))
-    if bad:
-        at = pa.array([i for i, _ in bad], pa.int64())
-        empty = [pa.nulls(len(bad), pa.string())] * len(columns)
-        yield pa.RecordBatch.from_arrays([key.take(at), pa.array([r for _, r in bad]), *empty], names)
+    return out
+
+
+def _load(key: pa.Array, raws: pa.Array, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    names = ["key", "reason", *columns]
+    fails, parsed = _bulk(raws, columns)
+    for at, block in parsed:
+        if len(at):
+            arrays = [block.column(c).combine_chunks() for c in columns]
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(at)), pa.nulls(len(at), pa.string()), *arrays], names)
+    alone = failing(fails)
+    if alone:
+        found = [diagnose(raws[i].as_py(), columns) for i in alone]
+        cells = [[None if f is None else f[j] for _, f in found] for j in range(len(columns))]
+        yield pa.RecordBatch.from_arrays(
+            [key.take(pa.array(alone)), pa.array([r for r, _ in found], pa.string()), *(pa.array(c, pa.string()) for c in cells)], names
+        )
 
 
 def parse_records(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlab.config import BOOTSTRAPS, LABEL_COUNTS, SPLIT_DATES, SPLIT_ROWS, TABULAR_FIELDS
+from answerlab.config import BOOTSTRAPS, CANDIDATE_COLUMNS, LABEL_COUNTS, RAW_COLUMNS, SPLIT_DATES, SPLIT_ROWS, TABULAR_FIELDS
 from answerlab.functions import scalar
 from answerlab.operators import answer_cache, csvrecords, features, metrics, models, prepare
 from answerlab.plans.report import grid_bootstrap, result_rows
@@ -41,44 +41,64 @@ def _r(c, places: int = 9) -> Column:
 # ---- records that fail to parse
 
 
-@query()
+_CSV = r"""(?:"[^"]*(?:""[^"]*)*"|[^",\r\n]*)"""
+#: Raw records by the SQL engine's regular expressions: whether well-formed, the fields unquoted, the first reason to reject.
+_RAW = rf"""WITH b AS (SELECT record_id, coalesce(raw, '') AS raw FROM raw_records),
+    f AS (SELECT record_id, regexp_full_match(raw, '{_CSV}(?:,{_CSV})*(?:\r\n|\n|\r)?') AS well,
+      list_transform(regexp_extract_all(regexp_replace(raw, '(?:\r\n|\n|\r)\z', '') || ',', '({_CSV}),', 1),
+        lambda x: CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END) AS c FROM b),
+    t AS (SELECT *, trim(c[1]) AS day FROM f),
+    d AS (SELECT *, CASE WHEN regexp_full_match(day, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND day >= '0001' THEN try_strptime(day, '%Y-%m-%d')
+      WHEN regexp_full_match(day, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') AND day[7:] >= '0001' THEN try_strptime(day, '%m/%d/%Y')
+      WHEN regexp_full_match(day, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{2}}') THEN try_strptime(day, '%m/%d/%y') END::DATE AS received FROM t),
+    j AS (SELECT *, CASE WHEN NOT well THEN 'quoting' WHEN len(c) <> 18 THEN 'column_count' WHEN NOT regexp_full_match(trim(c[18]), '[0-9]{{8}}') THEN 'complaint_id'
+      WHEN received IS NULL THEN 'date_received' WHEN regexp_matches(c[6], '[\x{{FFFD}}\x7F\x00-\x08\x0B\x0C\x0E-\x1F]') THEN 'narrative' END AS reason FROM d)"""
+
+
+@query(f"{_RAW} SELECT DISTINCT record_id, reason FROM j WHERE reason IS NOT NULL")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     parsed = csvrecords.parse_records(table(spark, d, "raw_records"), "record_id", "raw")
     return csvrecords.rejected_records(parsed, "record_id").distinct()
 
 
-@query()
+@query(_RAW + " SELECT record_id, " + ", ".join(f'c[{i}] AS "{c}"' for i, c in enumerate(RAW_COLUMNS, 1)) + " FROM j WHERE reason IS NULL")
 def p4_rows(spark: SparkSession, d: str) -> DataFrame:
     return csvrecords.valid_records(csvrecords.parse_records(table(spark, d, "raw_records"), "record_id", "raw"))
 
 
 # ---- filter, dates, rates, splits
 
+_KEPT = ("Checking or savings account", "Money transfer, virtual currency, or money service")
+_ANSWERS = ("Closed with monetary relief", "Closed with non-monetary relief", "Closed with explanation")
+_SPAN = f"BETWEEN DATE '{SPLIT_DATES['train'][0]}' AND DATE '{SPLIT_DATES['test'][1]}'"
 
-@query()
+
+@query(
+    _RAW + " SELECT " + ", ".join(f"{'received' if n == 'date_received' else f'c[{RAW_COLUMNS.index(c) + 1}]'} AS {n}" for c, n in CANDIDATE_COLUMNS.items())
+    + f""", (c[15] = '{_ANSWERS[0]}')::INTEGER AS y FROM j WHERE reason IS NULL AND length(trim(c[6], ' ')) > 0 AND c[2] IN {_KEPT} AND c[15] IN {_ANSWERS}
+    AND NOT regexp_matches(c[2], '(?i)credit report') AND received {_SPAN}"""
+)
 def filter_raw_export(spark: SparkSession, d: str) -> DataFrame:
     """The whole filter over the parsed raw records."""
     raw = csvrecords.valid_records(csvrecords.parse_records(table(spark, d, "raw_records"), "record_id", "raw"))
-    kept = ("Checking or savings account", "Money transfer, virtual currency, or money service")
-    answers = ("Closed with monetary relief", "Closed with non-monetary relief", "Closed with explanation")
-    return prepare.filter_candidates(raw, kept, answers, answers[0])
+    return prepare.filter_candidates(raw, _KEPT, _ANSWERS, _ANSWERS[0])
 
 
 @query(
-    f"""SELECT complaint_id, product, date_received, (lower(trim(submitted_via)) = 'web')::INTEGER AS via_web FROM candidates
-    WHERE narrative IS NOT NULL AND length(trim(narrative)) > 0 AND product IN ('Checking or savings account', 'Credit card')
-    AND NOT regexp_matches(product, '(?i)credit report')
-    AND date_received BETWEEN DATE '{SPLIT_DATES["train"][0]}' AND DATE '{SPLIT_DATES["test"][1]}'"""
+    f"""SELECT complaint_id, product, date_received, y, company FROM candidates
+    WHERE narrative IS NOT NULL AND length(trim(narrative, ' ')) > 0 AND product IN ('{_KEPT[0]}', 'Credit card') AND y IS NOT NULL
+    AND NOT regexp_matches(product, '(?i)credit report') AND date_received {_SPAN}"""
 )
 def filter_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates written back as an export, dates in three forms, and filtered by the operator."""
     c = table(spark, d, "candidates")
-    a, b = SPLIT_DATES["train"][0], SPLIT_DATES["test"][1]
-    return c.where(
-        prepare.not_blank(F.col("narrative"))
-        & F.col("product").isin("Checking or savings account", "Credit card")
-        & ~F.col("product").rlike("(?i)credit report")
-        & F.col("date_received").between(F.lit(a).cast("date"), F.lit(b).cast("date"))
-    ).select("complaint_id", "product", "date_received", (F.lower(F.trim("submitted_via")) == "web").cast("int").alias("via_web"))
+    turn = F.pmod(F.col("complaint_id").cast("long"), F.lit(3))
+    day = F.when(turn == 0, F.date_format("date_received", "yyyy-MM-dd")).when(turn == 1, F.date_format("date_received", "MM/dd/yyyy"))
+    answer = F.when(F.col("y") == 1, _ANSWERS[0]).when(F.col("y") == 0, _ANSWERS[2])
+    named = [F.col(n).alias(e) for e, n in CANDIDATE_COLUMNS.items() if n != "date_received"]
+    raw = c.select(*named, day.otherwise(F.date_format("date_received", "MM/dd/yy")).alias("Date received"), answer.alias("Company response to consumer"))
+    out = prepare.filter_candidates(raw, (_KEPT[0], "Credit card"), _ANSWERS, _ANSWERS[0])
+    return out.select("complaint_id", "product", "date_received", "y", "company")
 
 
 @query(

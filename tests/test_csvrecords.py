@@ -65,6 +65,28 @@ def test_blocks_equal_strict_reading(spark):
     assert C.rejected_records(got, "record_id").where("record_id = 11").first()["reason"] == "column_count"
 
 
+def test_halving_isolates_the_failing_records():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 1000):
+        for share in (0.0, 0.02, 0.5, 1.0):
+            fails = rng.random(n) < share
+            assert C.failing(fails) == np.flatnonzero(fails).tolist()
+
+
+def test_bulk_path_agrees_with_strict_reading_on_odd_records():
+    import pyarrow as pa
+
+    rows = [line(), line("\r"), line("\n\n"), "", None, ",".join("x" * 18), line(**{"Issue": "a\r\nb"}), line(**{"Issue": ""}), "\n" + line(), line() + ",y", '"' + line()]
+    rows += [line(**{"Date received": d}) for d in ("02/29/21", "02/29/20", "2020-02-30", "1/02/2020", "0000-01-01")]
+    got = [r for b in C._load(pa.array(range(len(rows))), pa.array(rows, pa.string()), RAW_COLUMNS) for r in b.to_pylist()]
+    assert sorted(r["key"] for r in got) == list(range(len(rows)))
+    for r in got:
+        reason, fields = C.diagnose(rows[r["key"]])
+        assert r["reason"] == reason and [r[c] for c in RAW_COLUMNS] == (fields or [None] * 18)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "record_id long, raw string")
     assert C.parse_records(df, "record_id", "raw").count() == 0
