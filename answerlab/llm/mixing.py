@@ -1,24 +1,26 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Each source's records, in a hashed order, are laid end to end (once per repetition) and cut into blocks of
-equal tokens.  Block k of a source of weight w is released at k / w and due at (k + 1) / w; earliest
-deadline first over the released blocks interleaves the sources so that each is always within one
-block of its share.  Weights are fractions of a period, so the schedule of one period, made on
-the driver, holds for all: its size depends on the period alone.
+equal tokens.  Block k of a source of weight w is released at slot floor(k / w) and due at ceil((k + 1) / w); earliest
+deadline first over the released blocks interleaves the sources so that each is always less than one
+block from its share.  Weights are exact fractions of whole tokens and windows follow from the block's number by integer arithmetic, so
+nothing is rounded and nothing drifts.  The schedule is made on the driver; blocks are as large as it takes
+to have at most ``MAX_BLOCKS`` of them, which bounds the schedule for any supply.
 """
 
 from __future__ import annotations
 
-import math
+import heapq
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerlab.llm.tokens import DEFAULT_RANKS, with_token_counts
-from answerlab.session import materialize, spread
+from answerlab.session import BROADCAST_ROWS, materialize, spread
 
-BLOCK_TOKENS = 8_192
-PERIOD = 1_000
+#: Tokens of a block at least, and blocks of a mixture at most.
+BLOCK_TOKENS, MAX_BLOCKS = 8_192, 1 << 19
 
 
 def normal_source(column):
@@ -41,28 +43,35 @@ def demands(supply: dict[str, int], targets: dict[str, tuple[float, int]], total
     return {s: int(min(share * total, supply.get(s, 0) * most)) for s, (share, most) in targets.items()}
 
 
-def period_schedule(wanted: dict[str, int], period: int = PERIOD) -> tuple[dict[str, int], list[str]]:
-    """(blocks a period of each source, source of each slot), by earliest deadline among released blocks."""
-    total = sum(wanted.values())
+def block_size(wanted: dict[str, int], least: int = BLOCK_TOKENS, most: int = MAX_BLOCKS) -> int:
+    """Tokens of a block: ``least``, or what gives ``most`` blocks."""
+    return max(least, -(-sum(wanted.values()) // most))
+
+
+def schedule(wanted: dict[str, int], block: int) -> list[str]:
+    """The source of each slot, by earliest deadline among the released blocks.
+
+    ``wanted`` is tokens a source; its last block may be part of one.
+    """
     live = {s: n for s, n in wanted.items() if n > 0}
-    if not total:
-        return {}, []
-    period = max(period, len(live))
-    exact = {s: max(1.0, n * period / total) for s, n in live.items()}
-    count = {s: int(x) for s, x in exact.items()}
-    for s in sorted(live, key=lambda s: (count[s] - exact[s], s)):
-        if sum(count.values()) >= period:
-            break
-        count[s] += 1
-    size = sum(count.values())
-    done = dict.fromkeys(count, 0)
-    slots = []
-    for t in range(size):
-        ready = [s for s in count if done[s] < count[s] and done[s] * size // count[s] <= t]
-        pick = min(ready, key=lambda s: (-(-(done[s] + 1) * size // count[s]), s))
-        done[pick] += 1
-        slots.append(pick)
-    return count, slots
+    total = sum(live.values())
+    blocks = {s: -(-n // block) for s, n in live.items()}
+    waiting = [(0, s, 0) for s in sorted(live)]  # (release, source, block)
+    ready: list[tuple[int, str, int]] = []  # (deadline, source, block)
+    slots: list[str] = []
+    t = 0
+    while waiting or ready:
+        if not ready and waiting[0][0] > t:
+            t = waiting[0][0]  # only at the end, when some sources have no blocks left
+        while waiting and waiting[0][0] <= t:
+            _, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // live[s]), s, k))
+        _, s, k = heapq.heappop(ready)
+        slots.append(s)
+        t += 1
+        if k + 1 < blocks[s]:
+            heapq.heappush(waiting, ((k + 1) * total // live[s], s, k + 1))
+    return slots
 
 
 def mixed(
@@ -94,7 +103,8 @@ def mixed(
     sums = sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"))
     supply = {r["source"]: r["tokens"] for r in sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     wanted = demands(supply, plan, total)
-    count, slots = period_schedule(wanted)
+    size = block_size(wanted, block_tokens)
+    slots = schedule(wanted, size)
     spark = documents.sparkSession
     schema = "slot long, offset long, source string, doc_id {}, use_no int, n_tokens long".format(sized.schema["doc_id"].dataType.simpleString())
     if not slots:
@@ -115,19 +125,21 @@ def mixed(
         .where("uses > 0")
         .withColumn("use_no", F.explode(F.sequence(F.lit(1), F.col("uses"))))
         .withColumn("at", (F.col("use_no") - 1) * F.col("have") + F.col("start"))
-        .withColumn("block", F.floor(F.col("at") / block_tokens).cast("long"))
+        .withColumn("block", F.floor(F.col("at") / size).cast("long"))
     )
-    seen = dict.fromkeys(count, 0)
-    table = []
-    for t, s in enumerate(slots):
-        table.append((s, seen[s], t, count[s]))
-        seen[s] += 1
-    schedule = spark.createDataFrame(table, "source string, turn long, slot_in long, per long")
-    keyed = uses.join(F.broadcast(demand.select("source").join(schedule.select("source", "per").distinct(), "source")), "source")
-    keyed = keyed.withColumn("turn", F.col("block") % F.col("per")).withColumn("round", F.floor(F.col("block") / F.col("per")))
-    return keyed.join(F.broadcast(schedule.drop("per")), ["source", "turn"]).select(
-        (F.col("round") * len(slots) + F.col("slot_in")).cast("long").alias("slot"),
-        (F.col("at") - F.col("block") * block_tokens).cast("long").alias("offset"),
+    turns: dict[str, int] = {}
+    number = []
+    for s in slots:
+        number.append(turns.get(s, 0))
+        turns[s] = number[-1] + 1
+    plan_rows = spark.createDataFrame(pd.DataFrame({"source": slots, "block": number, "slot": range(len(slots))}), "source string, block long, slot long")
+    # the last repetition may begin in the tokens after the last block: it stays in that block
+    last = spark.createDataFrame(list(turns.items()), "source string, blocks long")
+    keyed = uses.join(F.broadcast(last), "source").withColumn("block", F.least("block", F.col("blocks") - 1))
+    side = F.broadcast(plan_rows) if len(slots) <= BROADCAST_ROWS else plan_rows
+    return keyed.join(side, ["source", "block"]).select(
+        "slot",
+        (F.col("at") - F.col("block") * size).cast("long").alias("offset"),
         "source",
         "doc_id",
         "use_no",
@@ -135,6 +147,36 @@ def mixed(
     )
 
 
+def deviations(mixture: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Per source ``(source, weight, blocks, largest_deviation, largest_token_deviation)`` over all slots of a mixture.
+
+    ``weight`` is the source's share of the mixture's tokens.  ``largest_deviation`` is that of its number of blocks from
+    weight times slots, ``largest_token_deviation`` that of its tokens from weight times tokens so far, in blocks of the
+    schedule; records are not cut, so the latter may exceed the former by a record.  A mixture has at most ``MAX_BLOCKS`` slots
+    and some, which is what the running sums hold.
+    """
+    per = mixture.groupBy("slot", "source").agg(F.sum("n_tokens").alias("tokens"))
+    total = per.agg(F.sum("tokens").alias("all_tokens"))
+    size = F.greatest(F.lit(block_tokens), F.ceil(F.col("all_tokens") / MAX_BLOCKS))
+    upto = Window.orderBy("slot")  # one row a slot
+    rows = per.select("slot", "source", "tokens", F.sum("tokens").over(upto).alias("done")).join(F.broadcast(total)).withColumn("size", size)
+    own = Window.partitionBy("source").orderBy("slot")
+    rows = rows.withColumn("mine", F.sum("tokens").over(own)).withColumn("k", F.row_number().over(own))
+    weight = F.sum("tokens").over(Window.partitionBy("source")) / F.col("all_tokens")
+    rows = rows.withColumn("weight", weight)
+    # a source is furthest ahead just after one of its slots and furthest behind just before
+    after = F.abs(F.col("k") - F.col("weight") * (F.col("slot") + 1))
+    before = F.abs(F.col("k") - 1 - F.col("weight") * F.col("slot"))
+    token_after = F.abs(F.col("mine") - F.col("weight") * F.col("done"))
+    token_before = F.abs(F.col("mine") - F.col("tokens") - F.col("weight") * (F.col("done") - F.col("tokens")))
+    return rows.groupBy("source").agg(
+        F.max("weight").alias("weight"),
+        F.count(F.lit(1)).alias("blocks"),
+        F.max(F.greatest(after, before)).alias("largest_deviation"),
+        F.max(F.greatest(token_after, token_before) / F.col("size")).alias("largest_token_deviation"),
+    )
+
+
 def share_report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: ``(source, target_share, actual_share, tokens, records, most_uses, max_repeats, met)``.
 

@@ -88,6 +88,10 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(p7_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p7_deviation(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.deviations(p7_mix(spark, d))
+
+
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "reading_labels")
     return reading.reading_levels(table(spark, d, "documents"), "doc_id", "text", labels, "doc_id", "level")
@@ -108,7 +112,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (p1_found, p2_found, p3_found, p5_found, p8_found)
-    more = (p1_report, p1_coverage, p2_pieces, p3_redacted, p5_groups, p5_prefixes, p6_containers, p6_report, p7_mix, p7_shares, p8_levels, p8_profile)
+    more = (p1_report, p1_coverage, p2_pieces, p3_redacted, p5_groups, p5_prefixes, p6_containers, p6_report, p7_mix, p7_shares, p7_deviation, p8_levels, p8_profile)
     return {f.__name__: f for f in found + more}
 
 

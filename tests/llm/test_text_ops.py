@@ -137,16 +137,34 @@ def test_packing_places_everything_once(spark):
     assert packing.pack_documents(df.where("size = 0"), "doc_id", "text").count() == 0
 
 
+def off_by(want, block):
+    """The largest deviation of any source's blocks from its exact share of the slots, over all slots, as a fraction."""
+    slots, total = mixing.schedule(want, block), sum(want.values())
+    done, worst = dict.fromkeys(want, 0), 0
+    for t, s in enumerate(slots, 1):
+        if t <= total // block:
+            behind = max(abs(done[k] * total - (t - 1) * want[k]) for k in want) if t < 3000 else abs(done[s] * total - (t - 1) * want[s])
+            done[s] += 1
+            worst = max(worst, behind, abs(done[s] * total - t * want[s]))
+        else:
+            done[s] += 1
+    assert done == {s: -(-n // block) for s, n in want.items()}
+    return worst / total
+
+
 def test_schedule_stays_within_a_block():
     rng = random.Random(3)
-    for _ in range(30):
-        want = {f"s{i}": rng.randint(1, 1000) for i in range(rng.randint(1, 9))}
-        count, slots = mixing.period_schedule(want, 200)
-        assert len(slots) == sum(count.values())
-        done = dict.fromkeys(count, 0)
-        for t, s in enumerate(slots, 1):
-            done[s] += 1
-            assert all(abs(done[k] - t * count[k] / len(slots)) < 1 for k in count)
+    for _ in range(60):
+        want = {f"s{i}": rng.randint(1, 10 ** rng.randint(1, 6)) for i in range(rng.randint(1, 12))}
+        assert off_by(want, rng.choice([1, 7, 100]) if sum(want.values()) < 50_000 else 1_000) < 1
+
+
+def test_schedule_of_a_hundred_million_blocks_does_not_drift():
+    """8e11 tokens are 1e8 blocks of the usual size; the mixture makes them larger and stays exact to the token."""
+    want = {"a": 74_348_238_871, "b": 500_000_000_003, "c": 225_651_761_126, "d": 1_234_567}
+    size = mixing.block_size(want)
+    assert sum(want.values()) / mixing.BLOCK_TOKENS > 0.97e8 and sum(want.values()) / size <= mixing.MAX_BLOCKS
+    assert off_by(want, size) < 1
 
 
 def test_mixture(spark):
@@ -163,6 +181,7 @@ def test_mixture(spark):
         uses.setdefault((r["source"], r["doc_id"]), []).append(r["use_no"])
     assert all(sorted(u) == list(range(1, len(u) + 1)) and len(u) <= (1 if s == "big" else 3) for (s, _), u in uses.items())
     share = {r["source"]: r for r in mixing.share_report(mix, targets).collect()}
+    assert all(r["largest_deviation"] < 1.01 for r in mixing.deviations(mix, 64).collect())
     assert share["absent"]["tokens"] == 0 and not share["absent"]["met"]
     assert abs(share["big"]["actual_share"] / share["small_one"]["actual_share"] - 0.5 / 0.45) < 0.05
     assert mixing.mixed(df.where("slot = 0"), "doc_id", "text", "source", targets).count() == 0
