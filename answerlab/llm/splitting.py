@@ -2,8 +2,8 @@
 
 The least number of pieces follows from the length, the limit and the overlap; equal-length targets
 are placed, and each is snapped to the strongest boundary near it (paragraph before line before
-sentence).  If a piece then breaks the limit, one more piece is planned; if that fails too, every
-piece ends at the last boundary it can reach.  A piece is cut off a boundary only where no boundary
+sentence).  While a piece breaks the limit, one more piece is planned, up to as many as it takes if every piece ends at the
+last boundary it can reach; that plan meets every limit.  A piece is cut off a boundary only where no boundary
 lies within its reach.
 """
 
@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^ \t\n\r]+")
-_SENTENCE = re.compile(r"""[.!?]["'”’»)\]}]*\Z""")
+#: Quotes and brackets that may close a sentence after its last sign.
+_CLOSING = "\"'”’»)]}"
 #: How strong a boundary is.
 SENTENCE, LINE, PARAGRAPH = 1, 2, 3
 _SCHEMA = (
@@ -37,7 +38,7 @@ def boundaries(text: str) -> tuple[list[int], np.ndarray]:
         breaks = gap.replace("\r\n", "\n").count("\n") + gap.replace("\r\n", "\n").count("\r")
         if breaks:
             strength[i] = PARAGRAPH if breaks > 1 else LINE
-        elif _SENTENCE.search(text, max(a, b - 12), b):
+        elif text[a:b].rstrip(_CLOSING).endswith((".", "!", "?")):
             strength[i] = SENTENCE
     return [a for a, _ in spans] + [len(text)], strength
 
@@ -55,17 +56,26 @@ def plan(strength: np.ndarray, limit: int, overlap: int) -> list[int]:
         return [n]
     natural = np.flatnonzero(strength) + 1
     least = 1 + -(-(n - limit) // (limit - overlap))
-    for count in range(least, least + 3):
+    ends = _balanced(strength, natural, n, limit, overlap, least)
+    if ends:
+        return ends
+    farthest = _farthest(natural, n, limit, overlap)
+    for count in range(least + 1, len(farthest) + 1):
         ends = _balanced(strength, natural, n, limit, overlap, count)
         if ends:
             return ends
+    return farthest
+
+
+def _farthest(natural: np.ndarray, n: int, limit: int, overlap: int) -> list[int]:
+    """Ends of pieces that each reach for the last boundary within the limit."""
     ends, at = [], 0
     while True:
         reach = at + (limit if not ends else limit - overlap)
         if reach >= n:
             return ends + [n]
-        last = natural[(natural > at) & (natural <= reach)]
-        at = int(last[-1]) if len(last) else reach
+        within = int(np.searchsorted(natural, reach, side="right"))
+        at = int(natural[within - 1]) if within and natural[within - 1] > at else reach
         ends.append(at)
 
 
