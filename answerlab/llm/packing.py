@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from answerlab.llm import textkernels as K
 from answerlab.llm.tokens import DEFAULT_RANKS, encoding
+from answerlab.session import materialize
 
 DIMENSIONS, BITS = 3, 10
 _ITEMS = "array<struct<doc_id: {kind}, part: int, token_from: bigint, token_to: bigint>>"
@@ -175,7 +176,8 @@ def pack_documents(
             yield rows_of(done)
 
     count = partitions or rows._jdf.queryExecution().toRdd().getNumPartitions()
-    sized = rows.mapInArrow(measure, f"doc_id {kind}, curve long, size long")
+    # written once: the range partitioning samples its input before it shuffles it
+    sized = materialize(rows.mapInArrow(measure, f"doc_id {kind}, curve long, size long"))
     # the id breaks ties, so that copies of one text, however many, spread over the ranges
     ordered = sized.repartitionByRange(count, "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
     return ordered.mapInArrow(pack, f"container_id long, n_items int, used int, fill double, items {_ITEMS.format(kind=kind)}")
