@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerlab.llm import textkernels as K
+from answerlab.llm.counting import total_counts
 from answerlab.llm.similarity import components, sets_for, verify_pairs
 from answerlab.session import materialize, semi_join_checked, spread
 
@@ -103,28 +104,16 @@ def labelled(rows: DataFrame, n: int, seed: int) -> DataFrame:
 def node_counts(labels: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """(texts by counter of the shortest prefixes, of the full labels, texts) over all labels; of fixed size on the driver."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * _COUNTERS + 1, np.int64)
-        for batch in batches:
-            for blob in batch.column("labels"):
-                text = np.frombuffer(blob.as_py(), _TEXT)
-                total[-1] += len(text)
-                for tree in range(TREES):
-                    short, full = _nodes(text["digits"], tree)
-                    total[:_COUNTERS] += np.bincount(_counter(short), minlength=_COUNTERS)
-                    total[_COUNTERS:-1] += np.bincount(_counter(full), minlength=_COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * _COUNTERS + 1, np.int64)
-        for batch in batches:
-            for x in batch.column("counts"):
-                total += np.frombuffer(x.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        for blob in batch.column("labels"):
+            text = np.frombuffer(blob.as_py(), _TEXT)
+            total[-1] += len(text)
+            for tree in range(TREES):
+                short, full = _nodes(text["digits"], tree)
+                total[:_COUNTERS] += np.bincount(_counter(short), minlength=_COUNTERS)
+                total[_COUNTERS:-1] += np.bincount(_counter(full), minlength=_COUNTERS)
 
-    parts = labels.select("labels").mapInArrow(count, "counts binary")
-    rows = parts.repartition(1).mapInArrow(add, "counts binary").collect()  # one row a task, added up as it streams in
-    total = sum((np.frombuffer(r["counts"], np.int64) for r in rows), np.zeros(2 * _COUNTERS + 1, np.int64))
+    total = total_counts(labels.select("labels"), 2 * _COUNTERS + 1, count)
     return total[:_COUNTERS], total[_COUNTERS:-1], int(total[-1])
 
 

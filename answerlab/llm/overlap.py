@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerlab.llm import textkernels as K
+from answerlab.llm.counting import total_counts
 from answerlab.llm.similarity import sets_for, verify_pairs
 from answerlab.session import materialize, semi_join_checked, small_enough, spread
 
@@ -135,26 +136,13 @@ def _ranked(grams: np.ndarray, weights: np.ndarray, short: bool) -> np.ndarray:
 def run_weights(chunks: DataFrame) -> np.ndarray:
     """Logarithms of the counts of all runs of eight words of the chunks, by counter; what reaches the driver has a fixed size."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_COUNTERS, np.int64)
-        for batch in batches:
-            for lengths, codes in zip(batch.column("lengths"), batch.column("codes")):
-                first = np.concatenate(([0], np.cumsum(lengths.values.to_numpy())))
-                grams = K.combine(np.frombuffer(codes.as_py(), np.uint16).astype(np.uint64), first, _ANCHOR)[0]
-                total += np.bincount((grams & np.uint64(_COUNTERS - 1)).astype(np.int64), minlength=_COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        for lengths, codes in zip(batch.column("lengths"), batch.column("codes")):
+            first = np.concatenate(([0], np.cumsum(lengths.values.to_numpy())))
+            grams = K.combine(np.frombuffer(codes.as_py(), np.uint16).astype(np.uint64), first, _ANCHOR)[0]
+            total += np.bincount((grams & np.uint64(_COUNTERS - 1)).astype(np.int64), minlength=_COUNTERS)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_COUNTERS, np.int64)
-        for batch in batches:
-            for x in batch.column("counts"):
-                total += np.frombuffer(x.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
-
-    parts = chunks.select("lengths", "codes").mapInArrow(count, "counts binary")
-    rows = parts.repartition(1).mapInArrow(add, "counts binary").collect()  # one row a task, added up as it streams in
-    total = sum((np.frombuffer(r["counts"], np.int64) for r in rows), np.zeros(_COUNTERS, np.int64))
-    return np.ceil(np.log2(total + 1)).astype(np.uint8)
+    return np.ceil(np.log2(total_counts(chunks.select("lengths", "codes"), _COUNTERS, count) + 1)).astype(np.uint8)
 
 
 def _anchors(chunks: DataFrame, tiling: Tiling, weights: np.ndarray) -> DataFrame:

@@ -1,6 +1,6 @@
 """Reading level of each document: regularised ordinal regression on text features.
 
-Features: length of words, sentences and clauses, lexical diversity, rarity of words in this corpus, connectives and
+Features: length of words, sentences and clauses, lexical diversity, rarity of words in this corpus (every word counted), connectives and
 a clause-depth proxy (subordinators and commas a sentence).  A partial proportional-odds model with a
 ridge penalty is fitted to the graded texts; its thresholds are the calibration to their scale.
 """
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,16 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from answerlab.llm.counting import total_counts
 from answerlab.session import materialize
 
-#: Words of the corpus whose counts are kept for rarity, commonest first: bounds what the driver holds.
-VOCABULARY = 30_000
+#: Counters of the words of all documents: every word is counted, in an array of fixed size.
+COUNTERS = 1 << 19
 #: Graded rows the model is fitted on at most, taken by the hash of their id.
 LABELLED_ROWS = 20_000
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _STAMP = re.compile(r"^\s*(?:\[\d{1,2}:\d{2}\]\s*\w+:|[-*•]\s|\d+[.)]\s|sec\.\s*\d+\.?)\s*", re.I | re.M)
 #: An abbreviation's point (fixed values) ends no sentence.
-_STOP = re.compile(r"(?<!\bcf)(?<!\bno)(?<!\bpara)(?<!\bart)(?<!\bseq)(?<!\bsched)(?<!\bsec)[.!?]+(?=\s|$)|\n\s*\n|\n(?=\s*(?:\[|\d+[.)]|[-*•]\s|sec\.))", re.I)
+_STOP = re.compile(
+    r"[.!?]+(?=\s|$)(?<!\bcf\.)(?<!\bno\.)(?<!\bpara\.)(?<!\bart\.)(?<!\bseq\.)(?<!\bsched\.)(?<!\bsec\.)|\n\s*\n|\n(?=\s*(?:\[|\d+[.)]|[-*•]\s|sec\.))"
+)
+_DIGIT = re.compile(r"\d")
 _VOWELS = re.compile(r"[aeiouyàâäáéèêëíìîïóòôöúùûü]+")
 #: Connectives and subordinators.
 _CONNECTIVE = frozenset(
@@ -42,69 +48,117 @@ FEATURES = (
 )
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-cased words of letters, without list marks and time stamps."""
-    return _WORD.findall(_STAMP.sub(" ", text).lower())
-
-
-def features(text: str, rarity: dict[str, float], unseen: float) -> list[float] | None:
-    """The features of one text, or None if it has fewer than three words."""
-    words = words_of(text)
-    n = len(words)
-    if n < 3:
-        return None
-    sentences = [len(_WORD.findall(_STAMP.sub(" ", s))) for s in _STOP.split(text)]
-    sentences = [s for s in sentences if s] or [n]
-    s = len(sentences)
-    syllables = [max(1, len(_VOWELS.findall(w))) for w in words]
-    commas = text.count(",") + text.count(";")
-    rare = [rarity.get(w, unseen) for w in words]
-    # diversity by a moving window, so that long texts are comparable to short ones
-    window = min(n, 50)
-    steps = range(0, n - window + 1, max(1, window // 2))
-    diversity = sum(len(set(words[i : i + window])) for i in steps) / (len(steps) * window)
-    # the sentence a word stands in, on average: long sentences count by their words
-    return [
-        sum(map(len, words)) / n,
-        sum(len(w) > 6 for w in words) / n,
-        sum(syllables) / n,
-        sum(x > 3 for x in syllables) / n,
-        math.log(n / s),
-        math.log(sum(x * x for x in sentences) / n),
-        math.log(n / (s + commas)),
-        commas / s,
-        sum(w in _CONNECTIVE for w in words) / n,
-        sum(w in _SUBORDINATOR for w in words) / n,
-        diversity,
-        sum(rare) / n,
-        sum(x > 9 for x in rare) / n,
-        math.log(n),
-        sum(w in _PRONOUN for w in words) / n,
-        sum(len(w) > 5 and _ABSTRACT.search(w) is not None for w in words) / n,
-        min(1.0, sum(c.isdigit() for c in text) / n),
-    ]
-
-
-def word_rarity(table: DataFrame, text_col: str, size: int = VOCABULARY) -> dict[str, float]:
-    """Negative log share of each of the ``size`` commonest words, counted over all documents."""
-    words = table.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}]+(?:['’]\p{L}+)*"), F.lit(0))).alias("w"))
-    counts = materialize(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    top = counts.orderBy(F.desc("n"), "w").limit(size).toPandas()
-    return {w: math.log(total / n) for w, n in zip(top["w"], top["n"])}
-
-
-def document_features(table: DataFrame, id_col: str, text_col: str, rarity: dict[str, float]) -> DataFrame:
+def sentences_of(text: str) -> list[list[str]]:
+    """Lower-cased words of letters of each sentence that has any, without list marks and time stamps."""
+    return [w for s in _STOP.split(text.lower()) if (w := _WORD.findall(_STAMP.sub(" ", s)))]
+
+
+class Vocabulary:
+    """What a word adds to the features of its text, kept for every word met: numbers of words, rows of values."""
+
+    _MOST = 1 << 20
+
+    def __init__(self, rarity: np.ndarray) -> None:
+        self.rarity = rarity
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.values = np.empty((1024, 9))
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The words' numbers; new ones are measured first."""
+        if len(self.number) > self._MOST:
+            self._clear()
+        got = [self.number.get(w, -1) for w in words]
+        if -1 in got:
+            for w in set(words) - self.number.keys():
+                n = len(self.number)
+                if n == len(self.values):
+                    self.values = np.concatenate([self.values, np.empty_like(self.values)])
+                self.number[w] = n
+                syllables = max(1, len(_VOWELS.findall(w)))
+                rare = self.rarity[counter(w)]
+                self.values[n] = (
+                    len(w), len(w) > 6, syllables, syllables > 3, w in _CONNECTIVE, w in _SUBORDINATOR, rare, w in _PRONOUN,
+                    len(w) > 5 and _ABSTRACT.search(w) is not None,
+                )
+            got = [self.number[w] for w in words]
+        return np.array(got, np.int64)
+
+
+def counter(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (COUNTERS - 1)
+
+
+def features(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the texts of three words or more, their features as rows)."""
+    at, shape, numbers, rest = [], [], [], []
+    for i, text in enumerate(texts):
+        per = sentences_of(text) if text is not None else []
+        words = [w for s in per for w in s]
+        n, s = len(words), len(per)
+        if n < 3:
+            continue
+        mine = vocabulary.numbers(words)
+        # diversity by a moving window, so that long texts are comparable to short ones
+        window = min(n, 50)
+        steps = range(0, n - window + 1, max(1, window // 2))
+        diversity = sum(len(set(words[k : k + window])) for k in steps) / (len(steps) * window)
+        commas = text.count(",") + text.count(";")
+        digits = len(_DIGIT.findall(text))
+        at.append(i)
+        shape.append(n)
+        numbers.append(mine)
+        # the sentence a word stands in, on average: long sentences count by their words
+        square = sum(len(x) * len(x) for x in per)
+        rest.append((math.log(n / s), math.log(square / n), math.log(n / (s + commas)), commas / s, diversity, math.log(n), min(1.0, digits / n)))
+    if not at:
+        return np.empty(0, np.int64), np.empty((0, len(FEATURES)))
+    n = np.array(shape)
+    values = vocabulary.values[np.concatenate(numbers)]
+    start = np.cumsum(n) - n
+    mean = np.add.reduceat(values, start) / n[:, None]
+    rare = np.add.reduceat((values[:, 6] > 9).astype(float), start) / n
+    r = np.array(rest)
+    return np.array(at), np.stack(
+        [*mean[:, :4].T, *r[:, :4].T, mean[:, 4], mean[:, 5], r[:, 4], mean[:, 6], rare, r[:, 5], mean[:, 7], mean[:, 8], r[:, 6]], axis=1
+    )
+
+
+def word_rarity(table: DataFrame, text_col: str) -> np.ndarray:
+    """Negative log share of each counter's words among all words of all documents."""
+
+    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        words: Counter[str] = Counter()
+        for text in batch.column("text").to_pylist():
+            words.update(_WORD.findall(text.lower()))
+        if words:
+            total += np.bincount([counter(w) for w in words], list(words.values()), COUNTERS).astype(np.int64)
+
+    total = total_counts(table.select(F.col(text_col).alias("text")).where("text is not null"), COUNTERS, count)
+    return np.log(max(1, int(total.sum())) / np.maximum(total, 1))
+
+
+def document_features(table: DataFrame, id_col: str, text_col: str, rarity: np.ndarray) -> DataFrame:
     """``(id, features)``; ``features`` is null for texts of fewer than three words."""
-    unseen = max(rarity.values(), default=0.0) + 1
     rows = table.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sent = table.sparkSession.sparkContext.broadcast(rarity)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Vocabulary | None = None
         for batch in batches:
-            out = [None if t is None else features(t, sent.value, unseen) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.float64()))], ["id", "features"])
+            known = known or Vocabulary(sent.value)
+            for lo in range(0, batch.num_rows, 2_048):
+                part = batch.slice(lo, 2_048)
+                at, x = features(part.column("text").to_pylist(), known)
+                size = np.zeros(part.num_rows, np.int64)
+                size[at] = len(FEATURES)
+                gone = size == 0
+                offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32(), mask=np.append(gone, False))
+                out = pa.ListArray.from_arrays(offsets, pa.array(x.ravel(), pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), out], ["id", "features"])
 
     return rows.mapInArrow(run, f"id {kind}, features array<double>")
 
@@ -203,7 +257,7 @@ def reading_levels(documents: DataFrame, id_col: str, text_col: str, labels: Dat
     rarity = word_rarity(documents, text_col)
     feats = materialize(document_features(documents, id_col, text_col, rarity))
     grades = graded(labels, label_id, level_col)
-    train = feats.where("features is not null").dropDuplicates(["id"]).join(F.broadcast(grades), "id").select("features", "level").toPandas()
+    train = feats.where("features is not null").join(F.broadcast(grades), "id").dropDuplicates(["id"]).select("features", "level").toPandas()
     if train.empty:
         return feats.select("id", F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("score"))
     model = fit_ordinal(np.array(train["features"].tolist()), train["level"].to_numpy())
@@ -211,17 +265,14 @@ def reading_levels(documents: DataFrame, id_col: str, text_col: str, labels: Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("features").to_pylist()
-            live = [i for i, r in enumerate(rows) if r is not None]
-            level: list[int | None] = [None] * len(rows)
-            score: list[float | None] = [None] * len(rows)
-            if live:
-                x = np.array([rows[i] for i in live])
-                for i, v, s in zip(live, model.level(x).tolist(), model.score(x).tolist()):
-                    level[i], score[i] = int(v), float(s)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(level, pa.int32()), pa.array(score, pa.float64())], ["id", "level", "score"]
-            )
+            col = batch.column("features")
+            live = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False))
+            x = col.drop_null().flatten().to_numpy().reshape(-1, len(FEATURES))
+            level, score = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            level[live], score[live] = (model.level(x), model.score(x)) if len(live) else (0, 0.0)
+            gone = np.ones(batch.num_rows, bool)
+            gone[live] = False
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(level, mask=gone), pa.array(score, mask=gone)], ["id", "level", "score"])
 
     return feats.mapInArrow(run, f"id {kind}, level int, score double")
 
