@@ -1,11 +1,12 @@
 """Personal information inside free text: weak-supervision aggregation.
 
-Candidate spans of each kind come from high-recall patterns.  Several labelers (surface patterns, a
-gazetteer of name parts, the words before and after) vote for, against or abstain.  The votes of *all* candidates
-are counted by vote pattern; expectation-maximisation over those counts estimates each labeler's
-reliability and each pattern's posterior without any labelled text, and a regularised logistic span
-classifier is trained on the posteriors.  The number of vote patterns is bounded by the labelers, so
-the counts that reach the driver do not grow with the data.
+Candidate spans of each kind come from wide patterns and, for names, from the gazetteer too; a candidate is not judged where it
+is found.  Labelers that look at different things (form, number plan or gazetteer, words before, words after, letter case, ordinary words)
+vote for, against or abstain, and often disagree.  The votes of *all* candidates are counted by vote pattern; expectation-maximisation
+over those counts estimates each labeler's reliability and each pattern's posterior without any labelled text, and a
+regularised logistic span classifier on votes and span features (length, number of words, case of the text) is trained on the
+posteriors.  The numbers of patterns are bounded by the labelers and features, so the counts that reach the driver do not grow with
+the data.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ _EMAIL = re.compile(
     rf"(?<![\w.+@-]){_PART}(?:{_DOT}{_PART})*(?:{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*{_DOT}|\sat\s[a-z0-9-]+(?:{_WORD_DOT}[a-z0-9-]+)*{_WORD_DOT})"
     r"[a-z]{2,}(?![\w@])"
 )
-_EMAIL_BEFORE = re.compile(r"(?:e-?mail:?|me at|contact to|sent to|message from|answered|reach|write to|and|[\n|])\s*<?\s*\Z")
+_EMAIL_BEFORE = re.compile(r"(?P<yes>e-?mail|contact|reach|write|wrote|writing|send|sent|message|address|answer|reply|replied)|(?P<no>web|site|page|visit|handle|link|url|profile)")
+#: Common endings of host names.
+_ENDINGS = frozenset("com org net edu gov mil info biz io co us uk ca eu de fr es it example test".split())
 
 # ---- phone numbers
 _SEP = r"[ .\-–—/]"
@@ -47,20 +50,18 @@ _PHONE = re.compile(
 _DIGITS = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
 #: Stretches of digits and the signs between them; phone and bare identity numbers lie inside one.
 _NUMERIC = re.compile(r"[+(\d][\d().+ \-–—/]{7,}\d")
-#: A number that may be a house number: not part of a sum, date, time or longer number, not a count of something.
-_NUMBER = re.compile(
-    r"\d+(?![\d./:%])(?!\s+(?:dollars|times|days|business|weeks|months|hours|miles|minutes|years|of|and|in|on|was|is|for|with|that|the|without|because|from)\b)"
-)
+#: A number that may be a house number: not part of a sum, date, time or longer number.
+_NUMBER = re.compile(r"\d+(?![\d./:%])")
 _SPELLED = re.compile(rf"\b(?:(?:plus|one)\W{{1,2}})?(?:{_DIGITS})(?:[ ,-]{{1,2}}(?:{_DIGITS})){{6,12}}\b")
-_PHONE_BEFORE = re.compile(
-    r"(?:phone(?:/cell)?|cell|mobile|tel(?:ephone)?\.?|number is|number:|call(?:ed)?(?: me)?(?: back)?(?: on| at)?|dial(?:l?ed)?"
-    r"|came from|reach(?:ed)?(?: me)?(?: at| on)?|text(?:ed)?|they had|with|fax|[\n|])\s*:?\s*\Z",
-)
-_PHONE_AFTER = re.compile(r"\s*(?:ext\.?|x\d|on file|and asked|, best|after|and waited|and \S+@|[\n|]|\Z)")
-_NOT_PHONE = re.compile(
-    r"(?:ssn|social|security|passport|licen[cs]e|state id|taxpayer|parcel|invoice|batch|account|card|case|reference|ref\.?|tracking"
-    r"|order|claim|ticket|confirmation|routing)[^.\n]{0,24}\Z",
+#: What a number before which these words stand is, the nearest word counting.
+_NUMBER_KIND = re.compile(
+    r"(?P<phone>phone|\bcell|mobile|\btel\b|\btel\.|telephone|\bcall|dial|reach|\btext|\bfax|\bring|\brang|contact|number is|hotline)"
+    r"|(?P<id>\bssn|s\.s\.n|social|\btax|itin|passport|licen[cs]e|state id|state i\.d|identity)"
+    r"|(?P<other>account|\bacct|card|case|reference|\bref\b|tracking|parcel|invoice|batch|order|claim|ticket|confirmation|routing|serial|policy|member|loan|\bcheck)"
 )
+_CLAUSE_END = re.compile(r"\s*(?:[.,;:!?)|\n]|\Z)")
+_EXTENSION = re.compile(r"\s*,?\s*(?:ext|x\d)")
+_AMOUNT_AFTER = re.compile(r"\s*(?:dollars|usd|percent|%|points|miles)")
 
 # ---- identity numbers
 _ID_WORD = (
@@ -85,22 +86,25 @@ _WORD_NUMBER = (
 )
 _HOUSE = rf"(?:\d{{1,5}}(?:[ ]?1/2)?(?:-?[a-z](?![a-z]))?(?:\s?[-–]\s?\d{{1,5}}[a-z]?)?|{_WORD_NUMBER})"
 _DIR = r"(?:(?:north|south|east|west)(?:east|west)?|[ns]\.?\s?[ew]\.?|[nsew]\.?)"
-_NAME = r"(?:\d{1,3}(?:st|nd|rd|th)|[a-z][a-z'’]+)"
+_NAME = r"(?:\d{1,3}(?:st|nd|rd|th)|[^\W\d_][^\W\d_'’]+)"
 _ROUTE = r"(?:state|county|u\.?s\.?|rural|farm|old|interstate)?\s?(?:route|road|highway|hwy\.?|rte\.?|rt\.?)\s\d{1,4}[a-z]?"
+#: Street types that stand before the name (Spanish, French, Italian, Portuguese).
+_FIRST_TYPE = r"(?:calle|avenida|avda\.?|camino|paseo|carrera|plaza|rue|chemin|boulevard|via|viale|piazza|rua)\s(?:(?:de|del|des|du|da|do|dos|di|la|las|los|el|les)\s){0,2}"
 #: A type after which another may follow (Hill Lane), and what may follow.
 _LAST_TYPE = r"(?:street|st|avenue|ave|road|rd|lane|ln|drive|dr|boulevard|blvd|court|ct|place|pl|way|terrace|ter|trail|circle|cir|square|sq|parkway|pkwy|pike|row)"
 _ADDRESS = re.compile(
-    rf"(?<![\w$./:#-])({_HOUSE}),?\s+(?:({_ROUTE})|(?:{_DIR}\s+)?({_NAME}(?:\s+[a-z][a-z'’]+){{0,2}}?)\s+{_TYPE}\b\.?(?:\s+{_LAST_TYPE}\b\.?)?)(?:\s+[ns][ew]?\b\.?(?=\s*[,\n|]))?"
+    rf"(?<![\w$./:#-])({_HOUSE}),?\s+(?:({_ROUTE}|{_FIRST_TYPE}[^\W\d_][^\W\d_'’]+)|(?:{_DIR}\s+)?({_NAME}(?:\s+[a-z][a-z'’]+){{0,2}}?)\s+{_TYPE}\b\.?(?:\s+{_LAST_TYPE}\b\.?)?)(?:\s+[ns][ew]?\b\.?(?=\s*[,\n|]))?"
 )
-#: A street name that holds its type, or has none: only where the words around say it is an address.
+#: A street name that holds its type, or has none: only where the words around may say it is an address.
 _ADDRESS_BEFORE_WORDS = (
-    r"address(?:\s+(?:is|was|of))?,?|branch at|check to|went to|live at|lived at|lives at|living at|moved to|moved from|mailed to|send it to|home at|resid(?:e|ing) at"
-)
-_ADDRESS_BARE = re.compile(
-    rf"(?:\b(?:{_ADDRESS_BEFORE_WORDS})\s+|[\n|]\s*)({_HOUSE},?\s+(?:{_DIR}\s+)?[a-z][a-z'’]{{3,}})(?=\s*(?:,|\||\n|\Z|\bin\s|\bturned\b|\bwas\b))"
+    r"address(?:\s+(?:is|was|of))?,?|branch at|check to|went to|(?:live|lived|lives|living|reside|resides|residing|stay|staying|located|home|house) at|mov(?:ed|ing) (?:to|from)|mailed to|sent? it to|delivered to"
 )
-_ADDRESS_BEFORE = re.compile(rf"(?:{_ADDRESS_BEFORE_WORDS}|[\n|])\s*\Z")
-_ADDRESS_AFTER = re.compile(r"\s*(?:,\s*(?:apt|apartment|unit|suite|ste|#|was|floor)|in\s+[a-z]|turned|was|for\s|,|[\n|]|\.\s*\Z|\Z|\.)")
+#: A number and a word without a street type.
+_ADDRESS_BARE = re.compile(rf"{_HOUSE},?\s+(?:{_DIR}\s+)?([^\W\d_][^\W\d_'’]{{2,}})")
+_ADDRESS_BEFORE = re.compile(rf"(?P<yes>(?:{_ADDRESS_BEFORE_WORDS})\s*\Z|[\n|]\s*\Z|\b(?:at|to|from|near|on)\s+\Z)|(?P<no>\b(?:about|for|another|after|than|of|least|some)\s+\Z)")
+_ADDRESS_AFTER = re.compile(r"\s*(?:[,.;|\n)]|\Z|(?:apt|apartment|unit|suite|ste|floor)\b|(?:in|was|is|and|for|since|turned|which|where)\b)")
+#: Street types that are ordinary words as well.
+_VAGUE_TYPE = re.compile(r"\b(?:way|place|row|run|walk|path|hill|point|close|bend|ridge|crossing|alley|loop|trail|pike|cove|mews|court|square|circle|drive|terrace)\.?\Z")
 #: Endings of street names that hold their type.
 _COMPOUND = ("gate", "side", "field", "wood", "croft", "dale", "ford", "mead", "fold", "wick", "holme", "view", "land")
 #: Words that a street name does not hold.
@@ -110,32 +114,39 @@ _NOT_STREET = frozenset(
 )
 
 # ---- person names
-_TOK = r"(?:[a-z]['’])?[a-z]{2,}(?:-(?:[a-z]['’])?[a-z]{2,})*"
-_PERSON_AT = re.compile(rf"{_TOK}(?:\s+[a-z]\.)*\s+{_TOK}|{_TOK},\s+{_TOK}(?:\s+[a-z]\.)*")
-#: What stands before a name, from its first trigger word on.
+_TOK = r"(?:[^\W\d_]['’])?[^\W\d_]{2,}(?:-(?:[^\W\d_]['’])?[^\W\d_]{2,})*"
+_PERSON_AT = re.compile(rf"{_TOK}(?:\s+[^\W\d_]\.)*\s+{_TOK}|{_TOK},\s+{_TOK}(?:\s+[^\W\d_]\.)*")
+_NEXT_PART = re.compile(rf"[ \t]+({_TOK})")
+_PART_BEFORE = re.compile(rf"({_TOK})((?:[ \t]+[^\W\d_]\.)*[ \t]+)\Z")
+#: Particles inside names.
+_PARTICLE = frozenset("de del der den di da do dos das la las los le van von bin ibn al el st y".split())
+#: What may stand before a name, from its first trigger word on.
 _LEFT_AT = re.compile(
-    r"(?:profile\s+as|wife|husband|partner|attorney|lawyer|daughter|son|mother|father|sister|brother|friend|name\s+is|made\s+out\s+to|spoke\s+(?:with|to)"
-    r"|(?:the\s)?(?:agent|clerk|teller|supervisor|manager|representative),|named|behalf\s+of|(?:mr|ms|mrs|dr|miss|prof)\b\.?),?\s+"
+    r"(?:(?:profile|account|card)\s+as|wife|husband|partner|attorney|lawyer|daughter|son|mother|father|sister|brother|friend|cousin|uncle|aunt|name\s+(?:is|was)|made\s+out\s+to"
+    r"|(?:spoke|speak|speaking|talked|talking)\s+(?:with|to)|(?:the\s)?(?:agent|clerk|teller|supervisor|manager|representative|officer|banker),?|named|called|behalf\s+of|signed\s+by|payable\s+to"
+    r"|(?:mr|ms|mrs|dr|miss|prof)\b\.?),?\s+"
 )
+#: Of these, what names things and roles as well as persons.
+_LOOSE_LEFT = re.compile(r"(?:the\s)?(?:agent|clerk|teller|supervisor|manager|representative|officer|banker)\s|called|profile|account|card")
 _CLOSING_AT = re.compile(
     r"(?:signed|thank\s+you|thanks|sincerely|regards|respectfully|yours\s+truly|yours|cordially|best)\s*,?\s*[\n|]\s*"
 )
 _TITLE = re.compile(r"(?:mr|ms|mrs|dr|miss|prof)\.?\s+")
-_TOLD = re.compile(r"\s+told\s+me\s")
+_TOLD = re.compile(r"\s+(?:told|asked|called|promised|informed)\s+(?:me|us|my)\s")
 _TOLD_NAME = re.compile(rf"(?:\A|[.!?\n|>)\w]\s+|[.!?\n|]|[-–]\s)({_PERSON_AT.pattern})\Z")
-#: Trigger words and what to look for where one stands.
+#: Trigger words, each a part of what is looked for where one stands.
 _TRIGGERS = (
     [(w, "left") for w in (
-        "profile", "wife", "husband", "partner", "attorney", "lawyer", "daughter", " son ", "mother", "father", "sister", "brother", "friend",
-        "name", "made", "spoke", "agent,", "clerk,", "teller,", "supervisor,", "manager,", "representative,", "named", "behalf",
-        " mr", " ms", " dr", " miss ", " prof")]
+        "profile", "account", "card", "wife", "husband", "partner", "attorney", "lawyer", "daughter", "son", "mother", "father", "sister", "brother", "friend",
+        "cousin", "uncle", "aunt", "name", "made", "spoke", "speak", "talk", "agent", "clerk", "teller", "supervisor", "manager", "representative", "officer",
+        "banker", "called", "behalf", "signed", "payable", "mr", "ms", "dr", "miss", "prof")]
     + [(w, "closing") for w in ("signed", "thank", "sincerely", "regards", "respectfully", "yours", "cordially", "best")]
-    + [(w, "told") for w in (" told",)]
-    + [(w, "id") for w in ("ssn", "s.s.n", "social", "taxpayer", "tax id", "itin", "passport", "licen", "state id", "state i.d", "identity card")]
-    + [(w, "email") for w in ("@", "(at)", "( at )", "[at]", "{at}", " dot ", "(dot)", "[dot]")]
+    + [(w, "told") for w in ("told", "asked", "called", "promised", "informed")]
+    + [(w, "id") for w in ("ssn", "s.s.n", "social", "tax", "itin", "passport", "licen", "state", "identity")]
+    + [(w, "email") for w in ("@", "(at)", "( at )", "[at]", "[ at ]", "{at}", "{ at }", "dot")]
     + [(w, "digit") for w in _DIGITS.split("|")]
-    + [(w, "street") for w in ("address", "branch at", "check to", "went to", "live at", "lived at", "lives at", "living at", "moved to", "moved from",
-        "mailed to", "send it to", "home at", "residing at", "reside at", "\n", "|")]
+    + [(w, "street") for w in ("address", "branch at", "check to", "went to", "live", "living", "resid", "stay", "located", "home", "house", "moved", "moving",
+        "mailed to", "sen", "delivered", "\n", "|")]
 )
 
 
@@ -151,27 +162,32 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 _FIND = _automaton()
+#: Function words, verbs and prepositions that may follow a name, and end a clause with it.
 _NAME_AFTER = re.compile(
-    r"\s*(?:,\s*(?:ssn|social|passport|driver|state|taxpayer|tax|itin|licen|said|who|born|[\d(+])|and\s+i\s+have|from\s+the|was\s+on|told\s+me"
-    r"|for\s+(?:[{$\d]|[a-z]+\s+dollars|xx)|by\s+(?:phone|fax|certified)|in\s+(?:the\s+app|a\s+callback)|through|over\s+video|at\s+the\s+counter|on\s+the|[\n|]|\Z|called)",
-)
-#: Ordinary words that may stand where a name could.
-_NOT_NAME = frozenset(
-    "a an the and or but of in on at to for from by with my our your his her their its this that these those i we they he she it me us them who "
-    "someone somebody nobody anyone everyone no not is was are were be been has have had do did will would can could may said told asked called "
-    "agent agents manager supervisor clerk teller trainee desk team unit office branch bank retention escalation back second assistant overnight "
-    "chat claims dispute fraud drive drive-up customer service representative merchant company institution landlord tenant neighbour neighbor roommate "
-    "bookkeeper employer upstairs late father mother son niece ex-spouse wife husband sister brother friend caller letter notice message account card "
-    "check credit debit union financial savings trust national federal payments bancorp wallet services inc llc corp remit group premier rewards "
-    "also gave up lost all felt went took made got kept asking banks another every each only still then than so just never ever even very here there "
-    "resolution department dear sir madam please look thank you sincerely regards signed street avenue road port east west north south".split()
+    r"\s*(?:[,.;:!?)|\n]|\Z)|\s+(?:and|or|but|who|whom|said|says|told|asked|called|wrote|was|is|has|had|did|does|from|at|in|on|by|for|to|with|through|over|about|never|then|when|because|after|before|as|paid|gave|took|made|sent)\b"
 )
+#: Words of companies, shops, streets and towns.
 _COMPANY = re.compile(
-    r"\s*(?:&|bank|bancorp|financial|savings|trust|credit union|federal|payments|wallet|remit|inc|llc|corp|outfitters|fitness|streaming|travel|flooring"
-    r"|pet supply|auto parts|home goods|rewards|avenue|street|ave\b|st\b|road|plaza)",
+    r"\s*(?:&|bank|bancorp|financial|savings|trust|credit|federal|payments|wallet|services?|remit|inc\b|llc\b|corp|company|group|union|department|insurance|mortgage|capital|goods|supply|supplies|parts|travel"
+    r"|street|avenue|road|lane|drive|ave\b|st\b|plaza|park|county|city|store|shop|mall)"
+)
+_PLACE_BEFORE = re.compile(r"(?:\b(?:in|near|at|port|east|west|north|south|new|fort|mount|lake|\d+)\s+)\Z")
+#: Ordinary words that are no part of a name.
+_NOT_NAME = frozenset(
+    "a an the and or but of in on at to for from by with without my our your his her their its this that these those i we they he she it me us him them who whom which what when where why how "
+    "someone somebody nobody anyone everyone no not nor is was are were be been being am has have had having do does did will would can could may might must shall should "
+    "said says say told tell asked ask called call also gave give up lost all both felt went took made make got get kept keep paid sent wrote saw back again another every each any some such only still then "
+    "than so just never ever even very here there now about after before until while because if as into over under out off more most other own same too "
+    "monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december "
+    "agent agents manager managers supervisor clerk teller trainee desk team unit office officer branch bank banks banker banking chat claims claim dispute disputes fraud customer service services representative merchant "
+    "company institution account accounts card cards check checks credit debit union financial savings trust national federal payment payments wallet inc llc corp group department resolution retention escalation "
+    "landlord tenant neighbour neighbor roommate bookkeeper employer upstairs late father mother son daughter niece nephew wife husband sister brother friend ex-spouse partner caller customer "
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred "
+    "once twice times days weeks months years hours minutes dollars business "
+    "letter notice message dear sir madam please thank thanks you sincerely regards signed yours street avenue road port east west north south second first third assistant overnight drive-up".split()
 )
 
-_MASKED = re.compile(r"x{3,}")
+_MASKED = re.compile(r"x{3,}|\bxx\b")
 _PLAIN = re.compile(r"[^a-z0-9]+")
 
 
@@ -190,11 +206,15 @@ class Gazetteer:
     def __init__(self, rows: list[tuple[str | None, str | None]]) -> None:
         by: dict[str, set[str]] = {"given": set(), "family": set(), "not_name": set()}
         for name, kind in rows:
-            if name and kind in by:
+            if name and name.strip() and kind in by:
                 by[kind].add(name.strip().lower())
         self.given, self.family = by["given"], by["family"]
-        self.ordinary = by["not_name"] | _NOT_NAME
+        self.listed = by["not_name"]
         self.names = self.given | self.family
+        self._find: ahocorasick.Automaton | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_find": None}
 
     def parts(self, name: str) -> list[str]:
         return [p for p in re.split(r"[\s,]+", name.lower()) if len(p.rstrip(".")) > 1]
@@ -202,8 +222,34 @@ class Gazetteer:
     def known(self, part: str) -> bool:
         return part in self.names or any(p in self.names for p in re.split(r"[-'’]", part) if len(p) > 2)
 
+    def ordinary(self, part: str) -> bool:
+        return part in _NOT_NAME or (part in self.listed and part not in self.names)
+
+    def places(self, t: str) -> Iterator[tuple[int, int]]:
+        """Where name parts stand as whole words."""
+        if self._find is None:
+            self._find = ahocorasick.Automaton()
+            for n in self.names:
+                self._find.add_word(n, len(n))
+            self._find.make_automaton()
+        if not self.names:
+            return
+        for end, size in self._find.iter(t):
+            a, b = end + 1 - size, end + 1
+            if not (a and t[a - 1].isalnum()) and not (b < len(t) and t[b].isalnum()):
+                yield a, b
+
+
+def _nearest(pattern: re.Pattern, t: str, at: int, reach: int) -> str | None:
+    """The name of the group of the last match before ``at``."""
+    last = None
+    for m in pattern.finditer(t, max(0, at - reach), at):
+        last = m.lastgroup
+    return last
+
 
 def _emails(t: str) -> Iterator[tuple[int, int, str]]:
+    """Votes: signs, host, local part, words before, masks."""
     at = 0
     while m := _EMAIL.search(t, at):
         v = m.group()
@@ -211,49 +257,76 @@ def _emails(t: str) -> Iterator[tuple[int, int, str]]:
             at = m.start() + len(v.split()[0])
             continue
         at = m.end()
-        masked = bool(_MASKED.search(v))
-        before = bool(_EMAIL_BEFORE.search(t, max(0, m.start() - 24), m.start()))
-        local = re.split(r"@|\bat\b", v)[0]
-        yield m.start(), m.end(), _vote(True, masked) + _vote(before) + _vote(len(plain(local)) > 3, len(plain(local)) < 2) + _vote(True, masked)
+        local = plain(re.split(r"@|\bat\b", v)[0])
+        near = _nearest(_EMAIL_BEFORE, t, m.start(), 40)
+        ending = re.split(r"[^a-z]+", v)[-1]
+        yield m.start(), m.end(), (
+            _vote("@" in v or "(" in v or "[" in v or "{" in v) + _vote(ending in _ENDINGS) + _vote(len(local) > 3, len(local) < 2)
+            + _vote(near == "yes", near == "no") + _vote(False, bool(_MASKED.search(v)))
+        )
 
 
 def _phones(t: str, chunks: list[tuple[int, int]], spelled: bool) -> Iterator[tuple[int, int, str]]:
+    """Votes: form, number plan, words before, what follows, number of digits."""
+
+    def around(a: int, b: int) -> str:
+        near = _nearest(_NUMBER_KIND, t, a, 40)
+        after = bool(_EXTENSION.match(t, b) or _CLAUSE_END.match(t, b))
+        return _vote(near == "phone", near in ("id", "other")) + _vote(after, bool(_AMOUNT_AFTER.match(t, b)))
+
     for lo, hi in chunks:
-        for m in _PHONE.finditer(t, lo, min(len(t), hi + 2)):
-            v = m.group()
+        spans = [m.span() for m in _PHONE.finditer(t, lo, min(len(t), hi + 2))]
+        formed = bool(spans)
+        if not spans and (m := _ANY_DIGITS.search(t, lo, hi)):
+            spans = [m.span()]
+        for a, b in spans:
+            v = t[a:b]
             digits = re.sub(r"\D", "", v)
             core = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
             plus = v.startswith("+")
-            valid = (len(core) == 10 and core[0] in "23456789") or plus
-            before = bool(_PHONE_BEFORE.search(t, max(0, m.start() - 24), m.start()))
-            after = bool(_PHONE_AFTER.match(t, m.end()))
-            other = bool(_NOT_PHONE.search(t, max(0, m.start() - 40), m.start())) and not before
-            yield m.start(), m.end(), _vote(valid, not valid) + _vote(before, other) + _vote(after) + _vote(not v.isdigit() or before, other)
+            valid = (len(core) == 10 and core[0] in "23456789") or (plus and formed)
+            if len(digits) > 6:
+                yield a, b, _vote(formed and not v.isdigit(), not formed) + _vote(valid, not valid) + around(a, b) + _vote(len(core) == 10 or plus, len(core) not in (7, 10) and not plus)
     if spelled:
         for m in _SPELLED.finditer(t):
             count = len(re.findall(_DIGITS, m.group()))
-            before = bool(_PHONE_BEFORE.search(t, max(0, m.start() - 24), m.start()))
             ok = count in (7, 10, 11)
-            yield m.start(), m.end(), _vote(ok, not ok) + _vote(before) + _vote(bool(_PHONE_AFTER.match(t, m.end()))) + _vote(ok, not ok)
+            yield m.start(), m.end(), _vote(ok, not ok) + "0" + around(*m.span()) + _vote(ok, not ok)
+
+
+#: The digits of a stretch and the signs between them.
+_ANY_DIGITS = re.compile(r"\d[\d().+ \-–—/]*\d")
+_LAST_DIGITS = re.compile(r"(?:last\s+(?:four|4)|ending\s+in|ends\s+in)[^.\n]{0,16}\Z")
 
 
 def _ids(t: str, named: bool, chunks: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
-    seen = set()
+    """Votes: a word of identity just before, form, nearest number word, masks and last digits, grouping."""
+
+    def votes(a: int, b: int, said: bool) -> str:
+        v = t[a:b]
+        shape, near = plain(v), _nearest(_NUMBER_KIND, t, a, 48)
+        grouped = re.sub(r"\s*[-.]\s*|\s+", "-", v)
+        ssn = bool(re.fullmatch(r"\d{3}-\d{2}-\d{4}", grouped))
+        return (
+            _vote(said, not said and not ssn) + _vote(bool(_ID_SHAPE.fullmatch(shape)), len(shape) < 7 or len(shape) > 13) + _vote(near == "id", near != "id" and not ssn or near in ("phone", "other"))
+            + _vote(False, bool(_MASKED.search(v) or _LAST_DIGITS.search(t, max(0, a - 40), a)))
+            + _vote(ssn, bool(re.search(r"[/()+]", v) or re.fullmatch(r"\d{3}-\d{3}-\d{4}|\d{4}(?:-\d{4})+", grouped)))
+        )
+
+    seen: list[tuple[int, int]] = []
     for m in _ID.finditer(t) if named else ():
         a = m.start(1)
         v = re.match(r"(?:[a-z]{1,2}[ -]?)?\d[\d\s.-]*\d", m.group(1))
-        if not v:
-            continue
-        b = a + v.end()
-        shape = plain(t[a:b])
-        seen.add(a)
-        fits = bool(_ID_SHAPE.fullmatch(shape))
-        yield a, b, "+" + _vote(fits, len(shape) < 7 or len(shape) > 13) + _vote(fits, bool(_MASKED.search(t[a:b]))) + "+"
+        if v:
+            seen.append((a, a + v.end()))
+            yield a, a + v.end(), votes(a, a + v.end(), True)
     for lo, hi in chunks:
-        for m in _BARE_SSN.finditer(t, lo, min(len(t), hi + 2)):
-            if m.start() not in seen:
-                other = bool(_NOT_PHONE.search(t, max(0, m.start() - 40), m.start())) and not re.search(_ID_WORD, t[max(0, m.start() - 40) : m.start()])
-                yield m.start(), m.end(), "0" + _vote(True, other) + _vote(True, other) + _vote(not other, other)
+        spans = [m.span() for m in _BARE_SSN.finditer(t, lo, min(len(t), hi + 2))]
+        if not spans and (m := _ANY_DIGITS.search(t, lo, hi)):
+            spans = [m.span()]
+        for a, b in spans:
+            if not any(a < y and x < b for x, y in seen) and sum(map(str.isdigit, t[a:b])) > 6:
+                yield a, b, votes(a, b, False)
 
 
 #: Signs (and letters) after which a number is part of something else.
@@ -261,69 +334,112 @@ _JOINED = frozenset("$./:#-–_+abcdefghijklmnopqrstuvwxyz")
 
 
 def _addresses(t: str, frames: list[int]) -> Iterator[tuple[int, int, str]]:
-    taken: list[tuple[int, int]] = []
-    starts = [m.start() for m in _NUMBER.finditer(t) if m.end() - m.start() < 6 and t[m.start() - 1 : m.start()] not in _JOINED]
-    for f in frames:  # a house number in words stands only where the words before say address
-        w = _FRAME_NUMBER.match(t, f)
-        if w:
-            starts.append(w.start(1))
-    for at in sorted(set(starts)):
-        m = _ADDRESS.match(t, at)
-        if not m or (taken and at < taken[-1][1]):
-            continue
-        words = (m.group(3) or "").split()
-        wrong = any(w in _NOT_STREET for w in words)
-        a, b = m.span()
-        before = bool(_ADDRESS_BEFORE.search(t, max(0, a - 24), a))
-        after = bool(_ADDRESS_AFTER.match(t, b))
-        if wrong and not before:
-            continue
-        taken.append((a, b))
-        yield a, b, _vote(True, wrong) + _vote(before, wrong) + _vote(after) + _vote(not wrong, wrong)
-    for f in frames:
-        m = _ADDRESS_BARE.match(t, f)
-        if not m or any(x < m.end(1) and m.start(1) < y for x, y in taken):
+    """Votes: street type, words of the name, words before, what follows, house number."""
+
+    def around(a: int, b: int) -> str:
+        before = _nearest(_ADDRESS_BEFORE, t, a, 28)
+        return _vote(before == "yes", before == "no") + _vote(bool(_ADDRESS_AFTER.match(t, b)))
+
+    starts = {m.start() for m in _NUMBER.finditer(t) if m.end() - m.start() < 6 and t[m.start() - 1 : m.start()] not in _JOINED}
+    for f in frames:  # a house number in words is looked for only where the words before may say address
+        if w := _FRAME_NUMBER.match(t, f):
+            starts.add(w.start(1))
+    done = -1
+    for at in sorted(starts):
+        if at < done:
             continue
-        a, b = m.span(1)
-        word = re.split(r"\s+", m.group(1))[-1]
-        if t[m.start()] in "\n|" and not word.endswith(_COMPOUND):
-            continue
-        if word not in _NOT_STREET and not re.fullmatch(_DIR, word) and not word.isdigit():
-            yield a, b, "0" + "+" + "+" + "+"
+        m = _ADDRESS.match(t, at)
+        wrong = m is not None and any(w in _NOT_STREET for w in (m.group(3) or "").split())
+        if m and not wrong:
+            done = m.end()
+            vague = not m.group(2) and _VAGUE_TYPE.search(t, at, m.end()) is not None
+            yield at, m.end(), _vote(not vague) + "+" + around(at, m.end()) + _vote(t[at].isdigit())
+        elif bare := _ADDRESS_BARE.match(t, at):
+            word = bare.group(1)
+            wrong = word in _NOT_STREET or word in _NOT_NAME or bool(re.fullmatch(_DIR, word))
+            compound = word.endswith(_COMPOUND)
+            yield at, bare.end(), _vote(False, not compound) + _vote(not wrong, wrong) + around(at, bare.end()) + _vote(t[at].isdigit())
+
+
+def _extended(t: str, raw: str, b: int, gaz: Gazetteer, cased: bool) -> int:
+    """Where a name ends whose first two parts end at ``b``: further parts that are known, or capitalised in a text with both cases."""
+    while m := _NEXT_PART.match(t, b):
+        part = m.group(1)
+        if part in _PARTICLE:
+            after = _NEXT_PART.match(t, m.end())
+            if not after or gaz.ordinary(after.group(1)) or (cased and not raw[after.start(1)].isupper()):
+                break
+            b = after.end()
+        elif (gaz.known(part) or (cased and raw[m.start(1)].isupper())) and not gaz.ordinary(part) and not _COMPANY.match(t, m.start(1)):
+            if _COMPANY.match(t, m.end()):
+                break
+            b = m.end()
+        else:
+            break
+    return b
 
 
-def _names(t: str, lefts: list[int], closings: list[int], told: list[int], gaz: Gazetteer) -> Iterator[tuple[int, int, str]]:
+def _names(t: str, raw: str, lefts: list[int], closings: list[int], told: list[int], gaz: Gazetteer, cased: bool) -> Iterator[tuple[int, int, str]]:
+    """Votes: gazetteer, words before, what follows, ordinary words, letter case."""
     found: dict[int, tuple[int, str]] = {}
 
     def add(at: int, how: str) -> None:
         title = _TITLE.match(t, at)
-        m = _PERSON_AT.match(t, title.end() if title else at)
-        if m and len(gaz.parts(m.group())) >= 2:
-            found.setdefault(m.start(), (m.end(), how))
+        at = title.end() if title else at
+        m = _PERSON_AT.match(t, at)
+        if not m or len(gaz.parts(m.group())) < 2:
+            return
+        end = m.end()
+        if m.group().split()[-1] in _PARTICLE and (more := _NEXT_PART.match(t, end)):
+            end = more.end()
+        if "," not in m.group():
+            end = _extended(t, raw, end, gaz, cased)
+        found.setdefault(at, (end, "title" if title else how))
 
     for at in lefts:
         if m := _LEFT_AT.match(t, at):
-            add(m.end(), "left")
+            add(m.end(), "loose" if _LOOSE_LEFT.match(m.group()) else "left")
     for at in closings:
         if m := _CLOSING_AT.match(t, at):
             add(m.end(), "closing")
     for at in told:
-        if m := _TOLD.match(t, at):
-            lo = max(0, at - 60)
-            before = t[lo:at].rsplit(None, 1)
-            if not before or before[-1] in gaz.ordinary:
-                continue
-            got = _TOLD_NAME.search(t, lo, m.start())
-            if got and not any(a < m.start() <= e + 1 for a, (e, _) in found.items()):
-                found.setdefault(got.start(1), (m.start(), "told"))
-    for a, (b, how) in found.items():
-        parts = gaz.parts(t[a:b])
-        if any(p in gaz.ordinary and p not in gaz.names for p in parts) or _MASKED.search(t, a, b):
+        m = _TOLD.match(t, at - 1) if at else None
+        got = _TOLD_NAME.search(t, max(0, at - 61), at - 1) if m else None
+        if got and not any(a < at <= e + 1 for a, (e, _) in found.items()):
+            found.setdefault(got.start(1), (at - 1, "told"))
+    covered = -1
+    for a, b in gaz.places(t):
+        if a < covered:
+            continue
+        known_next = _NEXT_PART.match(t, b)
+        before = _PART_BEFORE.search(t, max(0, a - 40), a)
+        if before and not gaz.known(before.group(1)) and cased and raw[before.start(1)].isupper() and raw[a].isupper() and not gaz.ordinary(before.group(1)):
+            a = before.start(1)
+        elif not known_next and not (t[b : b + 1] == "," or re.match(r"\s+[^\W\d_]\.", t[b : b + 4])):
             continue
+        m = _PERSON_AT.match(t, a)
+        parts = gaz.parts(m.group()) if m else []
+        if len(parts) < 2 or any(gaz.ordinary(p) for p in parts):
+            continue
+        if "," in m.group() and not (parts[0] in gaz.family and parts[1] in gaz.given):
+            continue
+        if not all(gaz.known(p) for p in parts) and not (cased and all(raw[m.start() + x.start()].isupper() for x in re.finditer(_TOK, m.group()))):
+            continue
+        end = m.end() if "," in m.group() else _extended(t, raw, m.end(), gaz, cased)
+        covered = end
+        if not any(x < end and a < e for x, (e, _) in found.items()):
+            found.setdefault(a, (end, "listed"))
+    for a, (b, how) in found.items():
+        parts = [p for p in gaz.parts(t[a:b]) if p not in _PARTICLE]
         known = sum(gaz.known(p) for p in parts)
-        company = bool(_COMPANY.match(t, b))
-        after = how != "left" or bool(_NAME_AFTER.match(t, b))
-        yield a, b, _vote(True) + _vote(after, company or not after) + _vote(known > 0, not known and not after) + _vote(after or known > 1, company or (not after and known < 2))
+        company = bool(_COMPANY.match(t, b)) or any(_COMPANY.fullmatch(p) for p in parts)
+        place = how == "listed" and bool(_PLACE_BEFORE.search(t, max(0, a - 12), a))
+        odd = any(gaz.ordinary(p) for p in parts) or bool(_MASKED.search(t, a, b))
+        small = cased and not all(raw[a + x.start()].isupper() for x in re.finditer(_TOK, t[a:b]) if x.group() not in _PARTICLE)
+        follows = how in ("closing", "told") or bool(_NAME_AFTER.match(t, b))
+        yield a, b, (
+            _vote(known > 1, known == 0) + _vote(how not in ("listed", "loose"), place) + _vote(follows, company) + _vote(not odd, odd) + _vote(cased and not small, small)
+        )
 
 
 _FRAME_NUMBER = re.compile(rf"(?:(?:{_ADDRESS_BEFORE_WORDS})\s+|[\n|]\s*)({_WORD_NUMBER})\b")
@@ -335,29 +451,44 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c in text for x in [c.lower()])
 
 
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def find_spans(text: str, gaz: Gazetteer) -> list[tuple[int, int, str, str]]:
-    """Candidate spans (start, end, kind, votes) of one text, in order; no two overlap.
+    """Candidate spans (start, end, kind, votes and features) of one text, in order; no two overlap.
 
-    Names inside e-mail addresses are left to the address.
+    Of overlapping candidates the one with the better balance of votes stays, then the longer one; names
+    inside e-mail addresses are left to the address.
     """
     t = _lower(text)
     at: dict[str, list[int]] = {"left": [], "closing": [], "told": [], "id": [], "email": [], "digit": [], "street": []}
     for end, (size, whats) in _FIND.iter(t):
+        a = end + 1 - size
+        if a and size > 1 and t[a - 1].isalpha() and t[a].isalpha():
+            continue  # inside a word
         for what in whats:
-            at[what].append(end + 1 - size)
+            at[what].append(a)
+    cased = t != text and not text.isupper()
+    if cased:  # a text with hardly any capitals, or hardly any small letters, says nothing by them
+        cased = 0.01 < sum(map(text.count, _CAPITALS)) / len(text) < 0.4
     chunks = [m.span() for m in _NUMERIC.finditer(t)]
-    lefts = [x + (t[x] == " ") for x in at["left"]]
-    out: list[tuple[int, int, str, str]] = []
-    for kind, spans in (
+    every: list[tuple[int, int, int, int, int, str, str]] = []
+    for rank, (kind, spans) in enumerate((
         ("email", _emails(t) if at["email"] else ()),
-        ("id_number", _ids(t, bool(at["id"]), chunks)),
         ("phone", _phones(t, chunks, len(at["digit"]) > 6)),
+        ("id_number", _ids(t, bool(at["id"]), chunks)),
         ("street_address", _addresses(t, at["street"])),
-        ("person_name", _names(t, lefts, at["closing"], at["told"], gaz)),
-    ):
+        ("person_name", _names(t, text, at["left"], at["closing"], at["told"], gaz, cased)),
+    )):
         for a, b, votes in spans:
-            if not any(x < b and a < y for x, y, _, _ in out):
-                out.append((a, b, kind, votes))
+            shape = f"{min(9, (b - a) // 4)}{min(5, len(t[a:b].split()))}{'c' if cased else 'n'}"
+            every.append((votes.count("-") - votes.count("+") if rank else -9, a - b, rank, a, b, kind, f"{votes}|{shape}"))
+    out: list[tuple[int, int, str, str]] = []
+    used = bytearray(len(t))
+    for _, _, _, a, b, kind, votes in sorted(every):
+        if used.find(1, a, b) < 0:
+            used[a:b] = b"\1" * (b - a)
+            out.append((a, b, kind, votes))
     return sorted(out)
 
 
@@ -385,11 +516,23 @@ def posterior(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]:
     return dict(zip(keys, good.tolist()))
 
 
-def train_classifier(patterns: dict[str, int], target: dict[str, float], l2: float = 1e-4, steps: int = 60) -> np.ndarray:
-    """Logistic weights (bias, then votes for and votes against of each labeler) on the posteriors, by Newton steps."""
+def _design(patterns: list[str], columns: list[str] | None = None) -> tuple[np.ndarray, list[str]]:
+    """One row per pattern: a bias, votes for and against of each labeler, and the span features as indicators."""
+    names = [[f"{i}{c}" for i, c in enumerate(p) if c not in "0|"] for p in patterns]
+    columns = columns if columns is not None else sorted({x for n in names for x in n})
+    at = {c: i + 1 for i, c in enumerate(columns)}
+    x = np.zeros((len(patterns), len(columns) + 1))
+    x[:, 0] = 1
+    for row, n in zip(x, names):
+        row[[at[c] for c in n if c in at]] = 1
+    return x, columns
+
+
+def train_classifier(patterns: dict[str, int], target: dict[str, float], l2: float = 1e-4, steps: int = 60) -> tuple[np.ndarray, list[str]]:
+    """(logistic weights, their columns) of votes and span features, fitted to the posteriors by Newton steps."""
     keys = sorted(patterns)
-    x = np.array([_design(k) for k in keys])
-    y, w = np.array([target[k] for k in keys]), np.array([patterns[k] for k in keys], float)
+    x, columns = _design(keys)
+    y, w = np.array([target[k.split("|")[0]] for k in keys]), np.array([patterns[k] for k in keys], float)
     w = w / w.sum()
     beta = np.zeros(x.shape[1])
     for _ in range(steps):
@@ -400,21 +543,22 @@ def train_classifier(patterns: dict[str, int], target: dict[str, float], l2: flo
         beta -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return beta
-
-
-def _design(votes: str) -> list[float]:
-    return [1.0, *(float(c == "+") for c in votes), *(float(c == "-") for c in votes)]
+    return beta, columns
 
 
 def accepted_patterns(counts: list[tuple[str, str, int]]) -> dict[str, dict[str, float]]:
-    """kind -> vote pattern -> chance, by expectation-maximisation and the trained span classifier."""
+    """kind -> pattern of votes and features -> chance, by expectation-maximisation and the trained span classifier."""
     out: dict[str, dict[str, float]] = {}
     for kind in KINDS:
         patterns = {v: n for k, v, n in counts if k == kind}
         if patterns:
-            beta = train_classifier(patterns, posterior(patterns))
-            out[kind] = {v: float(1 / (1 + np.exp(-np.clip(np.dot(_design(v), beta), -30, 30)))) for v in patterns}
+            votes: dict[str, int] = {}
+            for v, n in patterns.items():
+                votes[v.split("|")[0]] = votes.get(v.split("|")[0], 0) + n
+            beta, columns = train_classifier(patterns, posterior(votes))
+            keys = sorted(patterns)
+            chance = 1 / (1 + np.exp(-np.clip(_design(keys, columns)[0] @ beta, -30, 30)))
+            out[kind] = dict(zip(keys, chance.tolist()))
     return out
 
 
