@@ -24,21 +24,6 @@ RAW_COLUMNS = (
     "Complaint ID",
 )
 
-#: Columns that a raw export must have.
-REQUIRED_COLUMNS = (
-    "Date received",
-    "Product",
-    "Sub-product",
-    "Issue",
-    "Sub-issue",
-    "Consumer complaint narrative",
-    "Company",
-    "State",
-    "Tags",
-    "Submitted via",
-    "Company response to consumer",
-    "Complaint ID",
-)
 #: Names of the candidates table's columns by export column.
 CANDIDATE_COLUMNS = {
     "Complaint ID": "complaint_id",
@@ -53,6 +38,8 @@ CANDIDATE_COLUMNS = {
     "Tags": "tags",
     "Submitted via": "submitted_via",
 }
+#: Columns that a raw export must have: those of the candidates and the one the label comes from.
+REQUIRED_COLUMNS = tuple(c for c in RAW_COLUMNS if c in CANDIDATE_COLUMNS or c == "Company response to consumer")
 #: First and last day of each split, both included.
 SPLIT_DATES = {
     "train": ("2019-01-01", "2022-12-31"),

@@ -5,14 +5,13 @@ An upsert keeps the new row, a merge keeps the old one; rows with an error count
 
 from __future__ import annotations
 
-import shutil
 import time
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerlab.functions.scalar import sha256
+from answerlab.session import Files
 
 KEY = ["answerer", "model_version", "question_set_hash", "text_sha256"]
 SCHEMA = (
@@ -62,36 +61,38 @@ def counts(cache: DataFrame) -> DataFrame:
 
 
 class AnswerCache:
-    """A cache folder: each put appends a part; reading takes the newest row of a key."""
+    """A cache folder on any file system: each put appends a part; reading takes the newest row of a key."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, Path(path)
+        self.spark, self.path = spark, path.rstrip("/")
 
     def read(self) -> DataFrame:
-        if not any(self.path.glob("part=*")):
+        if not any(n.startswith("part=") for n in Files(self.spark, self.path).names(self.path)):
             return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA + ", part long").parquet(str(self.path))
-        newest = Window.partitionBy(*KEY).orderBy(F.desc("part"))
-        return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n", "part")
+        rows = self.spark.read.schema(SCHEMA + ", part long").parquet(self.path)
+        cols = [c.split()[0] for c in SCHEMA.split(", ")]
+        # a grouped maximum, combined before the shuffle
+        newest = rows.groupBy(*KEY).agg(F.max_by(F.struct(*cols), "part").alias("r"))
+        return newest.select("r.*")
 
     def put(self, rows: DataFrame) -> None:
         """Append answered rows; they replace older rows of the same key."""
         cols = [c.split()[0] for c in SCHEMA.split(", ")]
-        rows.select(*cols).write.option("compression", "zstd").parquet(str(self.path / f"part={time.time_ns()}"))
+        rows.select(*cols).write.option("compression", "zstd").parquet(f"{self.path}/part={time.time_ns()}")
 
     def backup(self, target: str) -> None:
         """Copy the folder; the copy is complete or absent."""
-        new = Path(f"{target}.new")
-        shutil.rmtree(new, ignore_errors=True)
-        shutil.copytree(self.path, new)
-        shutil.rmtree(target, ignore_errors=True)
-        new.rename(target)
+        files, new = Files(self.spark, target), f"{target.rstrip('/')}.new"
+        files.delete(new)
+        files.copy(self.path, new)
+        files.delete(target)
+        files.rename(new, target)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, backup: str | None = None) -> AnswerCache:
         """The cache at ``path``, restored from the backup only if it is missing."""
-        if not Path(path).exists() and backup and Path(backup).exists():
-            shutil.copytree(backup, path)
+        if backup and not Files(spark, path).exists(path) and Files(spark, backup).exists(backup):
+            Files(spark, path).copy(backup, path)
         return cls(spark, path)
 
 

@@ -44,11 +44,17 @@ def max_codes(vocabulary: DataFrame) -> DataFrame:
 def encode(rows: DataFrame, vocabulary: DataFrame, fields: tuple[str, ...] = TABULAR_FIELDS, date: str | None = "date_received") -> DataFrame:
     """``rows`` with an int column ``<field>_code`` per field, unseen values coded as 'other', and ``month``."""
     vocab = materialize(vocabulary)
-    light = small_enough(vocab, 200_000)
     default = {r["field"]: r["code"] for r in vocab.where(F.col("value") == OTHER).collect()}  # one row a field
+    light = small_enough(vocab, 200_000)
+    if light:  # one row of a map a field, sent to all tasks: one pass over the rows whatever the fields
+        maps = [F.map_from_entries(F.collect_list(F.when(F.col("field") == f, F.struct("value", "code")))).alias(f"_{f}") for f in fields]
+        out = rows.join(F.broadcast(vocab.agg(*maps)))
+        code = lambda f: F.coalesce(F.try_element_at(F.col(f"_{f}"), text_value(F.col(f))), F.lit(default[f]))
+        out = out.select(*rows.columns, *(code(f).alias(f"{f}_code") for f in fields))
+        return out.withColumn("month", F.month(date)) if date else out
     for f in fields:
         side = vocab.where(F.col("field") == f).select(F.col("value").alias(f"_{f}"), F.col("code").alias(f"{f}_code"))
-        joined = rows.withColumn(f"_{f}", text_value(F.col(f))).join(F.broadcast(side) if light else side, f"_{f}", "left")
+        joined = rows.withColumn(f"_{f}", text_value(F.col(f))).join(side, f"_{f}", "left")
         rows = joined.drop(f"_{f}").withColumn(f"{f}_code", F.coalesce(f"{f}_code", F.lit(default[f])))
     return rows.withColumn("month", F.month(date)) if date else rows
 
@@ -111,3 +117,10 @@ def mean_pool(vectors: DataFrame, keys: list[str], vector: str) -> DataFrame:
 def max_pool(scores: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``(keys, value, chunks)``: the greatest score over a text's windows."""
     return scores.groupBy(*keys).agg(F.max(value).alias(value), F.count(F.lit(1)).alias("chunks"))
+
+
+def tabular_vectors(rows: DataFrame, vocabulary: DataFrame, fields: tuple[str, ...] = TABULAR_FIELDS) -> DataFrame:
+    """``rows`` with the codes of their fields and the month as one array ``tab``."""
+    coded = encode(rows, vocabulary, fields)
+    tab = F.array(*(F.col(f"{f}_code").cast("double") for f in fields), F.col("month").cast("double"))
+    return coded.withColumn("tab", tab).drop(*(f"{f}_code" for f in fields), "month")

@@ -110,7 +110,7 @@ def verdict(lo: Column, hi: Column, margin: float, first: str = "first better",
     return (
         F.when(known & (lo > 0), F.lit(first))
         .when(known & (hi < 0), F.lit(second))
-        .when(known & (lo > -margin) & (hi < margin), F.lit("equivalent"))
+        .when(known & (lo >= -margin) & (hi <= margin), F.lit("equivalent"))
         .otherwise(F.lit("inconclusive"))
     )
 

@@ -13,10 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerlab.config import BOOST_GRID, BOOST_SMALL, LOGREG_C, SEEDS_LARGE, SEEDS_SMALL, STACK_FOLDS, TFIDF_FEATURES, TFIDF_MIN_DF, TFIDF_NGRAMS
+from answerlab.operators.prepare import positives_wanted
+from answerlab.session import materialize
 
 
 @dataclass(frozen=True)
@@ -56,13 +58,12 @@ def schedule(n: int, pool: int) -> tuple[int, int]:
 
 
 def draw(y: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """Row numbers of a stratified draw: the label rate kept, a positive at least if there is one."""
+    """Row numbers of a stratified draw: the label rate kept, one row of each class at least if there are any."""
     if n > len(y):
         raise ValueError(f"{n} rows asked of a pool of {len(y)}")
     rng = np.random.default_rng(seed)
     pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y != 1)
-    want = min(len(pos), max(round(n * len(pos) / max(len(y), 1)), 1 if len(pos) and n else 0))
-    want = max(want, n - len(neg))
+    want = positives_wanted(n, len(pos), len(neg))
     got = np.concatenate([rng.choice(pos, want, replace=False), rng.choice(neg, n - want, replace=False)])
     rng.shuffle(got)
     return got
@@ -246,6 +247,14 @@ def stacked(x: np.ndarray, y: np.ndarray, others: list[np.ndarray], c: float) ->
     return out, [full.predict(o) for o in others]
 
 
+def select_variant(tables: dict[str, dict], n: int) -> tuple[str, dict[str, float]]:
+    """(form of the stacked arm, mean dev average precision of each form) over the seeds of ``n`` labels."""
+    drawn, seeds = schedule(n, len(tables["train"]["y"]))
+    arm = next(a for a in ARMS if "emb" in a.parts and a.head == "boost")
+    dev = {v: float(np.mean([average_precision(tables["dev"]["y"], fit_arm(arm, drawn, s, tables, v)[0]) for s in range(seeds)])) for v in ("raw", "stacked")}
+    return choose_variant(dev["raw"], dev["stacked"]), dev
+
+
 def choose_variant(raw: float, stack: float) -> str:
     """Which form of the stacked arm; a tie goes to 'stacked'."""
     return "raw" if raw > stack else "stacked"
@@ -287,18 +296,24 @@ def fit_arm(arm: Arm, n: int, seed: int, tables: dict[str, dict], variant: str =
     return model.predict(x[1]), model.predict(x[2]), len(at)
 
 
+def sample_tables(built: DataFrame, parts: tuple[str, ...], id_col: str = "complaint_id") -> dict[str, dict]:
+    """The drawn samples of a built table as matrices: they are of the plan's fixed sizes."""
+    rows = built.select("split", F.col(id_col).alias("id"), "y", "text", *parts).toPandas().sort_values(["split", "id"])
+    out = {}
+    for name in ("train", "dev", "test"):
+        t = rows[rows.split == name]
+        out[name] = {"ids": t.id.tolist(), "y": t.y.to_numpy(float), "texts": t.text.tolist()} | {p: np.array(t[p].tolist(), float).reshape(len(t), -1) for p in parts}
+    return out
+
+
 def run_grid(built: DataFrame, arms: tuple[Arm, ...], label_counts: tuple[int, ...], parts: tuple[str, ...], variant: str = "stacked", id_col: str = "complaint_id") -> DataFrame:
     """``(arm_id, n_labels, labels_drawn, seed, complaint_id, y, score)`` of the test rows for every fit.
 
     ``built`` has ``split, complaint_id, y, text`` and an array column per part; it is drawn samples of some thousand rows, which
     every task reads whole.  Arms whose parts are missing are left out.
     """
-    rows = built.select("split", F.col(id_col).alias("id"), "y", "text", *parts).toPandas().sort_values(["split", "id"])  # frozen samples: bounded
-    tables = {}
-    for name in ("train", "dev", "test"):
-        t = rows[rows.split == name]
-        tables[name] = {"y": t.y.to_numpy(float), "texts": t.text.tolist()} | {p: np.array(t[p].tolist(), float).reshape(len(t), -1) for p in parts}
-    ids, y_test, pool = rows[rows.split == "test"].id.tolist(), tables["test"]["y"], len(tables["train"]["y"])
+    tables = sample_tables(built, parts, id_col)
+    ids, y_test, pool = tables["test"]["ids"], tables["test"]["y"], len(tables["train"]["y"])
     have = set(parts) | {"tfidf"}
     tasks = []
     for arm in arms:
@@ -324,11 +339,11 @@ def run_grid(built: DataFrame, arms: tuple[Arm, ...], label_counts: tuple[int, .
 def tfidf_weights(docs: DataFrame, id_col: str, text_col: str, min_df: int = TFIDF_MIN_DF, most: int = TFIDF_FEATURES) -> DataFrame:
     """``(id, term, weight)``: the same weights as :class:`TfIdf` on one-word terms, as a plan over any number of texts."""
     words = docs.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("term"))
-    tf = words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = materialize(words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))  # read for the counts and for the weights
     per = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
     kept = per.orderBy(F.desc("total"), "term").limit(most)  # the vocabulary's documented bound
     n = docs.where(F.col(text_col).isNotNull()).agg(F.count(F.lit(1)).alias("docs"))
     idf = kept.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
     raw = tf.join(F.broadcast(idf), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))  # one text's terms
+    return raw.select("id", "term", (F.col("w") / norm).alias("weight"))

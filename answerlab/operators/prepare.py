@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from answerlab.config import CANDIDATE_COLUMNS, NEARDUP_SIMILARITY, RATE_BAND, SHINGLE_WORDS, SPLIT_DATES
 from answerlab.functions.scalar import parse_date, portable_hash, shingles
 from answerlab.session import materialize
-from answerlab.sources.tables import write_json, write_parquet
+from answerlab.sources.tables import write_json, write_parquet, write_sheet
 
 
 def not_blank(text: Column) -> Column:
@@ -124,14 +125,14 @@ def repeated_ids(df: DataFrame, id_col: str, by: list[str] | None = None) -> Dat
     return df.groupBy(*(by or []), id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def split_by_time(candidates: DataFrame, sizes: dict[str, int], seed: int = 0) -> dict[str, DataFrame]:
-    """Train, dev and test rows: date ranges, near-duplicates dropped from the whole test range, then samples.
+def split_by_time(candidates: DataFrame, sizes: dict[str, int] | None, seed: int = 0) -> dict[str, DataFrame]:
+    """Train, dev and test rows: date ranges, near-duplicates dropped from the whole test range, then samples, or all rows without ``sizes``.
 
     Raises ValueError where an id stands twice in a split or in two splits.
     """
     train, dev = in_dates(candidates, "train"), in_dates(candidates, "dev")
     test = drop_near_duplicates(in_dates(candidates, "test"), train.unionByName(dev), "complaint_id", "narrative")
-    out = {k: materialize(portable_sample(df, sizes[k], seed, "complaint_id")) for k, df in (("train", train), ("dev", dev), ("test", test))}
+    out = {k: materialize(portable_sample(df, sizes[k], seed, "complaint_id") if sizes else df) for k, df in (("train", train), ("dev", dev), ("test", test))}
     every = None
     for name, df in out.items():
         part = df.select("complaint_id", F.lit(name).alias("split"))
@@ -153,8 +154,15 @@ def write_splits(splits: dict[str, DataFrame], folder: str) -> dict[str, str]:
     return hashes
 
 
+def positives_wanted(n: int, pos: int, neg: int) -> int:
+    """Positives of a draw of ``n`` rows from a pool of ``pos`` and ``neg``."""
+    share = round(n * pos / (pos + neg)) if pos + neg else 0
+    most = min(pos, n - 1 if neg else n)  # one place is kept for a negative
+    return max(min(max(share, 1), most), n - neg, 0)
+
+
 def stratified_draw(df: DataFrame, n: int, seed: int, id_col: str, y: str = "y") -> DataFrame:
-    """``n`` labelled rows that keep the label rate: at least one positive if there is any, filled from the other class.
+    """``n`` labelled rows that keep the label rate: at least one of each class if there are any and ``n`` allows, a negative first.
 
     Raises ValueError if there are fewer labelled rows than ``n``.
     """
@@ -163,8 +171,7 @@ def stratified_draw(df: DataFrame, n: int, seed: int, id_col: str, y: str = "y")
     pos, neg = count.get(1, 0), count.get(0, 0)
     if n > pos + neg:
         raise ValueError(f"{n} rows asked of a pool of {pos + neg}")
-    want = min(pos, max(round(n * pos / (pos + neg)) if pos + neg else 0, 1 if pos and n else 0))
-    want = max(want, n - neg)
+    want = positives_wanted(n, pos, neg)
     order = portable_hash(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
     parts = [pool.where(F.col(y) == v).orderBy(order, id_col).limit(k) for v, k in ((1, want), (0, n - want))]
     return parts[0].unionByName(parts[1])
@@ -179,6 +186,22 @@ def folds(df: DataFrame, k: int, id_col: str, y: str = "y") -> DataFrame:
     return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(y).orderBy(order, id_col)) - 1) % k).cast("int"))
 
 
+def hand_label_sheet(test: DataFrame, questions: list[tuple[str, str]], path: str | Path, rows: int = 100, per: int = 5, seed: int = 20_240_701, id_col: str = "complaint_id", text_col: str = "narrative") -> Path:
+    """A sheet of ``rows`` test rows times ``per`` yes/no questions ``(id, text)`` with blank labels, both drawn by ``seed``.
+
+    FileExistsError if the sheet is there: people may have labelled it.
+    """
+    path = Path(path)
+    if path.exists():
+        raise FileExistsError(f"{path} exists and may hold labels")
+    drawn = portable_sample(test.select(id_col, text_col), rows, seed, id_col).orderBy(id_col).collect()  # the sheet's own size
+    picked = sorted(questions, key=lambda q: hashlib.md5(f"{seed}|{q[0]}".encode()).hexdigest())[:per]
+    asked = [q for q in questions if q in picked]
+    sheet = [{"complaint_id": r[0], "question_id": q, "question": text, "narrative": r[1], "label": ""} for r in drawn for q, text in asked]
+    write_sheet(sheet, path, ["complaint_id", "question_id", "question", "narrative", "label"])
+    return path
+
+
 def longest(df: DataFrame, text_col: str, id_col: str, n: int) -> DataFrame:
     """The ``n`` longest texts, longest first."""
     return df.orderBy(F.desc(F.length(text_col)), id_col).limit(n)

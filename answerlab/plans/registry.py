@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerlab.config import BOOTSTRAPS, CANDIDATE_COLUMNS, LABEL_COUNTS, RAW_COLUMNS, SPLIT_DATES, SPLIT_ROWS, TABULAR_FIELDS
@@ -144,13 +144,25 @@ def _splits(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 _SPLITS = "(SELECT 'train' AS split, {0} FROM split_train UNION ALL SELECT 'dev', {0} FROM split_dev UNION ALL SELECT 'test', {0} FROM split_test)"
 
 
+def _sampled(rows: str, by: str, seed: int, most: str) -> str:
+    """SQL of the portable sample of each group."""
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {_HASH.format(f"'{seed}|' || complaint_id")}, complaint_id) AS rn FROM {rows}) WHERE rn <= {most}"
+
+
+_PLANNED = "CASE split " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in SPLIT_ROWS.items()) + " END"
+
+
 @query(
     f"""SELECT split, sha256(string_agg(complaint_id, chr(10) ORDER BY complaint_id) || chr(10)) AS sha256, count(complaint_id)::BIGINT AS n
-    FROM {_SPLITS.format("complaint_id")} GROUP BY split"""
+    FROM ({_sampled(_SPLITS.format("complaint_id"), "split", 0, _PLANNED)}) GROUP BY split"""
 )
 def split_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """Splits are samples of a fixed size by plan, which bounds the ids of a hash."""
-    return prepare.id_hash(_splits(spark, d, "complaint_id"), "complaint_id", ["split"])
+    """The hashes of the plan's drawn splits, whose fixed sizes bound the ids of a hash."""
+    out = None
+    for s, n in SPLIT_ROWS.items():
+        part = prepare.portable_sample(table(spark, d, f"split_{s}").select("complaint_id", F.lit(s).alias("split")), n, 0, "complaint_id")
+        out = part if out is None else out.unionByName(part)
+    return prepare.id_hash(out, "complaint_id", ["split"])
 
 
 @query("SELECT complaint_id, count(*)::BIGINT AS n FROM candidates GROUP BY complaint_id HAVING count(*) > 1")
@@ -170,16 +182,22 @@ def portable_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH p AS (SELECT complaint_id, y, row_number() OVER (PARTITION BY y ORDER BY {_HASH.format("'3|' || complaint_id")}, complaint_id) AS rn,
-    count(*) OVER () AS n, sum(y) OVER () AS pos FROM split_train WHERE y IS NOT NULL)
-    SELECT complaint_id, y FROM p WHERE (y = 1 AND rn <= greatest(round_even(50 * pos / n, 0), 1)) OR (y = 0 AND rn <= 50 - greatest(round_even(50 * pos / n, 0), 1))"""
+    count(*) OVER () AS n, sum(y) OVER () AS pos FROM split_train WHERE y IS NOT NULL),
+    k AS (SELECT *, greatest(least(greatest(round_even(50 * pos / n, 0), 1), pos, 49), 50 - (n - pos)) AS take FROM p)
+    SELECT complaint_id, y FROM k WHERE (y = 1 AND rn <= take) OR (y = 0 AND rn <= 50 - take)"""
 )
 def stratified_draw(spark: SparkSession, d: str) -> DataFrame:
     return prepare.stratified_draw(table(spark, d, "split_train").select("complaint_id", "y"), 50, 3, "complaint_id")
 
 
-@query(f"SELECT complaint_id, y, ((row_number() OVER (PARTITION BY y ORDER BY {_HASH.format("'fold|' || complaint_id")}, complaint_id) - 1) % 5)::INTEGER AS fold FROM split_train")
+@query(
+    f"""SELECT complaint_id, y, ((row_number() OVER (PARTITION BY y ORDER BY {_HASH.format("'fold|' || complaint_id")}, complaint_id) - 1) % 5)::INTEGER AS fold
+    FROM ({_sampled("(SELECT complaint_id, y, 1 AS one FROM split_train WHERE y IS NOT NULL)", "one", 0, str(SPLIT_ROWS["train"]))})"""
+)
 def fold_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return prepare.folds(table(spark, d, "split_train").select("complaint_id", "y"), 5, "complaint_id")
+    """Folds of the plan's drawn training sample."""
+    rows = table(spark, d, "split_train").where("y is not null").select("complaint_id", "y")
+    return prepare.folds(prepare.portable_sample(rows, SPLIT_ROWS["train"], 0, "complaint_id"), 5, "complaint_id")
 
 
 # ---- texts
@@ -466,15 +484,19 @@ def seed_mean(spark: SparkSession, d: str) -> DataFrame:
     return metrics.seed_mean(metrics.average_precision(rows, ["seed"]), [], "pr_auc").withColumn("pr_auc", _r("pr_auc"))
 
 
-_BOOTS = 20
-_DRAWS = f"(SELECT boot, {_HASH.format("'boot-' || boot || '-' || i")} % 500 AS row_no, count(*) AS w FROM (SELECT unnest(range(0, {_BOOTS})) AS boot), (SELECT unnest(range(0, 500)) AS i) GROUP BY 1, 2)"
-_NUMBERED = f"(SELECT *, {_HASH.format('complaint_id')} % 500 AS row_no FROM ({_SCORED}))"
+_TAKEN = f"(SELECT *, row_number() OVER (ORDER BY {_HASH.format("'0|' || complaint_id")}, complaint_id) - 1 AS row_no FROM ({_SCORED}))"
+_NUMBERED = f"(SELECT * FROM {_TAKEN} WHERE row_no < {SPLIT_ROWS['test']})"
+_DRAWS = f"""(SELECT boot, {_HASH.format("'boot-' || boot || '-' || i")} % n AS row_no, count(*) AS w FROM (SELECT unnest(range(0, {BOOTSTRAPS})) AS boot),
+    (SELECT count(*) AS n, unnest(range(0, count(*))) AS i FROM {_NUMBERED}) GROUP BY 1, 2)"""
 
 
-def _boots(spark: SparkSession, d: str, score: str) -> DataFrame:
-    """Resampling of 500 blocks of rows, so that the draws stay as many for any table."""
-    rows = _scored(spark, d).withColumn("row_no", scalar.portable_hash(F.col("complaint_id")) % 500).select("row_no", F.col(score).alias("score"), "y")
-    return metrics.bootstrap(rows, metrics.resamples(500, _BOOTS, spark), [])
+def _boots(spark: SparkSession, d: str, *scores: str) -> list[DataFrame]:
+    """The plan's resamples of its drawn test sample, the same for all scores."""
+    sample = prepare.portable_sample(_scored(spark, d), SPLIT_ROWS["test"], 0, "complaint_id")
+    order = Window.orderBy(scalar.portable_hash(F.concat_ws("|", F.lit("0"), "complaint_id")), "complaint_id")  # a drawn sample: bounded
+    rows = materialize(sample.withColumn("row_no", (F.row_number().over(order) - 1).cast("long")))
+    draws = materialize(metrics.resamples(rows.count(), BOOTSTRAPS, spark))
+    return [metrics.bootstrap(rows.select("row_no", F.col(s).alias("score"), "y"), draws, []) for s in scores]
 
 
 def _boot_sql(score: str) -> str:
@@ -483,7 +505,7 @@ def _boot_sql(score: str) -> str:
 
 @query(f"SELECT round(avg(pr_auc), 6) AS mean, round(quantile_cont(pr_auc, 0.025), 6) AS lo, round(quantile_cont(pr_auc, 0.975), 6) AS hi FROM ({_boot_sql('score')})")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    out = metrics.ci95(_boots(spark, d, "score"), [], "pr_auc")
+    out = metrics.ci95(_boots(spark, d, "score")[0], [], "pr_auc")
     return out.select(*(_r(c, 6).alias(c) for c in ("mean", "lo", "hi")))
 
 
@@ -491,17 +513,14 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH a AS ({_boot_sql('score')}), b AS ({_boot_sql('score2')}), d AS (SELECT a.pr_auc - b.pr_auc AS x FROM a JOIN b USING (boot)),
     c AS (SELECT avg(x) AS mean, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM d)
     SELECT round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN lo > 0 THEN 'first better' WHEN hi < 0 THEN 'second better'
-    WHEN lo > -0.02 AND hi < 0.02 THEN 'equivalent' ELSE 'inconclusive' END AS verdict FROM c"""
+    WHEN lo >= -0.02 AND hi <= 0.02 THEN 'equivalent' ELSE 'inconclusive' END AS verdict FROM c"""
 )
 def paired_delta(spark: SparkSession, d: str) -> DataFrame:
-    delta = metrics.paired_delta(_boots(spark, d, "score"), _boots(spark, d, "score2"), [])
+    delta = metrics.paired_delta(*_boots(spark, d, "score", "score2"), [])
     out = metrics.ci95(delta, [], "delta")
     return out.select(*(_r(c, 6).alias(c) for c in ("mean", "lo", "hi")), metrics.verdict(F.col("lo"), F.col("hi"), 0.02).alias("verdict"))
 
 
-_LOWS = "(SELECT o_orderpriority, month(o_orderdate) AS n_labels, avg(o_totalprice) - (SELECT avg(o_totalprice) FROM orders) AS lo FROM orders GROUP BY 1, 2)"
-
-
 @query(
     """WITH l AS (SELECT month(o_orderdate) AS n_labels, avg(o_totalprice) - (SELECT avg(o_totalprice) FROM orders) AS lo FROM orders GROUP BY 1),
     w AS (SELECT min(n_labels) AS first_win FROM l WHERE lo > 0), s AS (SELECT min(n_labels) AS stops_at FROM l, w WHERE n_labels > first_win AND lo <= 0)
@@ -538,11 +557,10 @@ def _built(spark: SparkSession, d: str, sizes: dict[str, int] = SPLIT_ROWS) -> D
         rows = rows if s != "test" else rows.join(labels, "complaint_id")
         rows = prepare.portable_sample(rows.where("y is not null and narrative is not null"), most, 0, "complaint_id").withColumn("split", F.lit(s))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    coded = features.encode(out, vocabulary)
-    tab = F.array(*(F.col(f"{f}_code").cast("double") for f in TABULAR_FIELDS), F.col("month").cast("double"))
+    coded = features.tabular_vectors(out, vocabulary)
     answers = lambda ws: F.array(*((F.size(F.split(F.lower("narrative"), w)) - 1).cast("double") for w in ws))
     return coded.select(
-        "split", "complaint_id", "y", F.col("narrative").alias("text"), tab.alias("tab"),
+        "split", "complaint_id", "y", F.col("narrative").alias("text"), "tab",
         answers(("fee", "refund", "check", "letter")).alias("local"), answers(("called", "branch", "report", "credit")).alias("hosted"),
     )
 
@@ -557,7 +575,7 @@ def arm_grid(spark: SparkSession, d: str) -> DataFrame:
 def arm_results(spark: SparkSession, d: str) -> DataFrame:
     scores = materialize(arm_grid(spark, d))  # read three times
     rows = result_rows(scores, grid_bootstrap(scores, BOOTSTRAPS))
-    return spark.createDataFrame(rows, "arm_id int, arm string, n_labels int, labels_drawn int, seeds int, pr_auc double, pr_auc_lo double, pr_auc_hi double, roc_auc double, lift double")
+    return spark.createDataFrame(rows, "arm_id int, arm string, n_labels int, labels_drawn int, seeds int, pr_auc double, pr_auc_lo double, pr_auc_hi double, roc_auc double, lift double, lift_lo double, lift_hi double, chart boolean")
 
 
 def queries() -> dict[str, Query]:

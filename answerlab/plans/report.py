@@ -10,13 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerlab.config import BOOTSTRAPS, HALF_WIDTH_MAX, LABEL_COUNTS, MARGIN
+from answerlab.config import BOOTSTRAPS, HALF_WIDTH_MAX, LABEL_COUNTS, MARGIN, TABULAR_FIELDS
 from answerlab.functions.scalar import half_year
 from answerlab.operators.metrics import accuracy, calibration_error, roc_auc
-from answerlab.operators.models import ARMS, average_precision, run_grid
+from answerlab.operators.features import fit_vocabulary, tabular_vectors
+from answerlab.operators.models import ARMS, CALIBRATION_ARM, average_precision, run_grid, sample_tables, select_variant
+from answerlab.session import materialize
 from answerlab.sources.tables import read_sheet, write_json, write_sheet
 
-RESULT_COLUMNS = ["arm_id", "arm", "n_labels", "labels_drawn", "seeds", "pr_auc", "pr_auc_lo", "pr_auc_hi", "roc_auc", "lift"]
+RESULT_COLUMNS = ["arm_id", "arm", "n_labels", "labels_drawn", "seeds", "pr_auc", "pr_auc_lo", "pr_auc_hi", "roc_auc", "lift", "lift_lo", "lift_hi", "chart"]
+#: The arms of the headline comparison (hosted against local answers) and the arms it is set beside.
+HOSTED, LOCAL, EMBEDDING, DIRECT = 9, 8, 4, 7
 
 
 def grid_bootstrap(scores: DataFrame, boots: int = BOOTSTRAPS, seed: int = 0, id_col: str = "complaint_id") -> DataFrame:
@@ -54,7 +58,7 @@ def say(lo: float, hi: float, margin: float = MARGIN, first: str = "first better
         return first
     if hi < 0:
         return second
-    return "equivalent" if lo > -margin and hi < margin else "inconclusive"
+    return "equivalent" if lo >= -margin and hi <= margin else "inconclusive"
 
 
 def result_rows(scores: DataFrame, boots: DataFrame) -> list[dict]:
@@ -73,11 +77,16 @@ def result_rows(scores: DataFrame, boots: DataFrame) -> list[dict]:
     names = {a.id: a.name for a in ARMS}
     base = {r.n_labels: r.pr_auc for r in table[table.arm_id == 1].itertuples()}
     rows = []
+    wide = bs.pivot(index="boot", columns=["arm_id", "n_labels"], values="pr_auc") if len(bs) else None
+    shown = {a.id for a in ARMS if a.chart}
     for r in table.sort_values(["arm_id", "n_labels"]).itertuples():
-        lo, hi = interval(bs[(bs.arm_id == r.arm_id) & (bs.n_labels == r.n_labels)].pr_auc.to_numpy())
+        mine = wide[(r.arm_id, r.n_labels)].to_numpy()
+        lo, hi = interval(mine)
+        lift = interval(mine - wide[(1, r.n_labels)].to_numpy()) if r.n_labels in base else (None, None)
         rows.append({
             "arm_id": r.arm_id, "arm": names.get(r.arm_id, str(r.arm_id)), "n_labels": r.n_labels, "labels_drawn": r.labels_drawn, "seeds": r.seeds,
             "pr_auc": r.pr_auc, "pr_auc_lo": lo, "pr_auc_hi": hi, "roc_auc": r.roc_auc, "lift": r.pr_auc - base[r.n_labels] if r.n_labels in base else None,
+            "lift_lo": lift[0], "lift_hi": lift[1], "chart": r.arm_id in shown,
         })
     return rows
 
@@ -92,25 +101,40 @@ def compare(rows: list[dict], boots: pd.DataFrame, a: int, b: int, n: int) -> di
     return {"delta": point[a] - point[b], "lo": lo, "hi": hi, "verdict": say(lo, hi)}
 
 
-def subset_intervals(scores: DataFrame, by, arm: int, boots: int, seed: int = 0) -> DataFrame:
-    """Per subset ``(subset, rows, pr_auc, lo, hi, status)`` of one arm; own resamples; 'too few rows' for one class."""
+def subset_intervals(scores: DataFrame, by, arms: tuple[int, ...], boots: int, seed: int = 0, n: int | None = None, id_col: str = "complaint_id") -> DataFrame:
+    """Per subset ``(subset, rows, value, lo, hi, status)`` of one arm's average precision, or of the difference of two arms.
+
+    Each subset has its own resamples; of two arms both are measured on the same ones, each with one of the arms' seeds.  ``status`` is 'too few
+    rows' where only one class is left, else 'ok', or the verdict of a difference.  A null subset is left out.
+    """
+    first, rest = arms[0], arms[1:]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, s = pdf.y.to_numpy(), pdf.score.to_numpy()
-        point = average_precision(y, s)
-        if math.isnan(point):
-            return pd.DataFrame([{"subset": pdf.subset.iloc[0], "rows": len(y), "pr_auc": None, "lo": None, "hi": None, "status": "too few rows"}])
-        rng = np.random.default_rng(seed)
-        lo, hi = interval(np.array([average_precision(y, s, np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y))) for _ in range(boots)]))
-        return pd.DataFrame([{"subset": pdf.subset.iloc[0], "rows": len(y), "pr_auc": point, "lo": lo, "hi": hi, "status": "ok"}])
+        wide = pdf.pivot(index=id_col, columns=["arm_id", "seed"], values="score").sort_index()
+        y = pdf.groupby(id_col).y.first().sort_index().to_numpy()
+        out = {"subset": pdf.subset.iloc[0], "rows": len(y), "value": None, "lo": None, "hi": None, "status": "too few rows"}
+        if y.min() != y.max():
+            each = {a: wide[a].to_numpy().T for a in arms}
+
+            def value(pick: int | None, w: np.ndarray | None) -> float:
+                of = lambda a: np.mean([average_precision(y, s, w) for s in (each[a] if pick is None else each[a][pick % len(each[a])][None])])
+                return float(of(first) - sum(of(a) for a in rest))
+
+            rng = np.random.default_rng(seed)
+            draws = [value(int(rng.integers(1 << 30)), np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y))) for _ in range(boots)]
+            lo, hi = interval(np.array(draws))
+            out |= {"value": value(None, None), "lo": lo, "hi": hi, "status": say(lo, hi) if rest else "ok"}
+        return pd.DataFrame([out])
 
-    rows = scores.where((F.col("arm_id") == arm) & (F.col("seed") == 0)).withColumn("subset", by)
-    return rows.groupBy("subset").applyInPandas(run, "subset string, rows int, pr_auc double, lo double, hi double, status string")
+    rows = scores.where(F.col("arm_id").isin(*arms)).withColumn("subset", by.cast("string")).where("subset is not null")
+    rows = rows if n is None else rows.where(F.col("n_labels") == n)
+    # a subset of the drawn test sample, whose size the plan fixes
+    return rows.groupBy("subset").applyInPandas(run, "subset string, rows int, value double, lo double, hi double, status string")
 
 
-def by_half_year(scores: DataFrame, dates: DataFrame, arm: int, boots: int, id_col: str = "complaint_id") -> DataFrame:
-    """:func:`subset_intervals` per half year of receipt."""
-    return subset_intervals(scores.join(dates, id_col), half_year(F.col("date_received")), arm, boots)
+def by_half_year(scores: DataFrame, dates: DataFrame, arm: int, boots: int, n: int | None = None, id_col: str = "complaint_id") -> DataFrame:
+    """:func:`subset_intervals` of an arm per half year of receipt."""
+    return subset_intervals(scores.join(dates, id_col), half_year(F.col("date_received")), (arm,), boots, n=n, id_col=id_col)
 
 
 def answer_quality(answers: DataFrame, sheet: str | Path, id_col: str = "complaint_id") -> dict:
@@ -128,34 +152,98 @@ def answer_quality(answers: DataFrame, sheet: str | Path, id_col: str = "complai
     return {"status": "ok", "accuracy": per, "ece": calibration_error(joined).first()["ece"]}
 
 
-def calibration_half_width(scores: DataFrame, boots: int, a: int, b: int, n: int) -> dict:
-    """Half width of the paired interval on a pseudo-test year, and whether the margin is fine enough."""
-    bs = grid_bootstrap(scores, boots).toPandas()
-    wide = bs[bs.n_labels == n].pivot(index="boot", columns="arm_id", values="pr_auc")
-    lo, hi = interval((wide[a] - wide[b]).to_numpy())
-    return {"half_width": (hi - lo) / 2, "fine_enough": (hi - lo) / 2 <= HALF_WIDTH_MAX}
-
+def calibrate_margin(train: DataFrame, dev: DataFrame, n_labels: int = 1_000, boots: int = BOOTSTRAPS, year: int = 2022, id_col: str = "complaint_id") -> dict:
+    """The paired interval of a text score's gain over the tabular arm on one year of the training pool.
 
-def run_report(built: DataFrame, parts: tuple[str, ...], out: str, label_counts: tuple[int, ...] = LABEL_COUNTS, boots: int = BOOTSTRAPS, variant: str = "stacked") -> dict:
-    """Fit the grid, bootstrap, compare, and write ``results.csv``, ``headline.json`` and the chart's data."""
-    scores = run_grid(built, ARMS, label_counts, parts, variant).persist()
+    Its half width says how fine a margin the test can resolve; 'within_limit' whether that is fine enough.
+    """
+    old = F.year("date_received") != year
+    columns = [id_col, "narrative", "date_received", "y", *TABULAR_FIELDS]
+    parts = {"train": train.where(old), "dev": dev, "test": train.where(~old)}
+    rows = None
+    for name, df in parts.items():
+        part = df.select(*columns, F.lit(name).alias("split"))
+        rows = part if rows is None else rows.unionByName(part)
+    built = tabular_vectors(rows, fit_vocabulary(parts["train"])).withColumnRenamed("narrative", "text")
+    scores = materialize(run_grid(built, (ARMS[1], CALIBRATION_ARM), (n_labels,), ("tab",), id_col=id_col))
+    wide = grid_bootstrap(scores, boots, id_col=id_col).toPandas().pivot(index="boot", columns="arm_id", values="pr_auc")
+    delta = (wide[CALIBRATION_ARM.id] - wide[1]).to_numpy()
+    lo, hi = interval(delta)
+    head = scores.agg(F.max("labels_drawn").alias("labels"), F.countDistinct("seed").alias("seeds"), F.countDistinct(id_col).alias("rows")).first()
+    return {
+        "pseudo_test_rows": head["rows"], "labels": head["labels"], "seeds": head["seeds"], "delta": float(np.nanmean(delta)), "lo": lo, "hi": hi,
+        "half_width": (hi - lo) / 2, "within_limit": (hi - lo) / 2 <= HALF_WIDTH_MAX,
+    }
+
+
+def run_report(built: DataFrame, parts: tuple[str, ...], out: str, label_counts: tuple[int, ...] = LABEL_COUNTS, boots: int = BOOTSTRAPS, variant: str | None = None, facts: dict | None = None) -> dict:
+    """Fit the grid, bootstrap, compare, and write ``results.csv``, ``headline.json`` and the chart's data.
+
+    ``built`` may hold ``date_received`` and ``single_window`` beside what the grid needs; comparisons on subsets are
+    made of what is there.  Without ``variant`` the form of the stacked arm is chosen on dev.  ``facts`` are added to the headline file.
+    """
+    n = 1_000 if 1_000 in label_counts else label_counts[0]
+    chosen: dict = {"chosen": variant or "stacked"}
+    if variant is None and {"tab", "emb"} <= set(parts):
+        best, dev = select_variant(sample_tables(built, parts), n)
+        chosen = {"chosen": best, "dev_pr_auc": dev, "at_n": n}
+    scores = materialize(run_grid(built, ARMS, label_counts, parts, chosen["chosen"]))
+    draws = materialize(grid_bootstrap(scores, boots))
+    rows = result_rows(scores, draws)
+    bs = draws.toPandas()
+    have = {r["arm_id"] for r in rows}
+    beside = {k: compare(rows, bs, HOSTED, EMBEDDING, k) for k in label_counts}
+    headline = {
+        "hosted_vs_local": compare(rows, bs, HOSTED, LOCAL, n) | {"n_labels": n, "margin": MARGIN},
+        "hosted_vs_embedding": {str(k): v for k, v in beside.items()},
+        "stops_beating_embedding": first_not_beating({k: v["lo"] for k, v in beside.items() if v["lo"] is not None}),
+        "variant": chosen,
+        "label_counts": list(label_counts),
+        "boots": boots,
+    }
+    test = built.where("split = 'test'")
+    table = lambda df: {r["subset"]: r.asDict() for r in df.collect()}  # noqa: E731  # one row a subset
+    if "single_window" in built.columns and {HOSTED, LOCAL} <= have:
+        one = scores.join(test.select("complaint_id", "single_window"), "complaint_id")
+        headline["single_window"] = table(subset_intervals(one, F.when(F.col("single_window"), "single window"), (HOSTED, LOCAL), boots, n=n)).get("single window")
+    if "date_received" in built.columns:
+        dates = test.select("complaint_id", "date_received")
+        if DIRECT in have:
+            headline["direct_by_half_year"] = table(by_half_year(scores, dates, DIRECT, boots, n))
+        if {HOSTED, LOCAL} <= have:
+            late = F.when(F.year("date_received") == 2026, "2026")
+            headline["hosted_vs_local_2026"] = table(subset_intervals(scores.join(dates, "complaint_id"), late, (HOSTED, LOCAL), boots, n=n)).get("2026")
+    headline |= facts or {}
+    folder = Path(out)
+    folder.mkdir(parents=True, exist_ok=True)
+    write_sheet(rows, folder / "results.csv", RESULT_COLUMNS)
+    write_json(headline, folder / "headline.json")
+    chart = [{k: r[k] for k in ("arm", "n_labels", "pr_auc", "pr_auc_lo", "pr_auc_hi")} for r in rows if r["chart"]]
+    write_sheet(chart, folder / "chart.csv", ["arm", "n_labels", "pr_auc", "pr_auc_lo", "pr_auc_hi"])
+    render_chart(chart, folder / "chart.png")
+    return {"rows": rows, "headline": headline}
+
+
+def first_not_beating(lows: dict[int, float]) -> int | str | None:
+    """The first label count after the first win at which the low end is not above 0; 'never beats' without a win, None if it keeps beating."""
+    wins = [n for n, lo in lows.items() if lo > 0]
+    after = [n for n, lo in lows.items() if wins and n > min(wins) and lo <= 0]
+    return "never beats" if not wins else min(after, default=None)
+
+
+def render_chart(points: list[dict], path: Path) -> bool:
+    """The chart of the shown arms over label counts; False where no plotting library is at hand."""
     try:
-        draws = grid_bootstrap(scores, boots)
-        rows = result_rows(scores, draws)
-        bs = draws.toPandas()
-        n = max(label_counts)
-        headline = {
-            "hosted_vs_local": compare(rows, bs, 9, 8, n),
-            "hosted_vs_embedding": {str(k): compare(rows, bs, 9, 4, k) for k in label_counts},
-            "label_counts": list(label_counts),
-            "boots": boots,
-        }
-        folder = Path(out)
-        folder.mkdir(parents=True, exist_ok=True)
-        write_sheet(rows, folder / "results.csv", RESULT_COLUMNS)
-        write_json(headline, folder / "headline.json")
-        shown = {a.id for a in ARMS if a.chart}
-        write_sheet([{k: r[k] for k in ("arm", "n_labels", "pr_auc", "pr_auc_lo", "pr_auc_hi")} for r in rows if r["arm_id"] in shown], folder / "chart.csv", ["arm", "n_labels", "pr_auc", "pr_auc_lo", "pr_auc_hi"])
-        return {"rows": rows, "headline": headline}
-    finally:
-        scores.unpersist()
+        from matplotlib.backends.backend_agg import FigureCanvasAgg
+        from matplotlib.figure import Figure
+    except ImportError:
+        return False
+    fig = Figure(figsize=(8, 5))
+    FigureCanvasAgg(fig)
+    ax = fig.subplots()
+    for arm, p in pd.DataFrame(points).groupby("arm", sort=False):
+        ax.errorbar(p.n_labels, p.pr_auc, yerr=[(p.pr_auc - p.pr_auc_lo).clip(lower=0), (p.pr_auc_hi - p.pr_auc).clip(lower=0)], marker="o", label=arm)
+    ax.set(xscale="log", xlabel="labels", ylabel="average precision (95 % interval)")
+    ax.legend()
+    fig.savefig(path)
+    return True

@@ -61,11 +61,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session has none (tests, one machine) is a temporary folder made and set.
+    Only on one machine, where the session may have none, is a temporary folder made and set; a cluster without a shared folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="answerlab-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{path}")
@@ -96,6 +98,35 @@ def _drop_remote(spark: SparkSession, path: str) -> None:
         pass
 
 
+class Files:
+    """Files of any file system that the cluster knows, by path."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.system = self.path(path).getFileSystem(self.conf)
+
+    def path(self, path: str):
+        return self.jvm.org.apache.hadoop.fs.Path(path)
+
+    def exists(self, path: str) -> bool:
+        return self.system.exists(self.path(path))
+
+    def names(self, path: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self.system.listStatus(self.path(path))) if self.exists(path) else []
+
+    def delete(self, path: str) -> None:
+        self.system.delete(self.path(path), True)
+
+    def copy(self, source: str, target: str) -> None:
+        """Copy a folder, to another file system too."""
+        a, b = self.path(source), self.path(target)
+        self.jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(self.conf), a, b.getFileSystem(self.conf), b, False, self.conf)
+
+    def rename(self, source: str, target: str) -> None:
+        if not self.system.rename(self.path(source), self.path(target)):
+            raise OSError(f"{source} could not be renamed to {target}")
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows
