@@ -55,7 +55,7 @@ _NUMBER = re.compile(r"\d+(?![\d./:%])")
 _SPELLED = re.compile(rf"\b(?:(?:plus|one)\W{{1,2}})?(?:{_DIGITS})(?:[ ,-]{{1,2}}(?:{_DIGITS})){{6,12}}\b")
 #: What a number before which these words stand is, the nearest word counting.
 _NUMBER_KIND = re.compile(
-    r"(?P<phone>phone|\bcell|mobile|\btel\b|\btel\.|telephone|\bcall|dial|reach|\btext|\bfax|\bring|\brang|contact|number is|hotline)"
+    r"(?P<phone>phone|\bcell|mobile|\btel\b|\btel\.|telephone|\bcall|dial|reach|\btext|\bfax|\bring|\brang|contact|\bmy number is|hotline)"
     r"|(?P<id>\bssn|s\.s\.n|social|\btax|itin|passport|licen[cs]e|state id|state i\.d|identity)"
     r"|(?P<other>account|\bacct|card|case|reference|\bref\b|tracking|parcel|invoice|batch|order|claim|ticket|confirmation|routing|serial|policy|member|loan|\bcheck)"
 )
@@ -164,7 +164,7 @@ def _automaton() -> ahocorasick.Automaton:
 _FIND = _automaton()
 #: Function words, verbs and prepositions that may follow a name, and end a clause with it.
 _NAME_AFTER = re.compile(
-    r"\s*(?:[,.;:!?)|\n]|\Z)|\s+(?:and|or|but|who|whom|said|says|told|asked|called|wrote|was|is|has|had|did|does|from|at|in|on|by|for|to|with|through|over|about|never|then|when|because|after|before|as|paid|gave|took|made|sent)\b"
+    r"\s*(?:[,.;:!?)|\n]|\Z)|\s+(?:and|or|but|who|whom|said|says|told|asked|called|wrote|was|is|has|had|did|does|from|at|in|on|by|for|to|with|through|over|about|never|then|when|because|since|after|before|as|paid|gave|took|made|sent)\b"
 )
 #: Words of companies, shops, streets and towns.
 _COMPANY = re.compile(
@@ -177,7 +177,7 @@ _NOT_NAME = frozenset(
     "a an the and or but of in on at to for from by with without my our your his her their its this that these those i we they he she it me us him them who whom which what when where why how "
     "someone somebody nobody anyone everyone no not nor is was are were be been being am has have had having do does did will would can could may might must shall should "
     "said says say told tell asked ask called call also gave give up lost all both felt went took made make got get kept keep paid sent wrote saw back again another every each any some such only still then "
-    "than so just never ever even very here there now about after before until while because if as into over under out off more most other own same too "
+    "than so just since never ever even very here there now about after before until while because if as into over under out off more most other own same too "
     "monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december "
     "agent agents manager managers supervisor clerk teller trainee desk team unit office officer branch bank banks banker banking chat claims claim dispute disputes fraud customer service services representative merchant "
     "company institution account accounts card cards check checks credit debit union financial savings trust national federal payment payments wallet inc llc corp group department resolution retention escalation "
@@ -434,11 +434,13 @@ def _names(t: str, raw: str, lefts: list[int], closings: list[int], told: list[i
         known = sum(gaz.known(p) for p in parts)
         company = bool(_COMPANY.match(t, b)) or any(_COMPANY.fullmatch(p) for p in parts)
         place = how == "listed" and bool(_PLACE_BEFORE.search(t, max(0, a - 12), a))
-        odd = any(gaz.ordinary(p) for p in parts) or bool(_MASKED.search(t, a, b))
+        # an ordinary word that is a listed name too says nothing
+        odd = any(gaz.ordinary(p) and p not in gaz.names for p in parts) or bool(_MASKED.search(t, a, b))
+        unsure = any(gaz.ordinary(p) for p in parts)
         small = cased and not all(raw[a + x.start()].isupper() for x in re.finditer(_TOK, t[a:b]) if x.group() not in _PARTICLE)
         follows = how in ("closing", "told") or bool(_NAME_AFTER.match(t, b))
         yield a, b, (
-            _vote(known > 1, known == 0) + _vote(how not in ("listed", "loose"), place) + _vote(follows, company) + _vote(not odd, odd) + _vote(cased and not small, small)
+            _vote(known > 1, known == 0) + _vote(how not in ("listed", "loose"), place) + _vote(follows, company) + _vote(not unsure, odd) + _vote(cased and not small, small)
         )
 
 
@@ -481,7 +483,7 @@ def find_spans(text: str, gaz: Gazetteer) -> list[tuple[int, int, str, str]]:
         ("person_name", _names(t, text, at["left"], at["closing"], at["told"], gaz, cased)),
     )):
         for a, b, votes in spans:
-            shape = f"{min(9, (b - a) // 4)}{min(5, len(t[a:b].split()))}{'c' if cased else 'n'}"
+            shape = f"{min(9, (b - a) // 4)}{min(5, t.count(" ", a, b) + 1)}{'c' if cased else 'n'}"
             every.append((votes.count("-") - votes.count("+") if rank else -9, a - b, rank, a, b, kind, f"{votes}|{shape}"))
     out: list[tuple[int, int, str, str]] = []
     used = bytearray(len(t))
