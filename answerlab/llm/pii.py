@@ -12,6 +12,7 @@ the data.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -53,12 +54,13 @@ _NUMERIC = re.compile(r"[+(\d][\d().+ \-–—/]{7,}\d")
 #: A number that may be a house number: not part of a sum, date, time or longer number.
 _NUMBER = re.compile(r"\d+(?![\d./:%])")
 _SPELLED = re.compile(rf"\b(?:(?:plus|one)\W{{1,2}})?(?:{_DIGITS})(?:[ ,-]{{1,2}}(?:{_DIGITS})){{6,12}}\b")
-#: What a number before which these words stand is, the nearest word counting.
-_NUMBER_KIND = re.compile(
-    r"(?P<phone>phone|\bcell|mobile|\btel\b|\btel\.|telephone|\bcall|dial|reach|\btext|\bfax|\bring|\brang|contact|\bmy number is|hotline)"
-    r"|(?P<id>\bssn|s\.s\.n|social|\btax|itin|passport|licen[cs]e|state id|state i\.d|identity)"
-    r"|(?P<other>account|\bacct|card|case|reference|\bref\b|tracking|parcel|invoice|batch|order|claim|ticket|confirmation|routing|serial|policy|member|loan|\bcheck)"
-)
+#: Words that say what the number after them is, the nearest counting.
+_NUMBER_KIND = (
+    [(w, "phone") for w in ("phone", "cell", "mobile", "tel ", "tel.", "tel:", "telephone", "call", "dial", "reach", "text", "fax", "ring", "rang", "contact", "my number is", "hotline")]
+    + [(w, "id") for w in ("ssn", "s.s.n", "social", "tax", "itin", "passport", "licen", "state id", "state i.d", "identity")]
+    + [(w, "other") for w in ("account", "acct", "card", "case", "reference", "ref ", "ref.", "ref:", "ref#", "tracking", "parcel", "invoice", "batch", "order", "claim", "ticket",
+        "confirmation", "routing", "serial", "policy", "member", "loan", "check")]
+)
 _CLAUSE_END = re.compile(r"\s*(?:[.,;:!?)|\n]|\Z)")
 _EXTENSION = re.compile(r"\s*,?\s*(?:ext|x\d)")
 _AMOUNT_AFTER = re.compile(r"\s*(?:dollars|usd|percent|%|points|miles)")
@@ -101,7 +103,9 @@ _ADDRESS_BEFORE_WORDS = (
 )
 #: A number and a word without a street type.
 _ADDRESS_BARE = re.compile(rf"{_HOUSE},?\s+(?:{_DIR}\s+)?([^\W\d_][^\W\d_'’]{{2,}})")
-_ADDRESS_BEFORE = re.compile(rf"(?P<yes>(?:{_ADDRESS_BEFORE_WORDS})\s*\Z|[\n|]\s*\Z|\b(?:at|to|from|near|on)\s+\Z)|(?P<no>\b(?:about|for|another|after|than|of|least|some)\s+\Z)")
+#: Words before an address, and words before a count of something.
+_ADDRESS_YES = ("address", "address is", "address was", "address of", " at", " to", " from", " near", " on", "address,")
+_ADDRESS_NO = (" about", " for", " another", " after", " than", " of", " least", " some", " every", " within")
 _ADDRESS_AFTER = re.compile(r"\s*(?:[,.;|\n)]|\Z|(?:apt|apartment|unit|suite|ste|floor)\b|(?:in|was|is|and|for|since|turned|which|where)\b)")
 #: Street types that are ordinary words as well.
 _VAGUE_TYPE = re.compile(r"\b(?:way|place|row|run|walk|path|hill|point|close|bend|ridge|crossing|alley|loop|trail|pike|cove|mews|court|square|circle|drive|terrace)\.?\Z")
@@ -142,7 +146,7 @@ _TRIGGERS = (
         "banker", "called", "behalf", "signed", "payable", "mr", "ms", "dr", "miss", "prof")]
     + [(w, "closing") for w in ("signed", "thank", "sincerely", "regards", "respectfully", "yours", "cordially", "best")]
     + [(w, "told") for w in ("told", "asked", "called", "promised", "informed")]
-    + [(w, "id") for w in ("ssn", "s.s.n", "social", "tax", "itin", "passport", "licen", "state", "identity")]
+    + [(w, "name_of_id") for w in ("ssn", "s.s.n", "social", "tax", "itin", "passport", "licen", "driv", "state", "identity")]
     + [(w, "email") for w in ("@", "(at)", "( at )", "[at]", "[ at ]", "{at}", "{ at }", "dot")]
     + [(w, "digit") for w in _DIGITS.split("|")]
     + [(w, "street") for w in ("address", "branch at", "check to", "went to", "live", "living", "resid", "stay", "located", "home", "house", "moved", "moving",
@@ -153,7 +157,7 @@ _TRIGGERS = (
 def _automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     by: dict[str, list[str]] = {}
-    for word, what in _TRIGGERS:
+    for word, what in _TRIGGERS + _NUMBER_KIND:
         by.setdefault(word, []).append(what)
     for word, whats in by.items():
         out.add_word(word, (len(word), tuple(whats)))
@@ -162,6 +166,7 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 _FIND = _automaton()
+_SAYS = frozenset(kind for _, kind in _NUMBER_KIND)
 #: Function words, verbs and prepositions that may follow a name, and end a clause with it.
 _NAME_AFTER = re.compile(
     r"\s*(?:[,.;:!?)|\n]|\Z)|\s+(?:and|or|but|who|whom|said|says|told|asked|called|wrote|was|is|has|had|did|does|from|at|in|on|by|for|to|with|through|over|about|never|then|when|because|since|after|before|as|paid|gave|took|made|sent)\b"
@@ -248,6 +253,23 @@ def _nearest(pattern: re.Pattern, t: str, at: int, reach: int) -> str | None:
     return last
 
 
+class NumberWords:
+    """Words that say what a number is, in the order of their ends."""
+
+    def __init__(self) -> None:
+        self.ends: list[int] = []
+        self.kinds: list[tuple[int, str]] = []
+
+    def add(self, begin: int, end: int, kind: str) -> None:
+        self.ends.append(end)
+        self.kinds.append((begin, kind))
+
+    def before(self, at: int, reach: int) -> str | None:
+        """What the last of them before ``at``, at most ``reach`` characters away, says."""
+        i = bisect_right(self.ends, at) - 1
+        return self.kinds[i][1] if i >= 0 and self.kinds[i][0] >= at - reach else None
+
+
 def _emails(t: str) -> Iterator[tuple[int, int, str]]:
     """Votes: signs, host, local part, words before, masks."""
     at = 0
@@ -266,11 +288,11 @@ def _emails(t: str) -> Iterator[tuple[int, int, str]]:
         )
 
 
-def _phones(t: str, chunks: list[tuple[int, int]], spelled: bool) -> Iterator[tuple[int, int, str]]:
+def _phones(t: str, chunks: list[tuple[int, int]], spelled: bool, said: NumberWords) -> Iterator[tuple[int, int, str]]:
     """Votes: form, number plan, words before, what follows, number of digits."""
 
     def around(a: int, b: int) -> str:
-        near = _nearest(_NUMBER_KIND, t, a, 40)
+        near = said.before(a, 40)
         after = bool(_EXTENSION.match(t, b) or _CLAUSE_END.match(t, b))
         return _vote(near == "phone", near in ("id", "other")) + _vote(after, bool(_AMOUNT_AFTER.match(t, b)))
 
@@ -299,12 +321,12 @@ _ANY_DIGITS = re.compile(r"\d[\d().+ \-–—/]*\d")
 _LAST_DIGITS = re.compile(r"(?:last\s+(?:four|4)|ending\s+in|ends\s+in)[^.\n]{0,16}\Z")
 
 
-def _ids(t: str, named: bool, chunks: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+def _ids(t: str, named: list[int], chunks: list[tuple[int, int]], words: NumberWords) -> Iterator[tuple[int, int, str]]:
     """Votes: a word of identity just before, form, nearest number word, masks and last digits, grouping."""
 
     def votes(a: int, b: int, said: bool) -> str:
         v = t[a:b]
-        shape, near = plain(v), _nearest(_NUMBER_KIND, t, a, 48)
+        shape, near = plain(v), words.before(a, 48)
         grouped = re.sub(r"\s*[-.]\s*|\s+", "-", v)
         ssn = bool(re.fullmatch(r"\d{3}-\d{2}-\d{4}", grouped))
         return (
@@ -314,7 +336,10 @@ def _ids(t: str, named: bool, chunks: list[tuple[int, int]]) -> Iterator[tuple[i
         )
 
     seen: list[tuple[int, int]] = []
-    for m in _ID.finditer(t) if named else ():
+    for at in named:
+        m = _ID.match(t, at)
+        if not m or any(x <= m.start(1) < y for x, y in seen):
+            continue
         a = m.start(1)
         v = re.match(r"(?:[a-z]{1,2}[ -]?)?\d[\d\s.-]*\d", m.group(1))
         if v:
@@ -337,8 +362,10 @@ def _addresses(t: str, frames: list[int]) -> Iterator[tuple[int, int, str]]:
     """Votes: street type, words of the name, words before, what follows, house number."""
 
     def around(a: int, b: int) -> str:
-        before = _nearest(_ADDRESS_BEFORE, t, a, 28)
-        return _vote(before == "yes", before == "no") + _vote(bool(_ADDRESS_AFTER.match(t, b)))
+        gap = t[max(0, a - 16) : a]
+        before = gap.rstrip()
+        yes = not before or before[-1] == "|" or "\n" in gap[len(before) :] or before.endswith(_ADDRESS_YES)
+        return _vote(yes, before.endswith(_ADDRESS_NO)) + _vote(_ADDRESS_AFTER.match(t, b) is not None)
 
     starts = {m.start() for m in _NUMBER.finditer(t) if m.end() - m.start() < 6 and t[m.start() - 1 : m.start()] not in _JOINED}
     for f in frames:  # a house number in words is looked for only where the words before may say address
@@ -463,13 +490,17 @@ def find_spans(text: str, gaz: Gazetteer) -> list[tuple[int, int, str, str]]:
     inside e-mail addresses are left to the address.
     """
     t = _lower(text)
-    at: dict[str, list[int]] = {"left": [], "closing": [], "told": [], "id": [], "email": [], "digit": [], "street": []}
+    at: dict[str, list[int]] = {"left": [], "closing": [], "told": [], "name_of_id": [], "email": [], "digit": [], "street": []}
+    said = NumberWords()
     for end, (size, whats) in _FIND.iter(t):
         a = end + 1 - size
         if a and size > 1 and t[a - 1].isalpha() and t[a].isalpha():
             continue  # inside a word
         for what in whats:
-            at[what].append(a)
+            if what in _SAYS:
+                said.add(a, end + 1, what)
+            else:
+                at[what].append(a)
     cased = t != text and not text.isupper()
     if cased:  # a text with hardly any capitals, or hardly any small letters, says nothing by them
         cased = 0.01 < sum(map(text.count, _CAPITALS)) / len(text) < 0.4
@@ -477,8 +508,8 @@ def find_spans(text: str, gaz: Gazetteer) -> list[tuple[int, int, str, str]]:
     every: list[tuple[int, int, int, int, int, str, str]] = []
     for rank, (kind, spans) in enumerate((
         ("email", _emails(t) if at["email"] else ()),
-        ("phone", _phones(t, chunks, len(at["digit"]) > 6)),
-        ("id_number", _ids(t, bool(at["id"]), chunks)),
+        ("phone", _phones(t, chunks, len(at["digit"]) > 6, said)),
+        ("id_number", _ids(t, at["name_of_id"], chunks, said)),
         ("street_address", _addresses(t, at["street"])),
         ("person_name", _names(t, text, at["left"], at["closing"], at["told"], gaz, cased)),
     )):
