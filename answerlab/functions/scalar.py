@@ -40,6 +40,16 @@ def shingles(text: Column, n: int = 5, unicode_space: bool = True) -> Column:
     return F.array_distinct(let(words(F.coalesce(text, F.lit("")), unicode_space), runs))
 
 
+def shingle_hashes(text: Column, n: int = 5, unicode_space: bool = True) -> Column:
+    """64-bit hashes of :func:`shingles`: words are hashed once, runs are hashes of their words' hashes, no run is spelled out."""
+    def runs(ws: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(ws, i, n)))
+        return F.when(F.size(ws) == 0, F.array().cast("array<bigint>")).otherwise(every)
+
+    hashed = F.transform(words(F.coalesce(text, F.lit("")), unicode_space), lambda w: F.xxhash64(w))
+    return F.array_distinct(let(hashed, runs))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two arrays of distinct items; 1 for two empty ones."""
     both = F.size(F.array_intersect(a, b))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerlab.config import CANDIDATE_COLUMNS, NEARDUP_SIMILARITY, RATE_BAND, SHINGLE_WORDS, SPLIT_DATES
-from answerlab.functions.scalar import parse_date, portable_hash, shingles
+from answerlab.functions.scalar import parse_date, portable_hash, shingle_hashes
 from answerlab.session import materialize
 from answerlab.sources.tables import write_json, write_parquet, write_sheet
 
@@ -73,7 +73,7 @@ def near_pairs(left: DataFrame, right: DataFrame, threshold: float = NEARDUP_SIM
     """
     def sets(df: DataFrame, side: int) -> DataFrame:
         keyed = df.where("text is not null").select(F.xxhash64("text").alias("key"), "text").dropDuplicates(["key"])
-        return keyed.select("key", F.lit(side).alias("side"), F.transform(shingles(F.col("text"), n), lambda s: F.xxhash64(s)).alias("s")).where(F.size("s") > 0)
+        return keyed.select("key", F.lit(side).alias("side"), shingle_hashes(F.col("text"), n).alias("s")).where(F.size("s") > 0)
 
     both = materialize(sets(left, 0).unionByName(sets(right, 1)))
     rows = both.select("key", "side", F.size("s").alias("size"), F.explode("s").alias("h"))
