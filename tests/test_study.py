@@ -147,6 +147,22 @@ def test_run_stops_in_the_group_with_too_many_refusals(spark, tmp_path):
     assert 10 < cache.read().count() < 100
 
 
+def test_token_vectors_are_averaged_under_their_mask():
+    hidden = np.arange(24.0).reshape(2, 3, 4)
+    mask = np.array([[1, 1, 0], [0, 0, 0]])
+    got = A.pooled(lambda ids, m: hidden)(np.zeros((2, 3)), mask)
+    assert got[0].tolist() == hidden[0, :2].mean(0).tolist() and got[1].tolist() == [0.0] * 4
+
+
+def test_hashed_runs_count_as_spelled_ones(spark):
+    from answerlab.functions import scalar
+
+    texts = ["", None, "a", "a b c d e", "a b c d e f a b c d e f", "x " * 50, "A  b\tc"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(F.size(scalar.shingles(F.col("t"))).alias("a"), F.size(scalar.shingle_hashes(F.col("t"))).alias("b")).collect():
+        assert r["a"] == r["b"]
+
+
 def test_hand_labels_are_not_overwritten(spark, study):
     path = commands.main(["handlabels", "--frozen", str(study / "frozen"), "--questions", str(study / "q.yaml")], spark)
     lines = open(path).read().splitlines()
