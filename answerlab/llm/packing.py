@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerlab.llm import textkernels as K
-from answerlab.llm.tokens import DEFAULT_RANKS, encoding
+from answerlab.llm.tokens import DEFAULT_RANKS, encoding, ship_ranks
 from answerlab.session import materialize
 
 DIMENSIONS, BITS = 3, 10
@@ -117,6 +117,7 @@ def pack_documents(
     one takes no room.  Repeated rows are separate items; null ids are kept; other columns are ignored.
     Each partition of the curve leaves at most ``open_limit`` containers that are not full.
     """
+    ship_ranks(table.sparkSession, ranks)
     rows = table.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     kind = rows.schema["doc_id"].dataType.simpleString()
 

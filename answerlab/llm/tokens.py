@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -16,10 +18,22 @@ DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship_ranks(spark: SparkSession, path: str) -> None:
+    """Send the rank file to the executors, once per application; only the driver needs it at its path."""
+    context = spark.sparkContext
+    if (context.applicationId, path) not in _SHIPPED:
+        _SHIPPED.add((context.applicationId, path))
+        context.addFile(path)
+
+
 @lru_cache(maxsize=2)
 def encoding(path: str) -> tiktoken.Encoding:
-    """The tokenizer of a rank file; kept once per Python worker."""
-    with open(path, "rb") as f:
+    """The tokenizer of a rank file, as shipped or at its path; kept once per Python worker."""
+    sent = os.path.join(SparkFiles.getRootDirectory(), os.path.basename(path)) if SparkFiles._is_running_on_worker else ""
+    with open(sent if os.path.exists(sent) else path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -30,6 +44,7 @@ def count_tokens(text: str, path: str = DEFAULT_RANKS) -> int:
 
 def with_token_counts(table: DataFrame, text_col: str, keep: list[str], path: str = DEFAULT_RANKS) -> DataFrame:
     """The columns ``keep`` and ``n_tokens`` (null for null texts)."""
+    ship_ranks(table.sparkSession, path)
     rows = table.select(*keep, F.col(text_col).alias("_text"))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
 
