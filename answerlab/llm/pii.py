@@ -119,11 +119,12 @@ _NOT_STREET = frozenset(
 
 # ---- person names
 _TOK = r"(?:[^\W\d_]['’])?[^\W\d_]{2,}(?:-(?:[^\W\d_]['’])?[^\W\d_]{2,})*"
-_PERSON_AT = re.compile(rf"{_TOK}(?:\s+[^\W\d_]\.)*\s+{_TOK}|{_TOK},\s+{_TOK}(?:\s+[^\W\d_]\.)*")
 _NEXT_PART = re.compile(rf"[ \t]+({_TOK})")
 _PART_BEFORE = re.compile(rf"({_TOK})((?:[ \t]+[^\W\d_]\.)*[ \t]+)\Z")
 #: Particles inside names.
 _PARTICLE = frozenset("de del der den di da do dos das la las los le van von bin ibn al el st y".split())
+_PARTICLES = rf"(?:\s+(?:{'|'.join(sorted(_PARTICLE))})(?=\s))*"
+_PERSON_AT = re.compile(rf"{_TOK}(?:\s+[^\W\d_]\.)*{_PARTICLES}\s+{_TOK}|{_TOK},\s+{_TOK}(?:\s+[^\W\d_]\.)*")
 #: What may stand before a name, from its first trigger word on.
 _LEFT_AT = re.compile(
     r"(?:(?:profile|account|card)\s+as|wife|husband|partner|attorney|lawyer|daughter|son|mother|father|sister|brother|friend|cousin|uncle|aunt|name\s+(?:is|was)|made\s+out\s+to"
@@ -417,8 +418,6 @@ def _names(t: str, raw: str, lefts: list[int], closings: list[int], told: list[i
         if not m or len(gaz.parts(m.group())) < 2:
             return
         end = m.end()
-        if m.group().split()[-1] in _PARTICLE and (more := _NEXT_PART.match(t, end)):
-            end = more.end()
         if "," not in m.group():
             end = _extended(t, raw, end, gaz, cased)
         found.setdefault(at, (end, "title" if title else how))
@@ -445,12 +444,12 @@ def _names(t: str, raw: str, lefts: list[int], closings: list[int], told: list[i
         elif not known_next and not (t[b : b + 1] == "," or re.match(r"\s+[^\W\d_]\.", t[b : b + 4])):
             continue
         m = _PERSON_AT.match(t, a)
-        parts = gaz.parts(m.group()) if m else []
+        parts = [p for p in gaz.parts(m.group()) if p not in _PARTICLE] if m else []
         if len(parts) < 2 or any(gaz.ordinary(p) for p in parts):
             continue
         if "," in m.group() and not (parts[0] in gaz.family and parts[1] in gaz.given):
             continue
-        if not all(gaz.known(p) for p in parts) and not (cased and all(raw[m.start() + x.start()].isupper() for x in re.finditer(_TOK, m.group()))):
+        if not all(gaz.known(p) for p in parts) and not (cased and all(raw[m.start() + x.start()].isupper() for x in re.finditer(_TOK, m.group()) if x.group() not in _PARTICLE)):
             continue
         end = m.end() if "," in m.group() else _extended(t, raw, m.end(), gaz, cased)
         covered = end
