@@ -54,7 +54,8 @@ class Tiling:
     def __init__(self, threshold: float) -> None:
         per_break = (_SHINGLE - 1) * (1 + threshold)
         if (1 - threshold) * 2.25 * _WIDTH > per_break + 1e-9:
-            raise ValueError(f"passages of {_WIDTH} words lose no partner only from a similarity of {1 - per_break / 2.25 / _WIDTH / 2:.2f} on")
+            least = (2.25 * _WIDTH - _SHINGLE + 1) / (2.25 * _WIDTH + _SHINGLE - 1)
+            raise ValueError(f"passages of {_WIDTH} words lose no partner only from a similarity of {least:.2f} on")
         self.threshold, self.per_break = threshold, per_break
         #: Distinct runs up to which a text is short, and those of its longest partner.
         self.short = _WINDOW + 5

@@ -136,6 +136,15 @@ _P1 = _similar_sql(_SPLIT_ROWS, "'train'", "'dev', 'test'", 0.8)
 _P1_PAIRS = "FROM hit JOIN r a ON a.k = ka AND a.side = 'train' JOIN r b ON b.k = kb AND b.side <> 'train'"
 
 
+_VERSIONS = _similar_sql("SELECT 'c' AS side, complaint_id AS id, narrative AS text FROM candidates", "'c'", "'c'", VERSION_SIMILARITY)
+_GROUPS = _VERSIONS.replace("WITH w", "WITH RECURSIVE w", 1) + """,
+    edge AS (SELECT ka AS a, kb AS b FROM hit WHERE ka <> kb UNION SELECT kb, ka FROM hit WHERE ka <> kb),
+    reach AS (SELECT DISTINCT k, k AS m FROM r UNION SELECT reach.k, edge.b FROM reach JOIN edge ON reach.m = edge.a),
+    least AS (SELECT reach.k, min(r.id) AS class_id FROM reach JOIN r ON r.k = reach.m GROUP BY 1),
+    links AS (SELECT a AS k, count(*) AS n FROM edge GROUP BY 1)
+    SELECT r.id AS complaint_id, class_id, coalesce(n, 0)::BIGINT AS n_links FROM r JOIN least USING (k) LEFT JOIN links USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"{_P1} SELECT DISTINCT b.side AS split, least(a.id, b.id) AS train_id, greatest(a.id, b.id) AS eval_id {_P1_PAIRS}",
@@ -143,6 +152,7 @@ def oracle_sql() -> dict[str, str]:
             c AS (SELECT complaint_id, words, list_transform(regexp_split_to_array(regexp_replace(t, '([.!?]["''”’»)\]}}]*)([ \t]|$)', '\1' || chr(10), 'g'), '[\n\r]'), lambda x: len({_WORDS.format("x")})) AS runs
               FROM n WHERE words > 512)
             SELECT DISTINCT complaint_id, CASE WHEN list_max(runs) > 512 THEN 'forced' ELSE 'natural' END AS cut FROM c""",
-        "p5_found": _similar_sql("SELECT 'c' AS side, complaint_id AS id, narrative AS text FROM candidates", "'c'", "'c'", VERSION_SIMILARITY)
+        "p5_groups": _GROUPS,
+        "p5_found": _VERSIONS
         + " SELECT DISTINCT least(a.id, b.id) AS complaint_id_a, greatest(a.id, b.id) AS complaint_id_b FROM hit JOIN r a ON a.k = ka JOIN r b ON b.k = kb WHERE a.id <> b.id",
     }
