@@ -16,8 +16,9 @@ texts through it.  A chunk's anchors are distinct, and so are passages, so neith
 Coverage.  A passage's matched interval of the evaluation text is kept where any training text holds it; merged intervals are the coverage
 of the record.  A record with more than ``kill`` passages unmatched has no partner and leaves here.  Of the others,
 the ``kill + 1`` passages with the fewest matches must hold one that a partner shares (the prefix
-filter), so popular passages join only texts that hold little else.  Candidates are filtered by size, which is exact, and
-verified exactly.
+filter).  Where one of these is popular still, because boilerplate makes up much of the text, its matches are not joined with
+its owners: both sides' texts emit their rarest five-word runs instead, as many as a partner may lack and one more, and only texts
+that share one of these are candidates.  Candidates are filtered by size, which is exact, and verified exactly.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from answerlab.llm import textkernels as K
 from answerlab.llm.counting import total_counts
-from answerlab.llm.similarity import sets_for, verify_pairs
+from answerlab.llm.similarity import rows_of, sets_for, verify_pairs
 from answerlab.session import materialize, semi_join_checked, small_enough, spread
 
 _SHINGLE = 5
@@ -134,16 +135,41 @@ def _ranked(grams: np.ndarray, weights: np.ndarray, short: bool) -> np.ndarray:
     return (weight << np.uint64(58)) | (grams >> np.uint64(6))
 
 
-def run_weights(chunks: DataFrame) -> np.ndarray:
-    """Logarithms of the counts of all runs of eight words of the chunks, by counter; what reaches the driver has a fixed size."""
+def run_weights(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the counts of all runs of eight and of five words of the chunks, by counter; what reaches the driver has a fixed size."""
 
     def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
         for lengths, codes in zip(batch.column("lengths"), batch.column("codes")):
             first = np.concatenate(([0], np.cumsum(lengths.values.to_numpy())))
-            grams = K.combine(np.frombuffer(codes.as_py(), np.uint16).astype(np.uint64), first, _ANCHOR)[0]
-            total += np.bincount((grams & np.uint64(_COUNTERS - 1)).astype(np.int64), minlength=_COUNTERS)
+            words = np.frombuffer(codes.as_py(), np.uint16).astype(np.uint64)
+            for part, width in ((total[:_COUNTERS], _ANCHOR), (total[_COUNTERS:], _SHINGLE)):
+                grams = K.combine(words, first, width)[0]
+                part += np.bincount((grams & np.uint64(_COUNTERS - 1)).astype(np.int64), minlength=_COUNTERS)
 
-    return np.ceil(np.log2(total_counts(chunks.select("lengths", "codes"), _COUNTERS, count) + 1)).astype(np.uint8)
+    total = np.ceil(np.log2(total_counts(chunks.select("lengths", "codes"), 2 * _COUNTERS, count) + 1)).astype(np.uint8)
+    return total[:_COUNTERS], total[_COUNTERS:]
+
+
+def _rare_runs(rows: DataFrame, owners: DataFrame, keys: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+    """``(key, size, run)``: of each text the rarest distinct runs of five words, one more than a partner may lack, in one order for all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in K.shingle_texts(batch.column("text").to_pylist(), _SHINGLE):
+                grams = K.combine(_codes(s.words).astype(np.uint64), s.first, _SHINGLE)[0]
+                rank = weights[(grams & np.uint64(_COUNTERS - 1)).astype(np.int64)]
+                keys_, out = K.content_keys(s.words, s.first), []
+                for i in np.flatnonzero(np.diff(s.first) > 0).tolist():
+                    mine = slice(s.offsets[i], s.offsets[i + 1])
+                    hashes, at = np.unique(s.hashes[mine], return_index=True)
+                    taken = np.lexsort((hashes, rank[mine][at]))[: int((1 - threshold) * len(hashes) + 1e-9) + 1]
+                    out.append((np.full(len(taken), keys_[i]), np.full(len(taken), len(hashes)), hashes[taken].view(np.int64)))
+                if out:
+                    key, size, runs = (np.concatenate(x) for x in zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(size, pa.int32()), pa.array(runs)], ["key", "size", "run"])
+
+    # another text of one of the ids can only add a candidate
+    return rows_of(rows, owners, keys).select("text").mapInArrow(run, "key long, size int, run long").distinct()
 
 
 def _anchors(chunks: DataFrame, tiling: Tiling, weights: np.ndarray) -> DataFrame:
@@ -316,8 +342,8 @@ def _covered(marks):
     return F.aggregate(hit, zero, grow)["words"]
 
 
-#: Salts of a passage that very many training texts hold, and the matches from which it gets them.
-_SALTS, _HOT = 16, 4_096
+#: Training texts that hold a passage from which on its matches are found by rare runs.
+_HOT = 256
 
 
 class Overlaps:
@@ -341,11 +367,11 @@ class Overlaps:
         train = rows(training, None)
         shards = spread(train, least=48)
         chunks = materialize(_training(train))
-        weights = run_weights(chunks)
+        weights, run_weights_ = run_weights(chunks)
         left = materialize(_evaluation(every, tiling, weights))
-        self.evaluation = left.where("id is not null").select("split", "id", "key").distinct()
+        self.evaluation = materialize(left.where("id is not null").select("split", "id", "key").distinct())
         pair = F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("id_keys").alias("key"))).alias("x")
-        self.training = chunks.select(pair).select("x.id", "x.key").distinct()
+        self.training = materialize(chunks.select(pair).select("x.id", "x.key").distinct())
         wanted = (
             left.where("codes is not null").select("anchor", "passage", "codes")
             .join(_anchors(chunks, tiling, weights), "anchor")
@@ -366,19 +392,21 @@ class Overlaps:
         self.records = materialize(
             marks.select("key", "size", (_covered(F.col("marks")) / F.col("total")).alias("coverage"), F.filter(rare, lambda p: p["hits"] > 0).alias("report"))
         )
-        self.links = materialize(self._links(every, train, threshold))
+        self.links = materialize(self._links(every, train, threshold, run_weights_))
 
-    def _links(self, every: DataFrame, train: DataFrame, threshold: float) -> DataFrame:
+    def _links(self, every: DataFrame, train: DataFrame, threshold: float, weights: np.ndarray) -> DataFrame:
         report = self.records.where(F.size("report") > 0).select("key", "size", F.explode("report").alias("p"))
         report = report.select(F.col("key").alias("e"), "size", "p.passage", "p.hits")
-        # a hot passage's matches are dealt over salts by chunk, its owners are sent to each
-        hot = materialize(report.where(F.col("hits") > _HOT).select("passage").distinct())
-        salts = F.when(F.col("hits") > _HOT, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
-        report = report.select("e", "size", "passage", F.explode(salts).alias("salt"))
-        marked = self.hits.join(F.broadcast(hot.withColumn("hot", F.lit(True))) if small_enough(hot) else hot.withColumn("hot", F.lit(True)), "passage", "left")
-        marked = marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("t"), F.lit(_SALTS))).otherwise(0).cast("int"))
         near = (F.col("size") >= F.col("t_size") * threshold - 1e-6) & (F.col("t_size") >= F.col("size") * threshold - 1e-6)
-        pairs = materialize(report.join(marked, ["passage", "salt"]).where(near).select("e", "t").distinct())
+        pairs = report.where(F.col("hits") <= _HOT).join(self.hits, "passage").where(near).select("e", "t")
+        hot = materialize(report.where(F.col("hits") > _HOT).select("e", "passage"))
+        if not hot.isEmpty():
+            mine = hot.select(F.col("e").alias("key")).distinct()
+            theirs = materialize(semi_join_checked(self.hits, hot.select("passage").distinct(), "passage").select(F.col("t").alias("key")).distinct())
+            left = _rare_runs(every, self.evaluation, mine, weights, threshold).withColumnRenamed("key", "e")
+            right = _rare_runs(train, self.training, theirs, weights, threshold).select(F.col("key").alias("t"), F.col("size").alias("t_size"), "run")
+            pairs = pairs.union(left.join(right, "run").where(near).select("e", "t"))
+        pairs = materialize(pairs.distinct())
         same = pairs.where("e = t").select("e", "t", F.lit(1.0).alias("similarity"))
         different = pairs.where("e != t").select(F.col("e").alias("a"), F.col("t").alias("b"))
         keys = materialize(different.select(F.col("a").alias("key")).union(different.select("b")).distinct())

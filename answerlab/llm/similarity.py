@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerlab.llm import textkernels as K
-from answerlab.session import materialize, semi_join_checked
+from answerlab.session import materialize, semi_join_checked, small_enough
 
 
 def shingle_sets(rows: DataFrame, n: int = 5) -> DataFrame:
@@ -40,14 +40,19 @@ def shingle_sets(rows: DataFrame, n: int = 5) -> DataFrame:
     return rows.select("text").mapInArrow(run, "key long, shingles binary")
 
 
-def sets_for(rows: DataFrame, owners: DataFrame, keys: DataFrame) -> DataFrame:
-    """``(key, shingles)`` of the texts of ``keys``: one row of ``rows (id, text)`` for each, by ``owners (id, key)``.
+def rows_of(rows: DataFrame, owners: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows ``(id, text)`` of one id for each of ``keys``, by ``owners (id, key)``.
 
-    ``keys`` should be materialised.  Only the rows needed reach Python.
+    ``keys`` should be materialised: it is counted, and bounds the ids; both are broadcast only below ``BROADCAST_ROWS``.
     """
-    ids = materialize(semi_join_checked(owners, keys, "key").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct())
-    texts = semi_join_checked(rows.select("id", "text"), ids, "id")
-    return semi_join_checked(shingle_sets(texts), keys, "key").dropDuplicates(["key"])
+    sent = F.broadcast if small_enough(keys) else lambda df: df
+    ids = owners.join(sent(keys.select("key")), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct()
+    return rows.select("id", "text").join(sent(ids), "id", "left_semi")
+
+
+def sets_for(rows: DataFrame, owners: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(key, shingles)`` of the texts of ``keys``; see :func:`rows_of`.  Only the rows needed reach Python."""
+    return semi_join_checked(shingle_sets(rows_of(rows, owners, keys)), keys, "key").dropDuplicates(["key"])
 
 
 def verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

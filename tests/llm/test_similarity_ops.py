@@ -229,12 +229,31 @@ def check_family(spark, train, test):
     assert overlaps(spark, train, test) == want and len(want) > 1000
 
 
+def test_boilerplate_joins_no_pairs(spark, monkeypatch):
+    """A third of both sides holds one long notice that is more than half of each text: only real partners are compared."""
+    monkeypatch.setattr(overlap, "_HOT", 20)
+    rng = random.Random(9)
+    notice = [f"n{i}" for i in range(100)]
+    train, test = [], []
+    for i in range(150):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        train.append((f"a{i:03d}", " ".join(own + notice)))
+        edit = list(own)
+        edit[30] = "changed"
+        test.append((f"b{i:03d}", " ".join((edit if i % 10 == 0 else [f"v{rng.randrange(10**6)}" for _ in range(60)]) + notice)))
+    compared = []
+    verify = overlap.verify_pairs
+    monkeypatch.setattr(overlap, "verify_pairs", lambda pairs, *a: compared.append(pairs.count()) or verify(pairs, *a))
+    assert overlaps(spark, train, test) == {(a, b) for (a, x), (b, y) in zip(train, test) if sim(x, y) >= 0.8}
+    assert compared[0] < 100
+
+
 def test_passages_broken_by_own_edits_do_not_cost_partners(spark):
     check_family(spark, *family(11, edits=3, tail=0))
 
 
 def test_texts_with_few_unshared_passages_keep_partners(spark, monkeypatch):
-    """Also with hot passages dealt over salts and small chunks."""
+    """Also with rare runs in the place of popular passages, and small chunks."""
     monkeypatch.setattr(overlap, "_HOT", 8)
     monkeypatch.setattr(overlap, "CHUNK_TEXTS", 7)
     check_family(spark, *family(12, edits=2, tail=20))
