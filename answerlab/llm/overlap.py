@@ -8,17 +8,22 @@ every partner holds at least ``m - kill`` of the ``m`` passages word for word.
 has its middle as the only one.  In a text that repeats runs of its own the bound holds for the passages of first occurrences; where these are
 too few, all its passages count.
 
-Sharding.  Training texts are kept whole, in chunks of bounded size.  A passage goes to the chunks that hold its anchor, the
-rarest eight words of its first sixteen (by a sketch of fixed size that counts the eight-word runs of all training texts),
+Choice.  So of any ``kill + 1 + spare`` firm passages of a record a partner holds ``1 + spare``, whichever they are.  Each record takes
+those whose anchors the fewest chunks hold; where more than ``kill`` have an anchor that no chunk holds, the record has no partner
+and leaves.  Only the passages taken are sent to chunks, so popular ones are not sent to every chunk there is.
+
+Sharding.  Training texts are kept whole, in chunks of bounded size.  A passage taken goes, once, to the chunks that hold its anchor, the
+rarest twelve words of its first sixteen (by a sketch of fixed size that counts the twelve-word runs of all training texts),
 which any text that holds the passage emits too.  Each chunk builds one automaton over the passages it was sent and streams all its
 texts through it.  A chunk's anchors are distinct, and so are passages, so neither boilerplate nor copies multiply what is sent.
 
-Coverage.  A passage's matched interval of the evaluation text is kept where any training text holds it; merged intervals are the coverage
-of the record.  A record with more than ``kill`` passages unmatched has no partner and leaves here.  Of the others,
-the ``kill + 1`` passages with the fewest matches must hold one that a partner shares (the prefix
-filter).  Where one of these is popular still, because boilerplate makes up much of the text, its matches are not joined with
-its owners: both sides' texts emit their rarest five-word runs instead, as many as a partner may lack and one more, and only texts
+Candidates.  A text that holds one of the passages a record takes is a candidate.  Where one of these is popular,
+because boilerplate makes up much of the text, their matches are not joined with
+their owners: both sides' texts emit their rarest five-word runs instead, as many as a partner may lack and one more, and only texts
 that share one of these are candidates.  Candidates are filtered by size, which is exact, and verified exactly.
+
+Coverage, where asked for.  A passage's interval of the evaluation text counts where any training text holds it; merged intervals are the coverage
+of the record.  One match is enough, so every passage goes to one chunk that holds its anchor first, and only what is not found there to the others.
 """
 
 from __future__ import annotations
@@ -34,19 +39,21 @@ from pyspark.sql import functions as F
 from answerlab.llm import textkernels as K
 from answerlab.llm.counting import total_counts
 from answerlab.llm.similarity import rows_of, sets_for, verify_pairs
-from answerlab.session import materialize, semi_join_checked, small_enough, spread
+from answerlab.session import materialize, release, semi_join_checked, small_enough, spread, sweep
 
 _SHINGLE = 5
 #: Words of a tiled passage at least, and of its anchor; five-word runs that it has.
-_WIDTH, _ANCHOR = 16, 8
+_WIDTH, _ANCHOR = 16, 12
 _WINDOW = _WIDTH - _SHINGLE + 1
 _MARGIN = 8
 #: Counters of the sketch that tells common runs of words from rare ones.
-_COUNTERS = 1 << 16
+_COUNTERS = 1 << 18
 #: Between two texts of a chunk; no word has this code.
 _GAP = 1
 #: A chunk is closed at this many texts or words: what one task holds at once.
 CHUNK_TEXTS, CHUNK_WORDS = 8_192, 4_000_000
+#: Passages of a record that are looked for besides those of which a partner must hold one.
+_SPARE = 2
 
 
 class Tiling:
@@ -104,7 +111,7 @@ class Tiling:
         enough = np.bincount(text, firm, len(words)) > np.bincount(text, can / np.maximum(np.bincount(text, minlength=len(words))[text], 1), len(words))
         weak = ~enough[text] & ~odd[text]
         firm, can = firm | weak, np.where(weak, words[text], can)
-        # the anchor: any run of a short passage, the rarest eight words of the first sixteen of others
+        # the anchor: any run of a short passage, the rarest twelve words of the first sixteen of others
         anchor = np.empty(len(text), np.uint64)
         for short, width in ((True, _SHINGLE), (False, _ANCHOR)):
             part = np.flatnonzero((hi - lo < _WIDTH) == short)
@@ -136,7 +143,7 @@ def _ranked(grams: np.ndarray, weights: np.ndarray, short: bool) -> np.ndarray:
 
 
 def run_weights(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithms of the counts of all runs of eight and of five words of the chunks, by counter; what reaches the driver has a fixed size."""
+    """Logarithms of the counts of all runs of twelve and of five words of the chunks, by counter; what reaches the driver has a fixed size."""
 
     def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
         for lengths, codes in zip(batch.column("lengths"), batch.column("codes")):
@@ -173,7 +180,7 @@ def _rare_runs(rows: DataFrame, owners: DataFrame, keys: DataFrame, weights: np.
 
 
 def _anchors(chunks: DataFrame, tiling: Tiling, weights: np.ndarray) -> DataFrame:
-    """``(for_chunk, anchor)``: the distinct anchors of each chunk."""
+    """``(for_chunk, anchor)``: the distinct anchors of each chunk; with what :func:`_evaluation` returns all that decides where a passage goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,7 +295,7 @@ def _training(rows: DataFrame) -> DataFrame:
 
 
 def _possible(passages: pa.Array, grams: np.ndarray) -> np.ndarray:
-    """The passages whose first, middle and last eight words are among the chunk's runs (shorter passages are let through).
+    """The passages whose first, middle and last twelve words are among the chunk's runs (shorter passages are let through).
 
     A filter before the automaton is built: it spares nodes, the automaton alone decides.
     """
@@ -321,39 +328,46 @@ def _scan(chunks: pa.Table, passages: pa.Table) -> pa.Table:
     if not len(ids):
         return _HITS.empty_table()
     automaton = ahocorasick.Automaton()
-    for i, passage in enumerate(words.to_pylist()):
+    # passages whose words have the same codes are one word of the automaton
+    known: dict[bytes, int] = {}
+    alike = np.array([known.setdefault(passage, len(known)) for passage in words.to_pylist()])
+    for passage, i in known.items():
         automaton.add_word(passage.decode("utf-16-le"), i)
     automaton.make_automaton()
+    order, many = np.argsort(alike, kind="stable"), np.bincount(alike)
     stream = np.insert(codes, ends[:-1], _GAP)
     ends = ends + np.arange(len(ends))
     found = np.fromiter((x for pair in automaton.iter(stream.tobytes().decode("utf-16-le")) for x in pair), np.int64).reshape(-1, 2)
     text = np.searchsorted(ends, found[:, 0], side="right")
     both = K.distinct(found[:, 1] * len(keys) + text)
-    passage, text = both // len(keys), both % len(keys)
+    word, text = both // len(keys), both % len(keys)
+    passage, text = order[K.ranges((np.cumsum(many) - many)[word], many[word])], np.repeat(text, many[word])
     cols = [pa.array(ids[passage]), pa.array(keys[text]), pa.array(sizes[text], pa.int32()), pa.array(np.full(len(text), row["chunk"].as_py()))]
     return pa.Table.from_arrays(cols, schema=_HITS)
 
 
 def _covered(marks):
     """Words of the merged intervals of matched passages."""
-    hit = F.array_sort(F.filter(marks, lambda p: p["hits"] > 0))
+    hit = F.array_sort(F.filter(marks, lambda p: p["hit"]))
     zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("end"))
     grow = lambda a, p: F.struct((a["words"] + F.greatest(p["hi"] - F.greatest(p["lo"], a["end"]), F.lit(0))).alias("words"), F.greatest(a["end"], p["hi"]).alias("end"))
     return F.aggregate(hit, zero, grow)["words"]
 
 
-#: Training texts that hold a passage from which on its matches are found by rare runs.
+#: Training texts that hold a passage from which on its matches are not joined.
 _HOT = 256
 
 
 class Overlaps:
     """The scan of training texts for evaluation records, and its results.
 
-    ``records``: one row per distinct evaluation text, ``(key, size, coverage, report)``.  ``links``: ``(e, t, similarity)`` between distinct
-    texts.  ``evaluation``: ``(split, id, key)``; ``training``: ``(id, key)``; both hold every row that counts.
+    ``links``: ``(e, t, similarity)`` between distinct texts.  ``evaluation``: ``(split, id, key)``; ``training``: ``(id, key)``; both hold every
+    row that counts.  ``records``, with ``coverage`` alone: ``(key, coverage)``, one row per distinct evaluation text.
     """
 
-    def __init__(self, training: DataFrame, evaluations: dict[str, DataFrame], id_col: str, text_col: str, threshold: float = 0.8) -> None:
+    def __init__(
+        self, training: DataFrame, evaluations: dict[str, DataFrame], id_col: str, text_col: str, threshold: float = 0.8, coverage: bool = True
+    ) -> None:
         tiling = Tiling(threshold)
 
         def rows(df: DataFrame, split: str | None) -> DataFrame:
@@ -365,48 +379,92 @@ class Overlaps:
         for p in parts[1:]:
             every = every.unionByName(p)
         train = rows(training, None)
-        shards = spread(train, least=48)
-        chunks = materialize(_training(train))
-        weights, run_weights_ = run_weights(chunks)
+        self._shards = spread(train, least=48)
+        self._chunks = materialize(_training(train))
+        weights, run_weights_ = run_weights(self._chunks)
         left = materialize(_evaluation(every, tiling, weights))
         self.evaluation = materialize(left.where("id is not null").select("split", "id", "key").distinct())
         pair = F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("id_keys").alias("key"))).alias("x")
-        self.training = materialize(chunks.select(pair).select("x.id", "x.key").distinct())
-        wanted = (
-            left.where("codes is not null").select("anchor", "passage", "codes")
-            .join(_anchors(chunks, tiling, weights), "anchor")
-            .select("for_chunk", "passage", "codes")
-        )
-        whole = chunks.select("chunk", "keys", "sizes", "lengths", "codes")
-        scanned = whole.repartition(shards, "chunk").groupBy("chunk").cogroup(wanted.repartition(shards, "for_chunk").groupBy("for_chunk"))
-        hits = materialize(scanned.applyInArrow(_scan, "passage long, t long, t_size int, chunk long"))
-        self.hits = hits
+        self.training = materialize(self._chunks.select(pair).select("x.id", "x.key").distinct())
+        anchors = materialize(_anchors(self._chunks, tiling, weights))
+        words = left.where("codes is not null").select("passage", "codes")
+        taken = self._taken(left, anchors)
+        sweep(train.sparkSession)
+        hits = self._hits(taken, words, anchors)
+        if coverage:
+            self.records = self._coverage(left, words, anchors)
+        release(self._chunks, left, anchors)
+        pairs = self._candidates(taken, hits, every, train, threshold, run_weights_)
+        release(taken, hits)
+        self.links = materialize(self._links(pairs, every, train, threshold))
+
+    @staticmethod
+    def _taken(left: DataFrame, anchors: DataFrame) -> DataFrame:
+        """``(e, size, need, passage, anchor)``: the passages to look for of the records that may have a partner; one shared is enough, the spare ones make up for texts beyond the bound."""
+        held = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("chunks"))
+        firm = left.where("firm").select("key", "size", "kill", "passage", "anchor").join(held, "anchor", "left")
+        # fewest chunks first, then the anchor's rank
+        order = F.struct(F.coalesce("chunks", F.lit(0)).cast("int").alias("chunks"), F.shiftrightunsigned("anchor", 58).cast("int").alias("rank"), "passage", "anchor")
+        of = firm.groupBy("key").agg(F.max("size").alias("size"), F.max("kill").alias("kill"), F.collect_set(order).alias("all"))
+        of = of.select(F.col("key").alias("e"), "size", "kill", F.slice(F.array_sort("all"), 1, F.col("kill") + 1 + _SPARE).alias("all"))
+        of = of.where(F.size(F.filter("all", lambda p: p["chunks"] == 0)) <= F.col("kill"))
+        some = of.select("e", "size", F.explode(F.filter("all", lambda p: p["chunks"] > 0)).alias("p"))
+        return materialize(some.select("e", "size", F.lit(1).alias("need"), "p.passage", "p.anchor"))
+
+    def _scanned(self, sent: DataFrame) -> DataFrame:
+        """The matches of the passages ``(for_chunk, passage, codes)`` in their chunks, ``(passage, t, t_size)``."""
+        whole = self._chunks.select("chunk", "keys", "sizes", "lengths", "codes").repartition(self._shards, "chunk").groupBy("chunk")
+        both = whole.cogroup(sent.repartition(self._shards, "for_chunk").groupBy("for_chunk"))
+        return both.applyInArrow(_scan, "passage long, t long, t_size int, chunk long").select("passage", "t", "t_size")
+
+    def _hits(self, taken: DataFrame, words: DataFrame, anchors: DataFrame) -> DataFrame:
+        """``(passage, t, t_size)``: every training text that holds a passage taken, once."""
+        wanted = materialize(taken.select("passage", "anchor").distinct())
+        # tasks each have a passage's words once; it is sent once
+        known = semi_join_checked(words, wanted, "passage").dropDuplicates(["passage"]).join(wanted, "passage")
+        sent = materialize(known.join(semi_join_checked(anchors, materialize(wanted.select("anchor").distinct()), "anchor"), "anchor").select("for_chunk", "passage", "codes"))
+        hits = materialize(self._scanned(sent).distinct())
+        release(wanted, sent)
+        return hits
+
+    def _coverage(self, left: DataFrame, words: DataFrame, anchors: DataFrame) -> DataFrame:
+        """``(key, coverage)`` of every evaluation text."""
+        # a chunk for each anchor, spread by hash
+        held = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("chunks"), F.min(F.struct(F.xxhash64("anchor", "for_chunk").alias("h"), "for_chunk")).alias("one"))
+        there = left.where("passage is not null").select("passage", "anchor").distinct().join(held, "anchor")
+        there = materialize(there.join(words.dropDuplicates(["passage"]), "passage").select("passage", "anchor", "codes", "chunks", F.col("one.for_chunk").alias("one")))
+        first = materialize(self._scanned(there.select(F.col("one").alias("for_chunk"), "passage", "codes")).select("passage").distinct())
+        rest = there.where("chunks > 1").join(first, "passage", "left_anti").join(anchors, "anchor").where("for_chunk != one")
+        rest = materialize(self._scanned(rest.select("for_chunk", "passage", "codes")).select("passage").distinct())
+        found = first.union(rest).withColumn("hit", F.lit(True))
+        owners = left.where("passage is not null").select("key", "total", "passage", "lo", "hi").join(found, "passage", "left")
+        marks = owners.groupBy("key").agg(F.max("total").alias("total"), F.collect_set(F.struct("lo", "hi", F.coalesce("hit", F.lit(False)).alias("hit"))).alias("marks"))
+        out = materialize(marks.select("key", (_covered(F.col("marks")) / F.col("total")).alias("coverage")))
+        release(there, first, rest)
+        return out
+
+    def _candidates(self, taken: DataFrame, hits: DataFrame, every: DataFrame, train: DataFrame, threshold: float, weights: np.ndarray) -> DataFrame:
+        """``(e, t)``, once: pairs that may be similar, and all that are."""
         counts = materialize(hits.groupBy("passage").agg(F.count(F.lit(1)).alias("hits")))
-        owners = left.where("passage is not null").select("key", "size", "total", "kill", "firm", "passage", "lo", "hi")
         side = F.broadcast(counts) if small_enough(counts) else counts
-        marks = owners.join(side, "passage", "left").groupBy("key").agg(
-            F.max("size").alias("size"), F.max("total").alias("total"), F.max("kill").alias("kill"),
-            F.collect_set(F.struct("lo", "hi", "passage", "firm", F.coalesce("hits", F.lit(0)).alias("hits"))).alias("marks"),
-        )  # one text's passages
-        rare = F.slice(F.array_sort(F.transform(F.filter("marks", lambda p: p["firm"]), lambda p: F.struct(p["hits"].alias("hits"), p["passage"].alias("passage")))), 1, F.col("kill") + 1)
-        self.records = materialize(
-            marks.select("key", "size", (_covered(F.col("marks")) / F.col("total")).alias("coverage"), F.filter(rare, lambda p: p["hits"] > 0).alias("report"))
-        )
-        self.links = materialize(self._links(every, train, threshold, run_weights_))
-
-    def _links(self, every: DataFrame, train: DataFrame, threshold: float, weights: np.ndarray) -> DataFrame:
-        report = self.records.where(F.size("report") > 0).select("key", "size", F.explode("report").alias("p"))
-        report = report.select(F.col("key").alias("e"), "size", "p.passage", "p.hits")
+        report = materialize(taken.join(side, "passage").select("e", "size", "need", "passage", (F.col("hits") > _HOT).alias("hot")))
         near = (F.col("size") >= F.col("t_size") * threshold - 1e-6) & (F.col("t_size") >= F.col("size") * threshold - 1e-6)
-        pairs = report.where(F.col("hits") <= _HOT).join(self.hits, "passage").where(near).select("e", "t")
-        hot = materialize(report.where(F.col("hits") > _HOT).select("e", "passage"))
-        if not hot.isEmpty():
-            mine = hot.select(F.col("e").alias("key")).distinct()
-            theirs = materialize(semi_join_checked(self.hits, hot.select("passage").distinct(), "passage").select(F.col("t").alias("key")).distinct())
+        # the popular ones of which a partner may hold all
+        hot = materialize(report.where("hot").groupBy("e").agg(F.count(F.lit(1)).alias("popular")))
+        side = F.broadcast(hot) if small_enough(hot) else hot
+        cold = report.where("not hot").join(side, "e", "left")
+        cold = cold.join(hits, "passage").where(near).groupBy("e", "t").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("need") - F.coalesce("popular", F.lit(0))).alias("need"))
+        pairs = cold.where("n >= need").select("e", "t")
+        open_ = materialize(report.where("hot").join(side, "e").where("popular >= need").select("e", "passage"))
+        if not open_.isEmpty():
+            mine = materialize(open_.select(F.col("e").alias("key")).distinct())
+            theirs = materialize(semi_join_checked(hits, materialize(open_.select("passage").distinct()), "passage").select(F.col("t").alias("key")).distinct())
             left = _rare_runs(every, self.evaluation, mine, weights, threshold).withColumnRenamed("key", "e")
             right = _rare_runs(train, self.training, theirs, weights, threshold).select(F.col("key").alias("t"), F.col("size").alias("t_size"), "run")
             pairs = pairs.union(left.join(right, "run").where(near).select("e", "t"))
-        pairs = materialize(pairs.distinct())
+        return materialize(pairs.distinct())
+
+    def _links(self, pairs: DataFrame, every: DataFrame, train: DataFrame, threshold: float) -> DataFrame:
         same = pairs.where("e = t").select("e", "t", F.lit(1.0).alias("similarity"))
         different = pairs.where("e != t").select(F.col("e").alias("a"), F.col("t").alias("b"))
         keys = materialize(different.select(F.col("a").alias("key")).union(different.select("b")).distinct())
@@ -415,13 +473,36 @@ class Overlaps:
         found = verify_pairs(different, sets, threshold)
         return same.unionByName(found.select(F.col("a").alias("e"), F.col("b").alias("t"), "similarity"))
 
-    def pairs(self) -> DataFrame:
-        """``(split, train_id, eval_id, similarity)``, one row per pair of ids and split."""
+    def _expanded(self) -> DataFrame:
+        """``(split, train_id, eval_id, similarity, again)`` of every link and its members' ids; a pair of ids comes twice, either way round, only where ``again``.
+
+        That takes an id that stands on both sides or with several texts, so the others need no shuffle to be told apart.
+        """
         left_keys, right_keys = (materialize(self.links.select(F.col(c).alias("key")).distinct()) for c in "et")
         left = semi_join_checked(self.evaluation, left_keys, "key").select("split", F.col("id").alias("eval_id"), F.col("key").alias("e"))
         right = semi_join_checked(self.training, right_keys, "key").select(F.col("id").alias("train_id"), F.col("key").alias("t"))
-        both = self.links.join(left, "e").join(right, "t")
-        return both.groupBy("split", "train_id", "eval_id").agg(F.max("similarity").alias("similarity"))
+        every = left.select(F.col("eval_id").alias("id"), F.col("e").alias("key"), "split").union(right.select("train_id", "t", F.lit(None).cast("string")))
+        odd = every.groupBy("id", "split").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(
+            F.max("n").alias("n"), F.max(F.col("split").isNull()).alias("train"), F.max(F.col("split").isNotNull()).alias("eval")
+        )
+        odd = materialize(odd.where("n > 1 or train and eval").select("id"))
+        side = F.broadcast(odd) if small_enough(odd) else odd
+        left, right = (
+            df.join(side.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_odd")), c, "left") for df, c in ((left, "eval_id"), (right, "train_id"))
+        )
+        again = F.coalesce("eval_id_odd", F.lit(False)) | F.coalesce("train_id_odd", F.lit(False))
+        return self.links.join(left, "e").join(right, "t").select("split", "train_id", "eval_id", "similarity", again.alias("again"))
+
+    def pairs(self) -> DataFrame:
+        """``(split, train_id, eval_id, similarity)``, one row per pair of ids and split."""
+        both = self._expanded()
+        once = both.where("not again").select("split", "train_id", "eval_id", "similarity")
+        return once.union(both.where("again").groupBy("split", "train_id", "eval_id").agg(F.max("similarity").alias("similarity")))
+
+    def id_pairs(self) -> DataFrame:
+        """``(split, train_id, eval_id)``, one row per unordered pair of ids and split; ``train_id`` is the smaller."""
+        both = self._expanded().select("split", F.least("train_id", "eval_id").alias("train_id"), F.greatest("train_id", "eval_id").alias("eval_id"), "again")
+        return both.where("not again").drop("again").union(both.where("again").drop("again").distinct())
 
     def per_text(self) -> DataFrame:
         """``(key, coverage, texts, records)`` per distinct evaluation text: coverage, similar training texts, and training records that hold them."""
@@ -439,7 +520,7 @@ def split_overlaps(training: DataFrame, evaluations: dict[str, DataFrame], id_co
     Records whose id is null or whose text is null or blank never count; repeated rows count once; an
     empty side gives no rows; other columns are ignored.
     """
-    return Overlaps(training, evaluations, id_col, text_col, threshold).pairs()
+    return Overlaps(training, evaluations, id_col, text_col, threshold, coverage=False).pairs()
 
 
 def _sources(evaluations: dict[str, DataFrame], id_col: str, source_col: str) -> DataFrame:

@@ -16,15 +16,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 VERSION_SIMILARITY = 0.6
 
 
-def _overlaps(spark: SparkSession, d: str) -> tuple[overlap.Overlaps, dict[str, DataFrame]]:
+def _overlaps(spark: SparkSession, d: str, coverage: bool = True) -> tuple[overlap.Overlaps, dict[str, DataFrame]]:
     sides = {"dev": table(spark, d, "split_dev"), "test": table(spark, d, "split_test")}
-    return overlap.Overlaps(table(spark, d, "split_train"), sides, "complaint_id", "narrative", 0.8), sides
+    return overlap.Overlaps(table(spark, d, "split_train"), sides, "complaint_id", "narrative", 0.8, coverage), sides
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Ids rise with the first receipt, so of two ids the training record's is the smaller."""
-    found, _ = _overlaps(spark, d)
-    return found.pairs().select("split", F.least("train_id", "eval_id").alias("train_id"), F.greatest("train_id", "eval_id").alias("eval_id")).distinct()
+    found, _ = _overlaps(spark, d, coverage=False)
+    return found.id_pairs()
 
 
 def p1_coverage(spark: SparkSession, d: str) -> DataFrame:

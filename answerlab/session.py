@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -86,7 +87,22 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
         atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
     else:
         atexit.register(_drop_remote, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._answerlab_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more, and the shuffles that have been read."""
+    for df in tables:
+        _drop_remote(df.sparkSession, df._answerlab_path)
+    sweep(tables[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the shuffles of plans that are gone: the JVM's cleaner does so when Python and then the JVM collect their garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _drop_remote(spark: SparkSession, path: str) -> None:

@@ -259,6 +259,37 @@ def test_texts_with_few_unshared_passages_keep_partners(spark, monkeypatch):
     check_family(spark, *family(12, edits=2, tail=20))
 
 
+def test_what_is_sent_grows_with_the_tables(spark):
+    """Four times the rows, as copies under other ids: what is shuffled grows as much, although chunks and repeated passages both do."""
+    rng = random.Random(17)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(60)]
+    context = spark.sparkContext
+    store, jvm = context._jsc.sc().statusStore(), context._jvm
+    others = (False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+
+    def stages():
+        found = store.stageList(None, *others)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+    sent = []
+    for copies in (2, 8):
+        rows = lambda side, c=copies: spark.createDataFrame(spark.sparkContext.parallelize([(f"{side}{k}-{i}", t) for k in range(c) for i, t in enumerate(texts)], c), SCHEMA)
+        before = stages()
+        assert overlap.split_overlaps(rows("a"), {"test": rows("b")}, "complaint_id", "narrative").count() == 60 * copies**2
+        sent.append(sum(n for k, n in stages().items() if k not in before))
+    assert sent[1] < 5 * sent[0], sent
+
+
+def test_passages_with_equal_codes_are_both_found():
+    import pyarrow as pa
+
+    codes = np.arange(100, 120).astype(np.uint16)
+    one = lambda x, kind: pa.array([x], pa.list_(kind))
+    chunk = pa.table({"chunk": [7], "keys": one([1], pa.int64()), "sizes": one([9], pa.int32()), "lengths": one([20], pa.int32()), "codes": [codes.tobytes()]})
+    passages = pa.table({"passage": [5, 6, 8], "codes": [codes[:16].tobytes(), codes[:16].tobytes(), codes[2:].tobytes()]})
+    assert sorted(overlap._scan(chunk, passages).column("passage").to_pylist()) == [5, 6, 8]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "complaint_id string, narrative string")
     one = spark.createDataFrame([("1", "a b c d e f")], "complaint_id string, narrative string")
